@@ -106,7 +106,8 @@ def _alert(conditions: DataFrame, rule: Rule, by: Sequence[str], step, hold=None
     for label in ("instance", "pod"):
         if label in by:
             text = F.replace(text, F.lit(f"{{{label}}}"), F.col(label).cast("string"))
-    value = F.format_string("%.4f", F.col("value").cast("double"))
+    # shortest form, as in 6.25 or 6
+    value = F.regexp_replace(F.round(F.col("value").cast("double"), 6).cast("string"), r"\.0$", "")
     return runs.select(
         F.lit(rule.name).alias("alertname"),
         F.lit(rule.severity).alias("severity"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardlight.plans import governance_plans, triage_plans
+from wardlight.plans import governance_plans, metric_plans, stream_plans, triage_plans
 
-_GROUPS = (triage_plans, governance_plans)
+_GROUPS = (triage_plans, governance_plans, metric_plans, stream_plans)
 
 PLANS = {plan.name: plan for group in _GROUPS for plan in group.PLANS}
 

@@ -171,3 +171,13 @@ def with_fixtures(sql: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def streaming_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The fixture over a file stream of its source table."""
+    source = re.search(r"@(\w+)", FIXTURES[name]).group(1)
+    schema = table(spark, sf_dir, source).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    view = f"wardlight_stream_{source}"
+    stream.createOrReplaceTempView(view)
+    return spark.sql(FIXTURES[name].replace(f"@{source}", view))
