@@ -101,6 +101,19 @@ rolled AS (SELECT k, v, unnest(generate_series(tick, greatest(tick, least(coales
   FROM nextv)"""
 
 
+def runs_sql(source: str, value: str, test: str, hold: int, step: int = HOUR) -> str:
+    """Runs of ticks of ``source`` (k, tick) where ``test`` holds long enough."""
+    return f"""conds AS (SELECT k, tick, {value} AS value, lead(tick) OVER (PARTITION BY k ORDER BY tick) IS NULL AS is_last FROM {source}),
+firing AS (SELECT *, tick - {step} * row_number() OVER (PARTITION BY k ORDER BY tick) AS run FROM conds WHERE {test}),
+runs AS (SELECT k, min(tick) AS since, max(tick) AS until, bool_or(is_last) AS still, max_by(value, tick) AS value FROM firing
+  GROUP BY k, run HAVING max(tick) - min(tick) >= {hold})"""
+
+
+def span_sql(hold: int, step: int = HOUR) -> str:
+    return f"""make_timestamp(since * 1000000) AS since, make_timestamp((since + {hold}) * 1000000) AS fires_at,
+  CASE WHEN NOT still THEN make_timestamp((until + {step}) * 1000000) END AS resolved_at"""
+
+
 def alert_sql(source: str, value: str, test: str, rule: A.Rule, hold: int, labels: dict[str, str], step: int = HOUR) -> str:
     """Runs of ``test`` over (k, tick) rows of ``source`` as alert rows."""
     text = "'" + rule.description.replace("'", "''") + "'"
@@ -108,13 +121,8 @@ def alert_sql(source: str, value: str, test: str, rule: A.Rule, hold: int, label
         text = f"replace({text}, '{{{name}}}', CAST({expr} AS STRING))"
     text = f"replace({text}, '{{value}}', regexp_replace(CAST(round(CAST(value AS DOUBLE), {_ROUND}) AS STRING), '\\.0$', ''))"
     named = "".join(f"{expr} AS {name}, " for name, expr in labels.items())
-    return f"""conds AS (SELECT k, tick, {value} AS value, lead(tick) OVER (PARTITION BY k ORDER BY tick) IS NULL AS is_last FROM {source}),
-firing AS (SELECT *, tick - {step} * row_number() OVER (PARTITION BY k ORDER BY tick) AS run FROM conds WHERE {test}),
-runs AS (SELECT k, min(tick) AS since, max(tick) AS until, bool_or(is_last) AS still, max_by(value, tick) AS value FROM firing
-  GROUP BY k, run HAVING max(tick) - min(tick) >= {hold})
-SELECT '{rule.name}' AS alertname, '{rule.severity}' AS severity, {named}make_timestamp(since * 1000000) AS since,
-  make_timestamp((since + {hold}) * 1000000) AS fires_at,
-  CASE WHEN NOT still THEN make_timestamp((until + {step}) * 1000000) END AS resolved_at,
+    return f"""{runs_sql(source, value, test, hold, step)}
+SELECT '{rule.name}' AS alertname, '{rule.severity}' AS severity, {named}{span_sql(hold, step)},
   round(CAST(value AS DOUBLE), {_ROUND}) AS value, '{rule.summary}' AS summary, {text} AS description FROM runs"""
 
 
@@ -139,9 +147,16 @@ def _bucket_quantile(q: float) -> str:
     return f"CASE WHEN {total} = 0 THEN NULL {' '.join(arms)} ELSE {M.BOUNDS[-1]}::DOUBLE END"
 
 
-_SHARES = {by: f"slices AS (SELECT {by + ', ' if by else ''}{tick_sql()} AS tick, count(*) AS total, count(*) FILTER (status >= 500) AS bad"
-               f" FROM fx_calls GROUP BY ALL), {rolling_sql('slices', by, ['total', 'bad'], HOUR, _SIX)},"
-               f" shares AS (SELECT k, tick, CASE WHEN total > 0 THEN bad / total END AS share FROM rolled)" for by in ("", "instance")}
+def shares_sql(by: str, where: str = "") -> str:
+    """Share of failed calls in the trailing six hours, per series and tick."""
+    key = f"{by}, " if by else ""
+    return f"""slices AS (SELECT {key}{tick_sql()} AS tick, count(*) AS total, count(*) FILTER (status >= 500) AS bad
+  FROM fx_calls {where} GROUP BY ALL),
+{rolling_sql('slices', by, ['total', 'bad'], HOUR, _SIX)},
+shares AS (SELECT k, tick, CASE WHEN total > 0 THEN bad / total END AS share FROM rolled)"""
+
+
+_SHARES = {by: shares_sql(by) for by in ("", "instance")}
 
 
 def _alert_out(df):
@@ -371,9 +386,8 @@ SELECT q.instance, (SELECT count(*) FROM fx_calls c WHERE c.instance = q.instanc
          f"""WITH {_events_sql('count(*)')} SELECT k AS instance, tick, CAST(events AS BIGINT) AS events,
   round(events / {_SIX}::DOUBLE, 6) AS rate FROM rolled"""),
     Plan("sustained", lambda d: _rounded(A.sustained(_conditions(d), "2h", ["instance"], HOUR), "value"),
-         f"""WITH {_SHARES['instance']}, {alert_sql('shares', 'share', 'value > 0.2::DOUBLE', A.RULES['HighErrorRate'], _HOLD, {'instance': 'k'})}"""
-         .replace("SELECT 'HighErrorRate' AS alertname, 'critical' AS severity, ", "SELECT ")
-         .split(", 'High Error Rate Detected' AS summary")[0] + " FROM runs"),
+         f"""WITH {_SHARES['instance']}, {runs_sql('shares', 'share', 'value > 0.2::DOUBLE', _HOLD)}
+SELECT k AS instance, {span_sql(_HOLD)}, round(value, {_ROUND}) AS value FROM runs"""),
     Plan("signal_anomalies",
          lambda d: _rounded(M.signal_anomalies(d.calls, z=2.0), "traffic_z", "tokens_z", "latency_z"),
          """WITH b AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, count(*)::DOUBLE AS traffic,

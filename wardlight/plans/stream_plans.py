@@ -61,11 +61,11 @@ def _alerts(d: Data):
     return signals.read_alerts(d.spark, root, [calls.schema["instance"]])
 
 
-# a slice counts once the watermark (ten minutes behind the last event) has passed it
-_FINAL_ALERTS = next(p.sql for p in MP.PLANS if p.name == "sustained").replace(
-    "FROM fx_calls GROUP BY ALL)",
-    "FROM fx_calls GROUP BY ALL HAVING tick * 1000000 <= (SELECT max(epoch_us(ts)) - 600000001 FROM fx_calls))",
-).replace(", value, ", ", ").replace("round(CAST(value AS DOUBLE), 6) AS value", "").replace("resolved_at,  FROM", "resolved_at FROM")
+# a slice counts once the watermark, ten minutes behind the last event, has passed it
+_PASSED = f"WHERE ({MP.tick_sql()}) * 1000000 <= (SELECT max(epoch_us(ts)) - 600000001 FROM fx_calls)"
+_FINAL_ALERTS = f"""WITH {MP.shares_sql('instance', _PASSED)},
+{MP.runs_sql('shares', 'share', 'value > 0.2::DOUBLE', MP._HOLD)}
+SELECT k AS instance, {MP.span_sql(MP._HOLD)} FROM runs"""
 
 
 def _sql(name: str) -> str:

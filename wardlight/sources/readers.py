@@ -67,7 +67,7 @@ def read_metrics(spark: SparkSession, path: str, stream: bool = False) -> DataFr
 
 def read_runbooks(spark: SparkSession, path: str) -> DataFrame:
     """Every runbook below a folder as (doc_id, text), one row per file."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return as_runbooks(files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
 
 
