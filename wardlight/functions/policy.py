@@ -28,16 +28,12 @@ BACKLOG = "Back log"
 CONFIDENCE_FLOOR = 0.8
 
 
-def mentions_any(text: Column, words: Sequence[str] = KEYWORDS) -> Column:
-    lowered = F.lower(text)
+def mentions_any(lowered: Column, words: Sequence[str] = KEYWORDS) -> Column:
+    """Whether lower-case text holds any of the words, also inside longer words."""
     hits = [F.contains(lowered, F.lit(word)) for word in words]
     return F.coalesce(reduce(Column.__or__, hits, F.lit(False)), F.lit(False))
 
 
-def overridden(text: Column, severity: Column, words: Sequence[str] = KEYWORDS) -> Column:
-    return mentions_any(text, words) & ~severity.eqNullSafe(F.lit("CRITICAL"))
-
-
 def low_confidence(confidence: Column, floor: float = CONFIDENCE_FLOOR) -> Column:
     return F.coalesce(confidence, F.lit(1.0)) < F.lit(float(floor))
 

@@ -77,16 +77,20 @@ def title(description: Column) -> Column:
     return F.substring_index(description, "|", 1)
 
 
-def is_json_object(c: Column) -> Column:
-    """True when the whole text is exactly one JSON object.
+def json_objects(c: Column, schema) -> Column:
+    """The JSON objects a text consists of, null when it is not JSON.
 
-    The JSON functions stop after the first value, so trailing text is caught
-    by asking for the length of an array that holds nothing but this text.
+    The parser stops after the first value of a text; inside brackets it has
+    to account for all of it. A text that is one object gives one element.
     """
+    kind = schema if isinstance(schema, str) else schema.simpleString()
     wrapped = F.concat(F.lit("["), c, F.lit("]"))
-    return F.coalesce(
-        F.startswith(F.ltrim(c), F.lit("{")) & (F.json_array_length(wrapped) == 1), F.lit(False)
-    )
+    return F.from_json(wrapped, f"array<{kind}>", {"allowSingleQuotes": "false"})
+
+
+def single(objects: Column) -> Column:
+    """True when a text was exactly one JSON object."""
+    return F.coalesce(F.size(objects) == 1, F.lit(False))
 
 
 def has_key(keys: Column, name: str) -> Column:

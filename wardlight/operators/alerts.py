@@ -318,6 +318,7 @@ def notify_alerts(
     group_interval: str | int = "1m",
     repeat: str | int = "5m",
     until=None,
+    after=None,
     place: str = "MONITORING",
 ) -> DataFrame:
     """Notifications per (alertname, severity) group.
@@ -382,6 +383,8 @@ def notify_alerts(
     kind = F.when(F.col("_again"), "repeat").when(F.col("_first"), "first").when(
         F.col("firing") == 0, "resolved"
     ).otherwise("changed")
+    if after is not None:
+        sent = sent.filter(F.col("_at") > second(times.moment(after)))
     return routed(sent, place).select(
         *group,
         times.at_second(F.col("_at")).alias("sent_at"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlight import schemas
 from wardlight.functions import text as X
+from wardlight.operators.common import evaluated
 
 # Prompt texts by version and the version in use.
 PROMPTS = {
@@ -55,40 +56,31 @@ def render_prompt(
     return df.withColumn("prompt", filled).filter(F.col("prompt_version").isin(*registry))
 
 
-_ANSWER = "severity string, confidence double, reasoning string, _bad string"
-_ANSWER_OPTIONS = {
-    "allowSingleQuotes": "false",
-    "columnNameOfCorruptRecord": "_bad",
-    "mode": "PERMISSIVE",
-}
+_ANSWER = "struct<severity:string,confidence:double,reasoning:string>"
 
 
 def with_parsed_answer(df: DataFrame, col: str = "response") -> DataFrame:
     """Add ai_severity, confidence, ai_reasoning and parse_status.
 
     A missing key takes its default; an explicit null confidence, one that is
-    not a number, or text that is not one JSON object is an error.
+    not a number, or text that is not one JSON object is an error. The keys of
+    an answer are only looked at when a field came out empty.
     """
-    shaped = df.withColumn("_answer", F.from_json(F.col(col), _ANSWER, _ANSWER_OPTIONS)).withColumn(
-        "_keys", F.when(X.is_json_object(F.col(col)), F.json_object_keys(F.col(col)))
+    parsed = evaluated(df, _objects=X.json_objects(F.col(col), _ANSWER)).withColumn(
+        "_answer", F.when(X.single(F.col("_objects")), F.get("_objects", F.lit(0)))
     )
     answer = F.col("_answer")
+    full = answer["severity"].isNotNull() & answer["confidence"].isNotNull() & answer["reasoning"].isNotNull()
+    keyed = evaluated(parsed, _keys=F.when(answer.isNotNull() & ~full, F.json_object_keys(col)))
     keys = F.col("_keys")
 
     def field(name: str, default):
-        return F.when(X.has_key(keys, name), answer[name]).otherwise(F.lit(default))
+        absent = answer.isNotNull() & answer[name].isNull() & ~X.has_key(keys, name)
+        return F.when(absent, F.lit(default)).otherwise(answer[name])
 
-    broken = keys.isNull() | answer["_bad"].isNotNull()
-    no_number = X.has_key(keys, "confidence") & (
-        answer["confidence"].isNull() | F.isnan(answer["confidence"])
-    )
-    status = (
-        F.when(keys.isNull(), "malformed")
-        .when(no_number, "bad_confidence")
-        .when(broken, "malformed")
-        .otherwise("ok")
-    )
-    return shaped.select(
+    no_number = (answer["confidence"].isNull() & X.has_key(keys, "confidence")) | F.isnan(answer["confidence"])
+    status = F.when(answer.isNull(), "malformed").when(no_number, "bad_confidence").otherwise("ok")
+    return keyed.select(
         *df.columns,
         field("severity", NO_SEVERITY).alias("ai_severity"),
         field("confidence", NO_CONFIDENCE).alias("confidence"),
@@ -116,10 +108,11 @@ def llm_cost(
 
 def report_from_json(df: DataFrame, col: str = "report") -> tuple[DataFrame, DataFrame]:
     """(reports, rejects): a report needs all seven fields."""
-    parsed = df.withColumn("_r", F.when(X.is_json_object(F.col(col)), F.from_json(col, schemas.REPORT)))
-    complete = F.col("_r").isNotNull()
+    parsed = evaluated(df, _objects=X.json_objects(F.col(col), schemas.REPORT)).withColumn(
+        "_r", F.when(X.single(F.col("_objects")), F.get("_objects", F.lit(0)))
+    )
+    complete = F.lit(True)
     for name in schemas.REPORT.fieldNames():
         complete = complete & F.col("_r")[name].isNotNull()
-    complete = F.coalesce(complete, F.lit(False))
     others = [c for c in df.columns if c != col]
-    return parsed.filter(complete).select(*others, "_r.*"), parsed.filter(~complete).drop("_r")
+    return parsed.filter(complete).select(*others, "_r.*"), parsed.filter(~complete).select(*df.columns)

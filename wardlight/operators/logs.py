@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions import text as X
+from wardlight.operators.common import evaluated
 
 # Fixed value: the shape of a log line.
 LINE_PATTERN = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+(?:\[client\s+([^\]]+)\]\s+)?(.*)$"
@@ -28,14 +29,19 @@ def clean_lines(df: DataFrame, col: str = "line") -> DataFrame:
     return df.withColumn(col, F.when(F.is_valid_utf8(raw), raw).otherwise(mended))
 
 
-def _fields(line: Column) -> Column:
+def _marked(line: Column) -> Column:
+    """The line with a separator before each of its four groups, if it has the shape."""
+    groups = _SEP + _SEP.join(f"${i}" for i in range(1, 5))
+    return F.regexp_replace(line, _FLAGS + LINE_PATTERN, groups)
+
+
+def _fields(line: Column, marked: Column) -> Column:
     """The four groups as an array, null when the line has another shape.
 
-    One regex pass puts a separator between the groups. A line that holds the
-    separator itself takes the slower way, one extraction per group.
+    One regex pass has marked the groups. A line that holds the separator
+    itself takes the slower way, one extraction per group.
     """
     pattern = _FLAGS + LINE_PATTERN
-    marked = F.regexp_replace(line, pattern, _SEP + _SEP.join(f"${i}" for i in range(1, 5)))
     quick = F.when(F.startswith(marked, F.lit(_SEP)), F.slice(F.split(marked, _SEP), 2, 4))
     slow = F.when(
         F.rlike(line, F.lit(pattern)), F.array(*[F.regexp_extract(line, pattern, i) for i in range(1, 5)])
@@ -45,7 +51,9 @@ def _fields(line: Column) -> Column:
 
 def parse_log_line(lines: DataFrame, col: str = "line") -> DataFrame:
     """log_ts, level, client_ip, message; lines of another shape are dropped."""
-    parsed = lines.withColumn("_f", _fields(X.strip(F.col(col)))).filter(F.col("_f").isNotNull())
+    stripped = evaluated(lines, _line=X.strip(F.col(col)))
+    marked = evaluated(stripped, _marked=_marked(F.col("_line")))
+    parsed = evaluated(marked, _f=_fields(F.col("_line"), F.col("_marked"))).filter(F.col("_f").isNotNull())
     part = F.col("_f")
     return parsed.select(
         *[c for c in lines.columns if c != col],

@@ -33,14 +33,19 @@ def severity_distribution(df: DataFrame, col: str = "ai_severity") -> DataFrame:
 
 
 def severity_entropy(df: DataFrame, col: str = "ai_severity") -> DataFrame:
-    """Entropy in nats over the four known labels; null without any such row.
+    """Entropy in nats over the four known labels; null without any such row."""
+    return entropy_of(severity_distribution(df.filter(F.col(col).isin(*SEVERITIES)), col))
+
+
+def entropy_of(counts: DataFrame) -> DataFrame:
+    """Entropy from (severity, incidents) rows, such as a stream's running totals.
 
     With n per label and N in total, -sum(n/N ln(n/N)) = ln N - sum(n ln n)/N,
     which needs one pass over at most four counts.
     """
-    counts = severity_distribution(df.filter(F.col(col).isin(*SEVERITIES)), col)
     n = F.col("incidents")
-    sums = counts.agg(F.sum(n).alias("_n"), F.sum(n * F.ln(n)).alias("_nln"))
+    known = counts.filter(F.col("severity").isin(*SEVERITIES) & (n > 0))
+    sums = known.agg(F.sum(n).alias("_n"), F.sum(n * F.ln(n)).alias("_nln"))
     return sums.select(
         F.coalesce("_n", F.lit(0)).alias("incidents"),
         (F.ln("_n") - F.col("_nln") / F.col("_n")).alias("entropy"),

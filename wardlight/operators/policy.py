@@ -13,13 +13,13 @@ from wardlight.functions import times
 
 def _add_policy(df: DataFrame, name: str, applies: Column) -> DataFrame:
     """Append a policy name where it applies; a name is never listed twice."""
-    sofar = (
-        F.coalesce("applied_policies", F.array().cast("array<string>"))
-        if "applied_policies" in df.columns
-        else F.array().cast("array<string>")
-    )
-    added = F.array_compact(F.array(F.when(applies, F.lit(name))))
-    return df.withColumn("applied_policies", F.array_union(sofar, added))
+    one = F.array(F.lit(name))
+    none = F.array().cast("array<string>")
+    if "applied_policies" not in df.columns:
+        return df.withColumn("applied_policies", F.when(applies, one).otherwise(none))
+    sofar = F.coalesce("applied_policies", none)
+    new = applies & ~F.array_contains(sofar, name)
+    return df.withColumn("applied_policies", F.concat(sofar, F.when(new, one).otherwise(none)))
 
 
 def _review_flag(df: DataFrame) -> Column:
@@ -28,15 +28,17 @@ def _review_flag(df: DataFrame) -> Column:
 
 def safety_override(df: DataFrame, keywords: Sequence[str] = P.KEYWORDS) -> DataFrame:
     """A danger word in the text makes the case CRITICAL and asks for review."""
-    hit = P.overridden(F.col("description"), F.col("severity"), keywords)
-    marked = df.withColumn("_hit", hit)
+    # lower-cased once as a column: inside the chain of ORs it would be done per word
+    lowered = df.withColumn("_lowered", F.lower("description"))
+    hit = P.mentions_any(F.col("_lowered"), keywords) & ~F.col("severity").eqNullSafe(F.lit("CRITICAL"))
+    marked = lowered.withColumn("_hit", hit)
     return (
         _add_policy(marked, P.SAFETY, F.col("_hit"))
         .withColumns({
             "needs_review": _review_flag(df) | F.col("_hit"),
             "severity": F.when(F.col("_hit"), F.lit("CRITICAL")).otherwise(F.col("severity")),
         })
-        .drop("_hit")
+        .drop("_hit", "_lowered")
     )
 
 

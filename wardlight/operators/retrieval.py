@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlight.operators.common import broadcast_if_few
+
+# The search functions travel to the executors as code, so that the package
+# does not have to be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
 # Chunk size and overlap in characters, texts per context.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 100
@@ -151,13 +159,10 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = CONTEXT_TEXTS) -
     a shuffle; beyond that both sides meet block by block.
     """
     schema = _schema(queries, chunks)
-    some = queries.select("query_id", "vector").limit(INLINE_QUERIES + 1)
-    sizes = some.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dims")
-    ).first()
-    if sizes["n"] <= INLINE_QUERIES and sizes["n"] * sizes["dims"] * 8 <= INLINE_BYTES:
-        rows = some.toPandas()
-        inline = (list(rows["query_id"]), _matrix(rows["vector"]) if len(rows) else np.zeros((0, 0)))
+    some = queries.select("query_id", "vector").limit(INLINE_QUERIES + 1).toPandas()
+    size = sum(len(v) for v in some["vector"]) * 8
+    if len(some) <= INLINE_QUERIES and size <= INLINE_BYTES:
+        inline = (list(some["query_id"]), _matrix(some["vector"]) if len(some) else np.zeros((0, 0)))
         candidates = _scan(inline, chunks.select("chunk_id", "vector"), k, schema)
     else:
         candidates = _blocks(queries, chunks, k, schema, queries.count())
@@ -172,7 +177,7 @@ def retrieve_context(
 
     ``chunks`` also has a ``chunk`` text. At most k texts per query are gathered.
     """
-    near = vector_topk(queries, chunks, k)
+    near = broadcast_if_few(vector_topk(queries, chunks, k))
     texts = near.join(chunks.select("chunk_id", "chunk"), "chunk_id")
     lines = F.array_sort(F.collect_list(F.struct("rank", "chunk")))
     return texts.groupBy("query_id").agg(

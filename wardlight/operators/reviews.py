@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions import times
@@ -23,16 +23,19 @@ ENTRY_START = r"\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] "
 LOG_CELL_BYTES = 16 * 1024 * 1024
 
 
-def review_entries(actions: DataFrame) -> DataFrame:
-    """One audit entry per reclassification: the trail in append-only form."""
-    note = F.coalesce("reviewer_notes", F.lit(DEFAULT_NOTE))
-    line = F.concat(
+def _entry() -> Column:
+    """The audit line of a reclassification."""
+    return F.concat(
         F.lit("["), times.stamp(F.col("action_ts")), F.lit("] HUMAN_OVERRIDE to "),
         F.coalesce("new_severity", F.lit("None")), F.lit(" by "), F.col("actor"),
-        F.lit(" (Note: "), note, F.lit(")\n"),
+        F.lit(" (Note: "), F.coalesce("reviewer_notes", F.lit(DEFAULT_NOTE)), F.lit(")\n"),
     )
+
+
+def review_entries(actions: DataFrame) -> DataFrame:
+    """One audit entry per reclassification: the trail in append-only form."""
     return actions.filter(F.col("action") == "reclassify").select(
-        "incident_id", "action_ts", "seq", line.alias("entry")
+        "incident_id", "action_ts", "seq", _entry().alias("entry")
     )
 
 
@@ -58,20 +61,14 @@ def apply_reviews(
         F.max_by(
             F.struct("new_severity", note.alias("note")), F.when(reclassified, order)
         ).alias("_override"),
-        F.max_by(
-            F.struct("actor", "action_ts"), F.when(closes, order)
-        ).alias("_by"),
-    )
-    entries = review_entries(known)
-    huge = (
-        entries.groupBy("incident_id")
-        .agg(F.sum(F.octet_length("entry")).alias("_bytes"))
-        .filter(F.col("_bytes") > cell_bytes)
-        .select("incident_id", F.lit(True).alias("log_in_entries"))
+        F.max_by(F.struct("actor", "action_ts"), F.when(closes, order)).alias("_by"),
+        F.coalesce(F.sum(F.when(reclassified, F.octet_length(_entry()))), F.lit(0)).alias("_bytes"),
     )
     # usually nothing is huge: adaptive execution then drops this join
+    huge = fold.filter(F.col("_bytes") > cell_bytes).select("incident_id")
     texts = (
-        entries.join(huge, "incident_id", "left_anti")
+        review_entries(known)
+        .join(huge, "incident_id", "left_anti")
         .groupBy("incident_id")
         .agg(F.collect_list(F.struct("action_ts", "seq", "entry")).alias("_lines"))
         .select(
@@ -79,11 +76,7 @@ def apply_reviews(
             F.array_join(F.transform(F.array_sort("_lines"), lambda e: e["entry"]), "").alias("_text"),
         )
     )
-    joined = (
-        incidents.join(fold, "incident_id", "left")
-        .join(texts, "incident_id", "left")
-        .join(huge, "incident_id", "left")
-    )
+    joined = incidents.join(fold, "incident_id", "left").join(texts, "incident_id", "left")
     override, by = F.col("_override"), F.col("_by")
 
     def old(name: str, kind: str):
@@ -101,7 +94,7 @@ def apply_reviews(
             F.col("_text").isNotNull(),
             F.concat(F.coalesce(old("transformation_log", "string"), F.lit("")), F.col("_text")),
         ).otherwise(old("transformation_log", "string")),
-        "log_in_entries": F.coalesce("log_in_entries", F.lit(False)),
+        "log_in_entries": F.coalesce(F.col("_bytes") > cell_bytes, F.lit(False)),
     }
     kept = [c for c in incidents.columns if c not in changed]
     return joined.select(*kept, *[c.alias(name) for name, c in changed.items()])

@@ -266,27 +266,13 @@ def _conditions(d: Data):
     return shares.select("instance", "tick", F.col("share").alias("value"), (F.col("share") > 0.2).alias("firing"))
 
 
-DIMENSIONS = 64
-
-
 def _queries(d: Data):
-    """One question per label: the element-wise mean of its vectors.
-
-    The sums are of whole millionths, so they do not depend on the row order.
-    """
-    def mean(i: int):
-        part = F.round(F.get("embedding", F.lit(i)).cast("double") * 1e6).cast("long")
-        return F.round(F.sum(part) / F.count(F.lit(1)) / 1e6, 6)
-
-    sums = d.table("embeddings").groupBy("label").agg(*[mean(i).alias(f"m{i}") for i in range(DIMENSIONS)])
-    return sums.select(
-        F.col("label").alias("query_id"), F.array(*[F.col(f"m{i}") for i in range(DIMENSIONS)]).alias("vector")
-    )
+    """One question per label: the label's first vector."""
+    return d.table("embeddings").groupBy(F.col("label").alias("query_id")).agg(
+        F.min_by("embedding", "vec_id").cast("array<double>").alias("vector"))
 
 
-_QUERIES = """parts AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
-means AS (SELECT label, i, round(CAST(sum(CAST(round(v * 1e6) AS BIGINT)) AS BIGINT)::DOUBLE / count(*) / 1e6, 6) AS m FROM parts GROUP BY ALL),
-queries AS (SELECT label AS query_id, list(m ORDER BY i) AS vector FROM means GROUP BY label)"""
+_QUERIES = "queries AS (SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS vector FROM embeddings GROUP BY label)"
 
 
 def _vectors(d: Data):

@@ -50,6 +50,21 @@ def _rates(d: Data):
     return rolled.withColumn("rate", F.round(F.col("events") / F.lit(float(MP._SIX)), 6))
 
 
+def _running_entropy(d: Data):
+    path, marks = work_folder(d.spark, "totals"), work_folder(d.spark, "marks")
+    signals.stream_totals(_stream(d, "incidents"), M.severity_distribution, path, marks).awaitTermination()
+    totals = signals.read_totals(d.spark, path, ["severity"], T.StructType([
+        T.StructField("severity", T.StringType()), T.StructField("incidents", T.LongType())]))
+    return MP._rounded(M.entropy_of(totals), "entropy")
+
+
+def _running_histogram(d: Data):
+    path, marks = work_folder(d.spark, "totals"), work_folder(d.spark, "marks")
+    signals.stream_totals(_stream(d, "calls"), M.latency_histogram, path, marks).awaitTermination()
+    return signals.read_totals(d.spark, path, ["le"], T.StructType([
+        T.StructField("le", T.StringType()), T.StructField("cumulative", T.LongType())]))
+
+
 def _alerts(d: Data):
     root, marks = work_folder(d.spark, "alerts"), work_folder(d.spark, "marks")
     calls = _stream(d, "calls")
@@ -77,5 +92,7 @@ PLANS = [
     Plan("stream_ingest", _ingested, _sql("normalize_request")),
     Plan("stream_triage", _triaged, _sql("triage")),
     Plan("stream_rate", _rates, _sql("event_rate")),
+    Plan("stream_severity_entropy", _running_entropy, _sql("severity_entropy")),
+    Plan("stream_latency_histogram", _running_histogram, _sql("latency_histogram")),
     Plan("stream_alerts", _alerts, _FINAL_ALERTS),
 ]

@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, name: str = "wardlight", **conf: str) ->
     settings = DEFAULTS | {
         "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.log.level": "ERROR",

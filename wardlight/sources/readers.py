@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight import schemas
 from wardlight.functions import text as X
+from wardlight.operators.common import evaluated
 from wardlight.operators.logs import clean_lines
 
-_BAD = "_corrupt_record"
-
 
 def _reader(spark: SparkSession, stream: bool, schema=None):
     reader = spark.readStream if stream else spark.read
@@ -28,11 +27,9 @@ def read_requests(spark: SparkSession, path: str, stream: bool = False, extra: s
 
 def parse_requests(lines: DataFrame, col: str = "line") -> DataFrame:
     """Raw requests from a column of JSON texts, e.g. a message queue's value."""
-    parsed = F.from_json(F.col(col), schemas.RAW_REQUEST)
     others = [c for c in lines.columns if c != col]
-    return lines.filter(X.is_json_object(F.col(col))).select(*others, parsed.alias("_r")).select(
-        *others, "_r.*"
-    )
+    parsed = evaluated(lines, _objects=X.json_objects(F.col(col), schemas.RAW_REQUEST))
+    return parsed.select(*others, F.inline(F.when(X.single(F.col("_objects")), F.col("_objects"))))
 
 
 def read_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -40,19 +37,14 @@ def read_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame
     return clean_lines(_reader(spark, stream).text(path).withColumnRenamed("value", "line"))
 
 
-def _service_log(record: Column) -> list[Column]:
-    at = F.try_to_timestamp(F.regexp_replace(record["timestamp"], "Z$", "")).cast("timestamp_ntz")
-    return [at.alias("timestamp")] + [
-        record[n].alias(n) for n in schemas.SERVICE_LOG.fieldNames() if n != "timestamp"
-    ]
-
-
 def parse_json_logs(lines: DataFrame, col: str = "line") -> tuple[DataFrame, DataFrame]:
     """(records, rejects) from a column of JSON log lines."""
-    good = X.is_json_object(F.col(col))
-    parsed = lines.filter(good).withColumn("_r", F.from_json(F.col(col), schemas.SERVICE_LOG))
     others = [c for c in lines.columns if c != col]
-    return parsed.select(*others, *_service_log(F.col("_r"))), lines.filter(~good)
+    parsed = evaluated(lines, _objects=X.json_objects(F.col(col), schemas.SERVICE_LOG))
+    objects = F.col("_objects")
+    records = parsed.select(*others, F.inline(F.when(X.single(objects), objects)))
+    at = F.try_to_timestamp(F.rtrim("timestamp", F.lit("Z"))).cast("timestamp_ntz")
+    return records.withColumn("timestamp", at), parsed.filter(~X.single(objects)).select(*lines.columns)
 
 
 def read_json_logs(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:

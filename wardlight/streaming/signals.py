@@ -54,6 +54,25 @@ def read_slices(spark: SparkSession, path: str, by: Sequence[str], schema: T.Str
     return latest.select(*by, "tick", "_v.*")
 
 
+def stream_totals(
+    events: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write the partial aggregate of every micro-batch.
+
+    For counts and sums no stream state and no watermark are needed: what the
+    batches wrote adds up, and a late event counts like any other.
+    """
+    return each_batch(events, lambda df, n: write_batch(partial(df), path, n), checkpoint, trigger=trigger)
+
+
+def read_totals(spark: SparkSession, path: str, by: Sequence[str], schema: T.StructType) -> DataFrame:
+    """The sums over all batches of what ``stream_totals`` wrote."""
+    sums = [f.name for f in schema.fields if f.name not in by]
+    return read_batches(spark, path, schema).groupBy(*by).agg(
+        *[F.sum(name).cast(schema[name].dataType).alias(name) for name in sums])
+
+
 def _state_schema(series: list[T.StructField]) -> T.StructType:
     return T.StructType([
         *series,
