@@ -37,16 +37,17 @@ def performance_stats(df: DataFrame) -> DataFrame:
 def _edge(rows: DataFrame, n: int, oldest: bool, salts: int) -> DataFrame:
     """The n oldest (or newest) rows per version.
 
-    There are few versions, so one of them may own most of the table. Ranking
-    within (version, salt) first spreads it over ``salts`` tasks; only n rows
-    per salt reach the final rank. Both ranks are limits inside the sort, also
-    before the shuffle.
+    There are few versions, so one of them may own most of the table. Every
+    scan task first keeps n rows per version; these are ranked within
+    (version, salt) by many tasks and only n rows per salt reach the last
+    rank. The salt is the scan task's number, so that salting does not make a
+    task keep more rows; the result does not depend on it.
     """
     time = F.col("created_at")
     order = [time.asc_nulls_last() if oldest else time.desc_nulls_first(), F.col("incident_id").asc()]
     inner = Window.partitionBy("prompt_version", "_salt").orderBy(*order)
     outer = Window.partitionBy("prompt_version").orderBy(*order)
-    salt = F.pmod(F.xxhash64("incident_id"), F.lit(salts))
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     return (
         rows.withColumn("_salt", salt)
         .withColumn("_rank", F.row_number().over(inner)).filter(F.col("_rank") <= n)
