@@ -217,6 +217,11 @@ def test_notifications_equal_a_clock(spark, seed):
     got = sorted((r["alertname"], r["severity"], int((r["sent_at"] - T0).total_seconds()), r["kind"], r["firing"], r["resolved"])
                  for r in A.notify_alerts(df, until=at(until)).collect())
     assert got == notify_by_hand([a for a in alerts if a[0] != "Watchdog"], until)
+    early, late = A.notify_alerts(df, until=at(3000)), A.notify_alerts(df, until=at(until), after=at(3000))
+    assert late.count() == sum(n[2] > 3000 for n in got)
+    # up to its horizon a run sends what the longer run sends
+    assert {n[:3] for n in got if n[2] <= 3000} <= {
+        (r["alertname"], r["severity"], int((r["sent_at"] - T0).total_seconds())) for r in early.collect()}
     receivers = {(r["severity"], r["receiver"]) for r in A.notify_alerts(df).collect()}
     assert receivers <= {("critical", "slack-critical"), ("warning", "slack-alerts")}
 

@@ -1,5 +1,6 @@
 """Redaction, addresses, requests, answers."""
 
+import random
 import re
 
 import pytest
@@ -33,6 +34,21 @@ def test_redaction_equals_the_pattern(spark):
     assert audit["phone_tokens"] == sum(redacted(t).count("[REDACTED_PHONE]") for t in TEXTS)
 
 
+def test_redaction_of_random_texts(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab1.-@@ é_5") for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += ["".join(rng.choice("0123456789-. x") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, description string")
+    got = {r["i"]: r["description"] for r in privacy.redact_pii(rows).collect()}
+    assert got == {i: redacted(t) for i, t in enumerate(texts)}
+
+
+def test_a_long_run_is_read_once(spark):
+    text = "a" * 400_000 + " x@y.org " + "b.-" * 100_000
+    row = privacy.redact_pii(spark.createDataFrame([(text,)], "description string")).first()
+    assert row[0] == text.replace("x@y.org", "[REDACTED_EMAIL]")
+
+
 def test_audit_of_nothing(spark):
     rows = spark.createDataFrame([], "description string")
     assert tuple(privacy.pii_audit(rows).first()) == (0, 0, 0, 0)
