@@ -100,11 +100,14 @@ def request_counts(calls: DataFrame, by: str = "instance") -> DataFrame:
     )
 
 
+def latest_rows(calls: DataFrame, by: Sequence[str] = ("severity",)) -> DataFrame:
+    """Time and confidence of the last call per label; equal times go to the larger value."""
+    return calls.groupBy(*by).agg(F.max(F.struct("ts", "confidence")).alias("_last")).select(*by, "_last.*")
+
+
 def latest_confidence(calls: DataFrame, by: Sequence[str] = ("severity",)) -> DataFrame:
-    """The last confidence per label; equal times go to the larger value."""
-    return calls.groupBy(*by).agg(
-        F.max_by("confidence", F.struct("ts", "confidence")).alias("confidence")
-    )
+    """The last confidence per label, also from the ``latest_rows`` of several batches."""
+    return latest_rows(calls, by).drop("ts")
 
 
 def _bucket(bucket: str) -> Column:

@@ -231,8 +231,9 @@ _BOTH = " UNION ALL ".join(
 
 UNTIL = "2024-01-31 00:00:00"
 
-# Every tick of every open group is laid out and then judged, one by one.
-_NOTIFIED = f"""WITH alerts AS ({_BOTH}),
+def notified_sql(alerts: str) -> str:
+    """Every tick of every open group is laid out and then judged, one by one."""
+    return f"""WITH alerts AS ({alerts}),
 changes AS (SELECT alertname, severity, CAST(epoch(fires_at) AS BIGINT) AS sec, 1 AS f, 0 AS e FROM alerts
   UNION ALL SELECT alertname, severity, CAST(epoch(resolved_at) AS BIGINT), 0, 1 FROM alerts WHERE resolved_at IS NOT NULL),
 instants AS (SELECT alertname, severity, sec, sum(f) AS f, sum(e) AS e FROM changes GROUP BY ALL),
@@ -387,6 +388,6 @@ SELECT bucket_start, round(traffic_z, 6) AS traffic_z, round(tokens_z, 6) AS tok
   coalesce(traffic_z < -2, false) AS traffic_drop, coalesce(tokens_z > 2, false) AS token_spike, coalesce(latency_z > 2, false) AS latency_anomaly,
   coalesce(traffic_z < -2, false) OR coalesce(tokens_z > 2, false) OR coalesce(latency_z > 2, false) AS anomalous FROM z"""),
     *ALERT_PLANS,
-    Plan("notify_alerts", lambda d: A.notify_alerts(all_alerts(d), until=UNTIL), _NOTIFIED),
+    Plan("notify_alerts", lambda d: A.notify_alerts(all_alerts(d), until=UNTIL), notified_sql(_BOTH)),
     Plan("alert_text", lambda d: A.alert_text(all_alerts(d)).select("alertname", "instance", "since", "text"), _TEXT),
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlight.operators import alerts as A
 from wardlight.operators import metrics as M
 from wardlight.operators import requests
 from wardlight.plans import metric_plans as MP
@@ -65,7 +66,16 @@ def _running_histogram(d: Data):
         T.StructField("le", T.StringType()), T.StructField("cumulative", T.LongType())]))
 
 
-def _alerts(d: Data):
+def _running_confidence(d: Data):
+    path, marks = work_folder(d.spark, "latest"), work_folder(d.spark, "marks")
+    signals.stream_totals(_stream(d, "calls"), M.latest_rows, path, marks).awaitTermination()
+    return M.latest_confidence(read_batches(d.spark, path, T.StructType([
+        T.StructField("severity", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("confidence", T.DoubleType())])))
+
+
+def _alerted(d: Data) -> tuple[str, list[T.StructField]]:
+    """Run the error-share alert over the calls; its folder and series fields."""
     root, marks = work_folder(d.spark, "alerts"), work_folder(d.spark, "marks")
     calls = _stream(d, "calls")
     sums = {"total": F.count(F.lit(1)), "bad": F.count_if(F.col("status") >= 500)}
@@ -73,7 +83,18 @@ def _alerts(d: Data):
         calls, ["instance"], sums, lambda r: F.try_divide(r["bad"], r["total"]) > 0.2, root, marks,
         step=MP.HOUR, window=MP._SIX, hold="2h",
     ).awaitTermination()
-    return signals.read_alerts(d.spark, root, [calls.schema["instance"]])
+    return root, [calls.schema["instance"]]
+
+
+def _alerts(d: Data):
+    return signals.read_alerts(d.spark, *_alerted(d))
+
+
+RULE = A.RULES["LLMHighErrorRate"]
+
+
+def _notifications(d: Data):
+    return signals.new_notifications(d.spark, *_alerted(d), RULE, until=MP.UNTIL)
 
 
 # a slice counts once the watermark, ten minutes behind the last event, has passed it
@@ -94,5 +115,8 @@ PLANS = [
     Plan("stream_rate", _rates, _sql("event_rate")),
     Plan("stream_severity_entropy", _running_entropy, _sql("severity_entropy")),
     Plan("stream_latency_histogram", _running_histogram, _sql("latency_histogram")),
+    Plan("stream_latest_confidence", _running_confidence, _sql("latest_confidence")),
     Plan("stream_alerts", _alerts, _FINAL_ALERTS),
+    Plan("stream_notifications", _notifications, MP.notified_sql(
+        f"SELECT '{RULE.name}' AS alertname, '{RULE.severity}' AS severity, * FROM ({_FINAL_ALERTS})")),
 ]

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlight import schemas
 from wardlight.operators import answers, privacy, requests, triage
-from wardlight.sources.sinks import read_batches, write_batch
+from wardlight.sources.sinks import folder_exists, read_batches, write_batch
 from wardlight.streaming.base import each_batch
 
 
@@ -30,8 +30,13 @@ def stream_ingest(
         once = valid.groupBy("incident_id").agg(
             F.min(F.struct("description", "address", "image_url")).alias("_r")
         ).select("incident_id", "_r.*")
+        if not folder_exists(spark, stored):
+            write_batch(once, stored, batch_id)
+            return
+        once.persist()  # read for its keys, for the join and for the write
         before = read_batches(spark, stored, schemas.REQUEST).filter(F.col("batch_id") < batch_id)
         write_batch(requests.skip_seen(once, before), stored, batch_id)
+        once.unpersist()
 
     return each_batch(shaped, handle, checkpoint, trigger=trigger)
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight.functions import times
+from wardlight.operators import alerts as A
 from wardlight.operators import metrics as M
 from wardlight.sources.sinks import read_batches, write_batch
 from wardlight.streaming.base import each_batch
@@ -60,7 +61,7 @@ def stream_totals(
 ) -> StreamingQuery:
     """Write the partial aggregate of every micro-batch.
 
-    For counts and sums no stream state and no watermark are needed: what the
+    For counts, sums and last values no stream state and no watermark are needed: what the
     batches wrote adds up, and a late event counts like any other.
     """
     return each_batch(events, lambda df, n: write_batch(partial(df), path, n), checkpoint, trigger=trigger)
@@ -94,8 +95,10 @@ def _event_schema(series: list[T.StructField]) -> T.StructType:
 def alert_step(
     fresh: DataFrame, earlier: DataFrame, state: DataFrame, by: Sequence[str], step: str | int,
     window: str | int, hold: str | int, firing: Callable[[DataFrame], Column], cols: Sequence[str],
-) -> tuple[DataFrame, DataFrame]:
-    """(events, new state) of one batch of final slices.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, new state, runs) of one batch of final slices.
+
+    The runs feed both others; the caller may keep them between the two writes.
 
     ``earlier`` are the slices of former batches, ``state`` has per series its
     last tick, the start of a run that was still going, and whether that run
@@ -143,7 +146,7 @@ def alert_step(
     moved = reached.join(going, by, "left").select(
         *by, "last_tick", "since", F.coalesce("fired", F.lit(False)).alias("fired"))
     resting = state.join(touched, by, "left_anti").select(*by, "last_tick", "since", "fired")
-    return starts.unionByName(ends), resting.unionByName(moved)
+    return starts.unionByName(ends), resting.unionByName(moved), runs
 
 
 def stream_alerts(
@@ -173,9 +176,11 @@ def stream_alerts(
         floor = state.join(now.select(*by).distinct(), list(by), "left_semi").agg(F.min("last_tick")).first()[0]
         horizon = -(2**62) if floor is None else floor - times.seconds_of(window)
         earlier = written.filter((F.col("batch_id") < batch_id) & (F.col("tick") > F.lit(horizon)))
-        told, moved = alert_step(now, earlier, state, by, step, window, hold, firing, list(sums))
+        told, moved, runs = alert_step(now, earlier, state, by, step, window, hold, firing, list(sums))
+        runs.persist()
         write_batch(told, f"{root}/events", batch_id)
         write_batch(moved, f"{root}/state", batch_id)
+        runs.unpersist()
 
     return each_batch(rows, handle, checkpoint, "append", trigger)
 
@@ -191,3 +196,15 @@ def read_alerts(spark: SparkSession, root: str, series: list[T.StructField]) ->
         times.at_second(F.col("f")).alias("fires_at"),
         times.at_second(F.col("r")).alias("resolved_at"),
     )
+
+
+def new_notifications(
+    spark: SparkSession, root: str, series: list[T.StructField], rule: A.Rule, after=None, until=None,
+) -> DataFrame:
+    """What the groups of a rule's alerts send after one moment and up to another.
+
+    A job that runs once a minute passes its last and its present run time.
+    """
+    alerts = read_alerts(spark, root, series).withColumns({
+        "alertname": F.lit(rule.name), "severity": F.lit(rule.severity)})
+    return A.notify_alerts(alerts, after=after, until=until)
