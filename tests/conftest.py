@@ -13,7 +13,7 @@ from wardlight.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session(8, "tests", **{
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
     })
     yield session
     session.stop()

@@ -78,7 +78,7 @@ def test_increase_with_resets_equals_a_walk_over_the_samples(spark):
             rows.append((s + rng.random(), who, value[who]))
     df = samples(spark, rows, "n", "pod")
     got = {(r["pod"], r["tick"]): r["increase"] for r in
-           M.increase(A._named(df, "n", "pod"), "2 minutes", 15, ["pod"]).collect()}
+           M.increase(A.samples_of(df, "n", "pod"), "2 minutes", 15, ["pod"]).collect()}
     for who in "ab":
         mine = sorted((at(s), v) for s, w, v in rows if w == who)
         grown = {}
@@ -93,7 +93,7 @@ def test_increase_with_resets_equals_a_walk_over_the_samples(spark):
 
 def test_a_gauge_goes_stale(spark):
     df = samples(spark, [(0, "a", 1), (3, "a", 2), (600, "a", 3)], "g", "instance")
-    got = {r["tick"]: r["value"] for r in M.gauge_ticks(A._named(df, "g", "instance"), ["instance"], 15, "1 minute").collect()}
+    got = {r["tick"]: r["value"] for r in M.gauge_ticks(A.samples_of(df, "g", "instance"), ["instance"], 15, "1 minute").collect()}
     start = tick(T0, 15)
     assert got == {start: 1.0, **{start + s: 2.0 for s in (15, 30, 45, 60)}, start + 600: 3.0}
 

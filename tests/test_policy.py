@@ -13,34 +13,34 @@ KEYWORD, SLA, LOW = "Safety Keyword Override", "SLA Assignment", "Low Confidence
 
 # name, description, model severity, confidence -> severity, review, hours, policies
 CASES = [
-    ("fire", "There is a fire on the third floor", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("gas", "Strong gas smell coming from the basement", "MEDIUM", 0.85, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("explosion", "Explosion heard near the parking lot", "HIGH", 0.88, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("flood", "Street flood blocking entire road", "MEDIUM", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("smoke", "Heavy smoke coming from the building", "LOW", 0.95, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("earthquake", "earthquake damage reported on 5th ave", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("collapsed", "Wall collapsed onto the sidewalk", "MEDIUM", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("emergency", "Emergency situation at the school entrance", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("fire", "A dumpster behind the library is on fire", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("gas", "It smells of gas in the stairwell", "MEDIUM", 0.85, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("explosion", "Explosion behind the bus depot an hour ago", "HIGH", 0.88, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("flood", "The underpass is in flood again", "MEDIUM", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("smoke", "Black smoke over the warehouse", "LOW", 0.95, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("earthquake", "cracks in the bridge since the earthquake", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("collapsed", "The retaining wall has collapsed", "MEDIUM", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("emergency", "Emergency exit of the theater is blocked", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
     ("substring", "Firefly nest by the gasoline pump", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("upper case", "FIRE on the rooftop", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("already critical", "fire in the building", "CRITICAL", 0.95, "CRITICAL", False, 2, [SLA]),
-    ("no keyword", "Graffiti on the park bench", "LOW", 0.9, "LOW", False, 72, [SLA]),
-    ("high", "Large pothole blocking lane", "HIGH", 0.9, "HIGH", False, 4, [SLA]),
-    ("medium", "Broken park bench", "MEDIUM", 0.9, "MEDIUM", False, 24, [SLA]),
-    ("low", "Faded road marking", "LOW", 0.9, "LOW", False, 72, [SLA]),
-    ("unknown", "Noise complaint", "UNKNOWN", 0.9, "UNKNOWN", False, 72, [SLA]),
-    ("lower case label", "Noise complaint", "critical", 0.9, "critical", False, 72, [SLA]),
-    ("unsure", "Some ambiguous complaint", "LOW", 0.5, "LOW", True, 72, [SLA, LOW]),
-    ("just below", "Complaint", "LOW", 0.79, "LOW", True, 72, [SLA, LOW]),
-    ("at the limit", "Graffiti on wall", "LOW", 0.8, "LOW", False, 72, [SLA]),
-    ("sure", "Broken traffic light", "MEDIUM", 0.95, "MEDIUM", False, 24, [SLA]),
-    ("unsure keeps severity", "Minor pothole", "MEDIUM", 0.5, "MEDIUM", True, 24, [SLA, LOW]),
-    ("both", "Possible gas smell not sure", "LOW", 0.5, "CRITICAL", True, 2, [KEYWORD, SLA, LOW]),
-    ("no confidence", "Broken streetlight", "LOW", None, "LOW", False, 72, [SLA]),
-    ("no severity", "Minor issue", None, 0.9, "LOW", False, 72, [SLA]),
+    ("upper case", "FIRE in the tunnel", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
+    ("already critical", "camp fire out of control", "CRITICAL", 0.95, "CRITICAL", False, 2, [SLA]),
+    ("no keyword", "Tags on the fountain", "LOW", 0.9, "LOW", False, 72, [SLA]),
+    ("high", "Deep hole in the bike lane", "HIGH", 0.9, "HIGH", False, 4, [SLA]),
+    ("medium", "Swing with a torn chain", "MEDIUM", 0.9, "MEDIUM", False, 24, [SLA]),
+    ("low", "Crosswalk paint is worn", "LOW", 0.9, "LOW", False, 72, [SLA]),
+    ("unknown", "Loud music after midnight", "UNKNOWN", 0.9, "UNKNOWN", False, 72, [SLA]),
+    ("lower case label", "Loud music after midnight", "critical", 0.9, "critical", False, 72, [SLA]),
+    ("unsure", "Something odd at the corner", "LOW", 0.5, "LOW", True, 72, [SLA, LOW]),
+    ("just below", "Please look at this", "LOW", 0.79, "LOW", True, 72, [SLA, LOW]),
+    ("at the limit", "Stickers on a sign", "LOW", 0.8, "LOW", False, 72, [SLA]),
+    ("sure", "Signal stuck on red", "MEDIUM", 0.95, "MEDIUM", False, 24, [SLA]),
+    ("unsure keeps severity", "Uneven curb", "MEDIUM", 0.5, "MEDIUM", True, 24, [SLA, LOW]),
+    ("both", "Might be gas, hard to tell", "LOW", 0.5, "CRITICAL", True, 2, [KEYWORD, SLA, LOW]),
+    ("no confidence", "Lamp does not go on", "LOW", None, "LOW", False, 72, [SLA]),
+    ("no severity", "Bin is full", None, 0.9, "LOW", False, 72, [SLA]),
     ("no description", None, "HIGH", 0.9, "HIGH", False, 4, [SLA]),
 ] + [
-    (f"every keyword: {word}", f"There is a {word} situation", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA])
+    (f"every keyword: {word}", f"Report: {word} near the river", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA])
     for word in P.KEYWORDS
 ]
 
@@ -63,13 +63,13 @@ def test_case(ruled, case):
 
 
 def test_default_deadline_lies_ahead(spark):
-    rows = spark.createDataFrame([("a", "Broken hydrant", "MEDIUM", 0.9)], SCHEMA)
+    rows = spark.createDataFrame([("a", "Hydrant leaks", "MEDIUM", 0.9)], SCHEMA)
     row = policy.enforce_policies(rows).selectExpr("deadline > localtimestamp() AS ahead").first()
     assert row["ahead"]
 
 
 def test_applying_twice_lists_no_policy_twice(spark):
-    rows = spark.createDataFrame([("a", "gas smell in basement", "LOW", 0.5)], SCHEMA)
+    rows = spark.createDataFrame([("a", "gas in the cellar", "LOW", 0.5)], SCHEMA)
     first = policy.enforce_policies(rows, as_of=NOW)
     again = policy.enforce_policies(first, as_of=NOW).first()
     assert again["applied_policies"] == first.first()["applied_policies"] == [KEYWORD, SLA, LOW]

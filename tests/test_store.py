@@ -143,9 +143,9 @@ def test_a_log_too_long_for_a_cell_stays_in_the_entries(spark):
 
 
 def test_audit_text_with_and_without_newlines(spark):
-    one = "[2024-01-15 10:23:01] Initial Severity classified as MEDIUM by AI Agent (confidence: 0.50)"
-    two = "[2024-01-15 10:23:01] Policy Override to CRITICAL (Note: Safety Keyword Override)"
-    three = "[2024-01-15 11:45:22] HUMAN_OVERRIDE to MEDIUM by admin (Note: False positive\nsee [1])"
+    one = "[2023-05-02 09:00:00] Initial Severity classified as MEDIUM by AI Agent (confidence: 0.50)"
+    two = "[2023-05-02 09:00:00] Policy Override to CRITICAL (Note: Safety Keyword Override)"
+    three = "[2023-05-02 10:30:00] HUMAN_OVERRIDE to MEDIUM by admin (Note: only steam\nsee [1])"
     rows = spark.createDataFrame(
         [("a", one + two + "\n" + three + "\n"), ("b", one + "\n" + two + "\n"), ("c", None), ("d", "")],
         "incident_id string, transformation_log string")

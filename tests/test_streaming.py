@@ -109,7 +109,7 @@ def test_alerts_from_a_stream_equal_batch(spark, tmp_path, n_files):
     got = run()
     final = read_batches(spark, f"{root}/slices", M.slices(calls, ["instance"], 3600, **sums).schema).drop("batch_id")
     summed = M.rolling(final, ["instance"], 3600, "6 hours", ["total", "bad"])
-    judged = A._firing(summed, F.try_divide(F.col("bad"), F.col("total")), lambda v: v > 0.2)
+    judged = A.judged(summed, F.try_divide(F.col("bad"), F.col("total")), lambda v: v > 0.2)
     want = rows(A.sustained(judged, "2h", ["instance"], 3600).drop("value"))
     assert got == want and len(want) > 5
     forget_last_commit(marks)

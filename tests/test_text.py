@@ -11,8 +11,8 @@ from wardlight.operators import answers, privacy, requests, triage
 from wardlight.sources import readers
 
 TEXTS = [
-    "GAS LEAK detected at my house! Call me at 555-0123.",
-    "Call me at 555-0199",
+    "Water main broke, ring 555-0123.",
+    "my number is 555-0199",
     "ten digits 4155550123 and 415.555.0123 and 415-555-0123",
     "mail jürgen.müller@straße.example.de now",
     "a@b.com-foo@x.org", "no at sign 12345678901", "user@host", "x@y.z, 5550199", "@", "",
@@ -55,8 +55,8 @@ def test_audit_of_nothing(spark):
 
 
 @pytest.mark.parametrize("address, zip_code, street", [
-    ("123 Main St, Springfield, 94112", 94112, "123 Main St"),
-    ("123 Main St, Springfield", None, "123 Main St"),
+    ("9 Elm Rd, Rivertown, 94112", 94112, "9 Elm Rd"),
+    ("9 Elm Rd, Rivertown", None, "9 Elm Rd"),
     ("1234567", 34567, "1234567"), ("Oak 02134", 2134, "Oak 02134"), ("Oak 94112\n", 94112, "Oak 94112"),
     ("94112 Oak", None, "94112 Oak"), ("  Elm Rd \t, x", None, "Elm Rd"), ("", None, ""), (None, None, ""),
 ])

@@ -76,7 +76,7 @@ def sustained(
     value. Rows are grid ticks, so a series is as long as its time span.
     """
     width, need = times.seconds_of(step), times.seconds_of(hold)
-    order = M._series(by)
+    order = M.series_order(by)
     tick = F.col("tick")
     firing = (
         conditions.withColumn("_open", F.lead("tick").over(order).isNull())
@@ -119,7 +119,7 @@ def _alert(conditions: DataFrame, rule: Rule, by: Sequence[str], step, hold=None
     )
 
 
-def _firing(rows: DataFrame, value: Column, test) -> DataFrame:
+def judged(rows: DataFrame, value: Column, test) -> DataFrame:
     named = rows.withColumn("value", value)
     return named.withColumn("firing", F.coalesce(test(F.col("value")), F.lit(False)))
 
@@ -133,7 +133,7 @@ def latency_condition(calls, threshold=5.0, window="5 minutes", step=STEP, by=("
     )
     summed = M.rolling(counted, by, step, window, names)
     value = M.quantile_of(F.array(*[F.col(n) for n in names]), bounds, q)
-    return _firing(summed.withColumn("value", value).select(*by, "tick", "value"),
+    return judged(summed.withColumn("value", value).select(*by, "tick", "value"),
                    F.col("value"), lambda v: v > F.lit(float(threshold)))
 
 
@@ -146,7 +146,7 @@ def alert_LowClassificationConfidence(calls, threshold=0.8, step=STEP, hold=None
                                       by=("instance", "label")):
     gauges = calls.withColumn("label", F.col("severity"))
     ticks = M.gauge_ticks(gauges, by, step, lookback, col="confidence")
-    rows = _firing(ticks, F.col("value"), lambda v: v < F.lit(float(threshold)))
+    rows = judged(ticks, F.col("value"), lambda v: v < F.lit(float(threshold)))
     return _alert(rows, RULES["LowClassificationConfidence"], by, step, hold)
 
 
@@ -158,18 +158,18 @@ def error_share(calls, window="5 minutes", step=STEP, by: Sequence[str] = ()):
 
 
 def alert_HighErrorRate(calls, threshold=0.05, window="5 minutes", step=STEP, hold=None):
-    rows = _firing(error_share(calls, window, step), F.col("share"), lambda v: v > F.lit(float(threshold)))
+    rows = judged(error_share(calls, window, step), F.col("share"), lambda v: v > F.lit(float(threshold)))
     return _alert(rows, RULES["HighErrorRate"], (), step, hold)
 
 
 def alert_SLOBreach(calls, target=0.999, window="5 minutes", step=STEP, hold=None, by=("instance",)):
-    rows = _firing(error_share(calls, window, step, by), F.lit(1.0) - F.col("share"),
+    rows = judged(error_share(calls, window, step, by), F.lit(1.0) - F.col("share"),
                    lambda v: v < F.lit(float(target)))
     return _alert(rows, RULES["SLOBreach"], by, step, hold)
 
 
 def alert_LLMHighErrorRate(calls, threshold=0.1, window="5 minutes", step=STEP, hold=None, by=("instance",)):
-    rows = _firing(error_share(calls, window, step, by), F.col("share"),
+    rows = judged(error_share(calls, window, step, by), F.col("share"),
                    lambda v: v > F.lit(float(threshold)))
     return _alert(rows, RULES["LLMHighErrorRate"], by, step, hold)
 
@@ -181,11 +181,11 @@ def alert_HighTokenUsage(calls, threshold=10.0, window="5 minutes", step=STEP, h
     counted = M.slices(calls, by, step, events=amount)
     seconds = float(times.seconds_of(window))
     summed = M.rolling(counted, by, step, window, ["events"])
-    rows = _firing(summed, F.col("events") / F.lit(seconds), lambda v: v > F.lit(float(threshold)))
+    rows = judged(summed, F.col("events") / F.lit(seconds), lambda v: v > F.lit(float(threshold)))
     return _alert(rows, RULES["HighTokenUsage"], by, step, hold)
 
 
-def _named(samples: DataFrame, name: str, *labels: str) -> DataFrame:
+def samples_of(samples: DataFrame, name: str, *labels: str) -> DataFrame:
     """The samples of one metric with the given labels as columns."""
     return samples.filter(F.col("name") == name).select(
         "ts", "value", *[
@@ -196,21 +196,21 @@ def _named(samples: DataFrame, name: str, *labels: str) -> DataFrame:
 
 
 def alert_PodCrashLooping(samples, threshold=3.0, window="15 minutes", step=STEP, hold=None, by=("pod",)):
-    grown = M.increase(_named(samples, RESTARTS, *by), window, step, by)
-    rows = _firing(grown, F.col("increase"), lambda v: v > F.lit(float(threshold)))
+    grown = M.increase(samples_of(samples, RESTARTS, *by), window, step, by)
+    rows = judged(grown, F.col("increase"), lambda v: v > F.lit(float(threshold)))
     return _alert(rows, RULES["PodCrashLooping"], by, step, hold)
 
 
 def alert_HighCPUUsage(samples, threshold=0.8, window="5 minutes", step=STEP, hold=None, by=("instance",)):
-    used = M.rate(_named(samples, CPU_SECONDS, *by), window, step, by)
-    rows = _firing(used, F.col("rate"), lambda v: v > F.lit(float(threshold)))
+    used = M.rate(samples_of(samples, CPU_SECONDS, *by), window, step, by)
+    rows = judged(used, F.col("rate"), lambda v: v > F.lit(float(threshold)))
     return _alert(rows, RULES["HighCPUUsage"], by, step, hold)
 
 
 def alert_HighMemoryUsage(samples, threshold=500_000_000, step=STEP, hold=None, lookback=M.LOOKBACK,
                           by=("instance",)):
-    ticks = M.gauge_ticks(_named(samples, MEMORY_BYTES, *by), by, step, lookback)
-    rows = _firing(ticks, F.col("value"), lambda v: v > F.lit(float(threshold)))
+    ticks = M.gauge_ticks(samples_of(samples, MEMORY_BYTES, *by), by, step, lookback)
+    rows = judged(ticks, F.col("value"), lambda v: v > F.lit(float(threshold)))
     return _alert(rows, RULES["HighMemoryUsage"], by, step, hold)
 
 

@@ -220,35 +220,40 @@ def slices(df: DataFrame, by: Sequence[str], step: str | int, **sums: Column) ->
     )
 
 
-def _series(by: Sequence[str]) -> Window:
-    return Window.partitionBy(*by).orderBy("tick") if by else Window.partitionBy(F.lit(1)).orderBy("tick")
+def series_order(by: Sequence[str]) -> Window:
+    return Window.partitionBy(*(by or [F.lit(1)])).orderBy("tick")
 
 
-def dense(rows: DataFrame, by: Sequence[str], step: str | int, reach: str | int | None = None) -> DataFrame:
-    """Fill the grid of every series between its first and last tick.
+def dense(rows: DataFrame, by: Sequence[str], step: str | int, reach: str | int) -> DataFrame:
+    """Repeat each row of a series at the grid seconds up to the next row.
 
-    Adds ``tick`` for each grid second and ``is_sample`` for the rows that were
-    there. Each row is repeated up to the next one, so no join is needed;
-    ``reach`` limits how far.
+    ``reach`` limits how far, so a series that pauses leaves a gap and a
+    rare sample does not become a long run of rows. ``is_sample`` marks the
+    rows that were there.
     """
     width = times.seconds_of(step)
-    last = F.coalesce(F.lead("tick").over(_series(by)) - F.lit(width), F.col("tick"))
-    if reach is not None:
-        last = F.least(last, F.col("tick") + F.lit(times.seconds_of(reach) - width))
+    furthest = F.col("tick") + F.lit(max(times.seconds_of(reach) - width, 0))
+    last = F.least(
+        F.coalesce(F.lead("tick").over(series_order(by)) - F.lit(width), F.col("tick")), furthest
+    )
     others = [c for c in rows.columns if c != "tick"]
     return rows.withColumn("_to", last).select(
         *others, F.col("tick").alias("_from"),
-        F.explode(F.sequence(F.col("tick"), F.greatest("_to", "tick"), F.lit(width).cast("long"))).alias("tick"),
+        F.explode(F.sequence(F.col("tick"), F.col("_to"), F.lit(width).cast("long"))).alias("tick"),
     ).withColumn("is_sample", F.col("tick") == F.col("_from")).drop("_from")
 
 
 def rolling(
     rows: DataFrame, by: Sequence[str], step: str | int, window: str | int, cols: Sequence[str]
 ) -> DataFrame:
-    """Sums over the window that ends at each grid second of a series."""
-    length = times.seconds_of(window) // times.seconds_of(step)
-    frame = _series(by).rowsBetween(-(length - 1), 0)
-    filled = dense(rows, by, step)
+    """Sums over the window that ends at each grid second.
+
+    A series has rows from its first to its last tick, except where its window
+    is empty.
+    """
+    back = times.seconds_of(window) - times.seconds_of(step)
+    frame = series_order(by).rangeBetween(-back, 0)
+    filled = dense(rows, by, step, window)
     return filled.select(*by, "tick", *[
         F.sum(F.when(F.col("is_sample"), F.col(c)).otherwise(F.lit(0))).over(frame).alias(c) for c in cols
     ])
@@ -273,7 +278,7 @@ def counter_slices(samples: DataFrame, by: Sequence[str], step: str | int) -> Da
         F.min_by("value", F.struct("ts", "value")).alias("_first"),
         F.max_by("value", F.struct("ts", "value")).alias("_last"),
     )
-    across = growth(F.col("_first"), F.lag("_last").over(_series(by)))
+    across = growth(F.col("_first"), F.lag("_last").over(series_order(by)))
     return per_tick.select(*by, "tick", (F.col("_inner") + across).alias("growth"))
 
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from wardlight.functions import policy as P
 from wardlight.functions import times
 
+# Wording of the audit lines.
+AUDIT_INITIAL = "Initial Severity classified as "
+AUDIT_AGENT = " by AI Agent (confidence: "
+AUDIT_POLICY = "Policy Override to "
+AUDIT_NOTE = " (Note: "
+
 
 def _add_policy(df: DataFrame, name: str, applies: Column) -> DataFrame:
     """Append a policy name where it applies; a name is never listed twice."""
@@ -100,13 +106,16 @@ def transformation_log(df: DataFrame, as_of=None) -> DataFrame:
     def shown(c: Column) -> Column:
         return F.coalesce(c, F.lit("None"))
 
-    first = F.concat(
-        F.lit("["), when, F.lit("] Initial Severity classified as "), shown(F.col("ai_severity")),
-        F.lit(" by AI Agent (confidence: "), F.format_string("%.2f", F.col("confidence")), F.lit(")\n"),
+    def line(*parts: Column) -> Column:
+        return F.concat(F.lit("["), when, F.lit("] "), *parts, F.lit(")\n"))
+
+    first = line(
+        F.lit(AUDIT_INITIAL), shown(F.col("ai_severity")),
+        F.lit(AUDIT_AGENT), F.format_string("%.2f", F.col("confidence")),
     )
-    second = F.concat(
-        F.lit("["), when, F.lit("] Policy Override to "), shown(F.col("severity")),
-        F.lit(" (Note: "), F.array_join("applied_policies", ","), F.lit(")\n"),
+    second = line(
+        F.lit(AUDIT_POLICY), shown(F.col("severity")),
+        F.lit(AUDIT_NOTE), F.array_join("applied_policies", ","),
     )
     changed = ~F.col("ai_severity").eqNullSafe(F.col("severity"))
     return df.withColumn(

@@ -75,14 +75,15 @@ def tick_sql(ts: str = "ts", step: int = HOUR) -> str:
 
 
 def rolling_sql(source: str, by: str, cols: list[str], step: int, window: int, name: str = "rolled") -> str:
-    """``source`` has by, tick and cols; dense grid per series, then window sums."""
+    """``source`` has by, tick and cols; dense grid per series, window sums, empty windows left out."""
     key = by or "'all'"
+    over = f"OVER (PARTITION BY g.k ORDER BY g.tick ROWS BETWEEN {window // step - 1} PRECEDING AND CURRENT ROW)"
+    sums = ", ".join(f"sum(coalesce(s.{c}, 0)) {over} AS {c}" for c in cols)
     return f"""spans AS (SELECT {key} AS k, min(tick) AS lo, max(tick) AS hi FROM {source} GROUP BY 1),
 grid AS (SELECT k, unnest(generate_series(lo, hi, {step})) AS tick FROM spans),
-{name} AS (SELECT g.k, g.tick, {', '.join(
-    f'sum(coalesce(s.{c}, 0)) OVER (PARTITION BY g.k ORDER BY g.tick ROWS BETWEEN {window // step - 1} PRECEDING AND CURRENT ROW) AS {c}'
-    for c in cols)}
-  FROM grid g LEFT JOIN {source} s ON s.tick = g.tick AND {'s.' + by if by else key} = g.k)"""
+{name} AS (SELECT g.k, g.tick, {sums}
+  FROM grid g LEFT JOIN {source} s ON s.tick = g.tick AND {'s.' + by if by else key} = g.k
+  QUALIFY count(s.tick) {over} > 0)"""
 
 
 def counter_sql(samples: str, by: str, step: int = HOUR) -> str:
@@ -365,9 +366,9 @@ SELECT q.instance, (SELECT count(*) FROM fx_calls c WHERE c.instance = q.instanc
     Plan("availability", lambda d: _rounded(M.availability(d.calls), "availability"),
          """SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, count(*) AS requests,
   round(count(*) FILTER (status < 500) / count(*), 6) AS availability FROM fx_calls GROUP BY ALL"""),
-    Plan("rate", lambda d: _rounded(M.rate(A._named(d.metrics, A.CPU_SECONDS, "instance"), _SIX, HOUR, ["instance"]), "rate"),
+    Plan("rate", lambda d: _rounded(M.rate(A.samples_of(d.metrics, A.CPU_SECONDS, "instance"), _SIX, HOUR, ["instance"]), "rate"),
          f"WITH {_CPU} SELECT k AS instance, tick, round(growth / {_SIX}::DOUBLE, 6) AS rate FROM rolled"),
-    Plan("increase", lambda d: _rounded(M.increase(A._named(d.metrics, A.RESTARTS, "pod"), _SIX, HOUR, ["pod"]), "increase"),
+    Plan("increase", lambda d: _rounded(M.increase(A.samples_of(d.metrics, A.RESTARTS, "pod"), _SIX, HOUR, ["pod"]), "increase"),
          f"WITH {_PODS} SELECT k AS pod, tick, growth AS increase FROM rolled"),
     Plan("event_rate", lambda d: _rounded(M.event_rate(d.calls, _SIX, HOUR), "rate"),
          f"""WITH {_events_sql('count(*)')} SELECT k AS instance, tick, CAST(events AS BIGINT) AS events,

@@ -32,8 +32,15 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_incidents(spark: SparkSession, history: str, order: tuple[str, ...] = ("batch_id",)) -> DataFrame:
-    """Current incidents from a folder of triaged batches."""
+def read_incidents(
+    spark: SparkSession, history: str,
+    order: tuple[str, ...] = ("batch_id", "created_at", "description", "transformation_log"),
+) -> DataFrame:
+    """Current incidents from a folder of triaged batches.
+
+    The later batch wins; the further columns only settle a key that a batch
+    holds twice.
+    """
     return fold_history(read_batches(spark, history, schemas.INCIDENT), list(order))
 
 
@@ -49,11 +56,9 @@ def compact_history(spark: SparkSession, history: str, target: str) -> None:
 def write_incidents(incidents: DataFrame, path: str) -> None:
     """Incidents laid out by source and day, so time filters prune files.
 
-    Rows are first spread by (source, day, key hash): every day is written by
-    several tasks, and a task writes few days.
+    The rebalance hint gathers each (source, day) and lets adaptive execution
+    split the big ones and join the small ones into files of a good size.
     """
-    day = F.to_date("created_at").alias("created_on")
-    spread = incidents.select("*", day).repartition(
-        F.col("data_source"), F.col("created_on"), F.pmod(F.xxhash64("incident_id"), F.lit(8))
-    )
-    spread.write.mode("errorifexists").partitionBy("data_source", "created_on").parquet(path)
+    dated = incidents.withColumn("created_on", F.to_date("created_at"))
+    dated.hint("rebalance", "data_source", "created_on").write.mode("errorifexists").partitionBy(
+        "data_source", "created_on").parquet(path)

@@ -122,7 +122,7 @@ def alert_step(
         *by, F.col("last_tick").alias("tick"), F.lit(True).alias("firing"),
         F.col("since").alias("_since"), F.col("fired").alias("_fired"),
     )
-    order = M._series(by)
+    order = M.series_order(by)
     runs = (
         new.unionByName(carried)
         .withColumn("_open", F.lead("tick").over(order).isNull())
