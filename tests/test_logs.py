@@ -87,16 +87,18 @@ def vectors(spark, prefix, array):
 
 
 @pytest.mark.parametrize("inline", [2048, 7])
-def test_neighbours_equal_brute_force(spark, monkeypatch, inline):
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-3, 1e4)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, inline, scale, shift):
     monkeypatch.setattr(R, "INLINE_QUERIES", inline)
     monkeypatch.setattr(R, "CHUNK_BLOCK", 60)
     rng = np.random.default_rng(1)
-    chunks = rng.integers(0, 4, (150, 3)).astype(float)  # many equal distances
-    queries = rng.integers(0, 4, (20, 3)).astype(float)
+    # many equal distances; far from the origin the rough distances are far off
+    chunks = rng.integers(0, 4, (150, 3)) * scale + shift
+    queries = rng.integers(0, 4, (20, 3)) * scale + shift
     got = R.vector_topk(vectors(spark, "query", queries), vectors(spark, "chunk", chunks).repartition(5), k=4)
     found = {(r["query_id"], r["rank"]): (r["chunk_id"], r["distance"]) for r in got.collect()}
     for q, query in enumerate(queries):
-        gaps = np.sqrt(((chunks - query) ** 2).sum(1))
+        gaps = np.sqrt(np.einsum("ij,ij->i", chunks - query, chunks - query))
         for rank, c in enumerate(np.lexsort((np.arange(150), gaps))[:4], 1):
             assert found.pop((q, rank)) == (c, pytest.approx(gaps[c]))
     assert not found

@@ -123,7 +123,7 @@ def trace_summary(logs: DataFrame) -> DataFrame:
     return logs.filter(F.col("incident_id").isNotNull()).groupBy("incident_id").agg(
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
-        F.size(F.collect_set("logger")).alias("services"),
+        F.count_distinct("logger").alias("services"),
         F.count(F.lit(1)).alias("entries"),
         F.count_if(F.col("level") == "ERROR").alias("errors"),
         F.max_by("message", at).alias("last_message"),

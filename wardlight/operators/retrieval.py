@@ -27,6 +27,7 @@ CONTEXT_TEXTS = 2
 INLINE_QUERIES = 2048
 INLINE_BYTES = 64 * 1024 * 1024
 CHUNK_BLOCK = 20_000
+QUERY_BLOCK = 256
 
 
 def chunk_documents(
@@ -61,17 +62,28 @@ def chunk_documents(
     )
 
 
-def _nearest(ids, vectors: np.ndarray, query: np.ndarray, k: int):
-    """The k nearest rows to one query: distance first, then the smaller id."""
-    gap = vectors - query
-    squared = np.einsum("ij,ij->i", gap, gap)
-    if len(squared) > k:
-        kth = np.partition(squared, k - 1)[k - 1]
-        close = np.flatnonzero(squared <= kth)
-    else:
-        close = np.arange(len(squared))
-    best = close[np.lexsort((ids[close], squared[close]))[:k]]
-    return ids[best], np.sqrt(squared[best])
+def _nearest(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int):
+    """Per query the k nearest rows: distance first, then the smaller id.
+
+    A matrix product gives all squared distances up to rounding; only rows
+    that could be among the k nearest are then measured exactly.
+    """
+    found = []
+    norms = np.einsum("ij,ij->i", vectors, vectors)
+    kth = min(k, len(ids)) - 1
+    slack = 16 * vectors.shape[1] * np.finfo(np.float64).eps
+    for start in range(0, len(queries), QUERY_BLOCK):
+        block = queries[start:start + QUERY_BLOCK]
+        sizes = np.einsum("ij,ij->i", block, block)
+        rough = norms[:, None] - 2.0 * (vectors @ block.T) + sizes
+        limits = np.partition(rough, kth, axis=0)[kth] + slack * (norms.max() + sizes)
+        for query, near in zip(block, (rough <= limits).T):
+            close = np.flatnonzero(near)
+            gap = vectors[close] - query
+            squared = np.einsum("ij,ij->i", gap, gap)
+            best = np.lexsort((ids[close], squared))[:k]
+            found.append((ids[close[best]], np.sqrt(squared[best])))
+    return found
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -106,8 +118,7 @@ def _scan(queries_inline: tuple[list, np.ndarray], chunks: DataFrame, k: int, sc
             if batch.empty:
                 continue
             ids, vectors = batch["chunk_id"].to_numpy(), _matrix(batch["vector"])
-            for i, query in enumerate(query_vectors):
-                found = _nearest(ids, vectors, query, k)
+            for i, found in enumerate(_nearest(ids, vectors, query_vectors, k)):
                 if best[i] is not None:
                     both = np.concatenate([best[i][0], found[0]]), np.concatenate([best[i][1], found[1]])
                     keep = np.lexsort(both)[:k]
@@ -142,8 +153,7 @@ def _blocks(queries: DataFrame, chunks: DataFrame, k: int, schema, n_queries: in
         if qs.empty or cs.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
         ids, vectors = cs["chunk_id"].to_numpy(), _matrix(cs["vector"])
-        found = [_nearest(ids, vectors, q, k) for q in _matrix(qs["vector"])]
-        return _frame(qs["query_id"], found)
+        return _frame(qs["query_id"], _nearest(ids, vectors, _matrix(qs["vector"]), k))
 
     return (
         left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(search, schema)

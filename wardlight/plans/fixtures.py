@@ -60,7 +60,7 @@ FROM @orders""",
   CAST((o_orderkey * 37) % 101 AS DOUBLE) / 100 AS confidence,
   o_orderdate + (o_orderkey % 86400) * INTERVAL '1' SECOND AS created_at,
   CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE 'http://img.example.com/' || CAST(o_orderkey AS STRING) END AS image_url,
-  o_orderkey % 3 <> 0 AS human_reviewed,
+  o_totalprice > 150000 AS human_reviewed,
   (o_orderkey * 37) % 101 < 80 AS needs_review,
   CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'because' END AS ai_reasoning,
   {_VERSION} AS prompt_version,

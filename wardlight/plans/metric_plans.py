@@ -317,7 +317,7 @@ PLANS = [
          f"WITH {_SERVICE} SELECT * FROM records WHERE incident_id IS NOT NULL"),
     Plan("trace_summary", lambda d: L.trace_summary(_service(d)),
          f"""WITH {_SERVICE} SELECT incident_id, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
-  CAST(count(DISTINCT logger) AS INT) AS services, count(*) AS entries, count(*) FILTER (level = 'ERROR') AS errors,
+  count(DISTINCT logger) AS services, count(*) AS entries, count(*) FILTER (level = 'ERROR') AS errors,
   max_by(message, (timestamp, logger, message)) AS last_message FROM records WHERE incident_id IS NOT NULL GROUP BY incident_id"""),
     # ---- retrieval ----
     Plan("chunk_documents", lambda d: R.chunk_documents(d.table("documents").select("doc_id", "text")),
