@@ -230,8 +230,10 @@ def test_alert_lines(spark):
     df = spark.createDataFrame([("A", "warning", "s", "d", None, "p", "ns")],
                                "alertname string, severity string, summary string, description string, "
                                "instance string, pod string, namespace string")
-    assert A.alert_text(df).first()["text"] == (
+    assert A.alert_text(df, "DEFAULT").first()["text"] == (
         "*Alert:* A\n*Severity:* warning\n*Summary:* s\n*Description:* d\n*Pod:* p\n*Namespace:* ns")
+    assert A.alert_text(df).first()["text"] == (
+        "*Alert:* A\n*Namespace:* ns\n*Severity:* warning\n*Summary:* s\n*Description:* d\n*Pod:* `p`")
 
 
 def test_payload_quotes_and_lists(spark):

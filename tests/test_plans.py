@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.operators import common, governance, requests, triage, views
+from wardlight.operators import common, governance, requests, store, triage, views
 from wardlight.plans.catalog import PLANS
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -84,3 +84,20 @@ def test_a_small_batch_does_not_shuffle_the_store(big, monkeypatch):
     many = common.broadcast_if_few(new, rows=1)
     assert "LeftSemi" in plan_of(stored.join(many, "incident_id", "left_semi"))
     assert "BroadcastHashJoin" not in plan_of(stored.join(many, "incident_id", "left_semi"))
+
+
+@pytest.mark.parametrize("name, partial", [
+    ("fold_history", "partial_max_by"), ("apply_reviews", "partial_max_by"), ("log_anomalies", "partial_count"),
+    ("latest_confidence", "partial_max"), ("alert_HighLLMLatency", "partial_count"), ("notify_alerts", "partial_sum"),
+])
+def test_hot_keys_combine_before_the_shuffle(big, name, partial):
+    text = plan_of(PLANS[name](big, SF_DIR))
+    assert text.rindex(partial) > text.index("Exchange hashpartitioning")
+
+
+def test_a_key_with_a_third_of_all_rows(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("incident_id"),
+        F.col("id").alias("n"), F.lit("v").alias("severity"))
+    last = store.last_per_key(rows.repartition(8), ["n"])
+    assert last.count() == 2001 and last.filter("incident_id = 'hot'").first()["n"] == 2997

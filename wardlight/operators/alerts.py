@@ -295,21 +295,34 @@ def routed(alerts: DataFrame, place: str = "MONITORING") -> DataFrame:
     })
 
 
-def alert_text(alerts: DataFrame) -> DataFrame:
-    """The lines of one alert inside a notification; absent labels give no line."""
-    def line(label: str, name: str, optional: bool = False) -> Column:
-        if name not in alerts.columns:
-            return F.lit(None).cast("string") if optional else F.lit(f"*{label}:* ")
-        value = F.col(name).cast("string")
-        shown = F.concat(F.lit(f"*{label}:* "), F.coalesce(value, F.lit("")))
-        return F.when(value.isNotNull() & (value != ""), shown) if optional else shown
-
-    lines = F.concat_ws(
-        "\n", line("Alert", "alertname"), line("Severity", "severity"), line("Summary", "summary"),
-        line("Description", "description"), line("Instance", "instance", True), line("Pod", "pod", True),
-        line("Namespace", "namespace", True),
-    )
-    return alerts.withColumn("text", lines)
+# The lines of an alert's text by place, as (label, column, optional, quoted).
+# An optional line is left out when the alert has no such label.
+TEXT_LINES = {
+    "MONITORING": (
+        ("Alert", "alertname", False, False), ("Namespace", "namespace", False, False),
+        ("Severity", "severity", False, False), ("Summary", "summary", False, False),
+        ("Description", "description", False, False), ("Instance", "instance", True, True),
+        ("Pod", "pod", True, True),
+    ),
+    "DEFAULT": (
+        ("Alert", "alertname", False, False), ("Severity", "severity", False, False),
+        ("Summary", "summary", False, False), ("Description", "description", False, False),
+        ("Instance", "instance", True, False), ("Pod", "pod", True, False),
+        ("Namespace", "namespace", True, False),
+    ),
+}
+
+
+def alert_text(alerts: DataFrame, place: str = "MONITORING") -> DataFrame:
+    """The lines that one alert adds to the notification of its group."""
+    def line(label: str, name: str, optional: bool, quoted: bool) -> Column:
+        known = F.col(name).cast("string") if name in alerts.columns else F.lit(None).cast("string")
+        value = F.coalesce(known, F.lit(""))
+        mark = F.lit("`" if quoted else "")
+        shown = F.concat(F.lit(f"*{label}:* "), mark, value, mark)
+        return F.when(value != "", shown) if optional else shown
+
+    return alerts.withColumn("text", F.concat_ws("\n", *[line(*spec) for spec in TEXT_LINES[place]]))
 
 
 def notify_alerts(

@@ -111,8 +111,7 @@ def split_audit_log(df: DataFrame, col: str = "transformation_log") -> DataFrame
     return rows.select(
         "incident_id",
         "position",
-        F.try_to_timestamp(F.substring("_piece", 2, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
-        .cast("timestamp_ntz").alias("entry_ts"),
+        F.substring("_piece", 2, 19).try_cast("timestamp_ntz").alias("entry_ts"),
         kind.alias("kind"),
         body.alias("entry"),
     )

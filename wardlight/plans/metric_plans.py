@@ -258,9 +258,9 @@ SELECT alertname, severity, make_timestamp(t * 1000000) AS sent_at,
   CASE severity WHEN 'critical' THEN ':rotating_light: CRITICAL' ELSE ':warning:' END || ' [MONITORING] ' || alertname AS title
 FROM states WHERE (changed AND NOT (t = first_t AND firing = 0)) OR (NOT changed AND firing > 0 AND (t - since) % 300 = 0)"""
 
-_TEXT = f"""WITH alerts AS ({_BOTH}) SELECT alertname, instance, since, '*Alert:* ' || alertname || chr(10) || '*Severity:* ' || severity
-  || chr(10) || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description || chr(10)
-  || '*Instance:* ' || instance AS text FROM alerts"""
+_TEXT = f"""WITH alerts AS ({_BOTH}) SELECT alertname, instance, since, '*Alert:* ' || alertname || chr(10) || '*Namespace:* '
+  || chr(10) || '*Severity:* ' || severity || chr(10) || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description
+  || chr(10) || '*Instance:* `' || instance || '`' AS text FROM alerts"""
 
 
 def _conditions(d: Data):

@@ -43,7 +43,7 @@ def parse_json_logs(lines: DataFrame, col: str = "line") -> tuple[DataFrame, Dat
     parsed = evaluated(lines, _objects=X.json_objects(F.col(col), schemas.SERVICE_LOG))
     objects = F.col("_objects")
     records = parsed.select(*others, F.inline(F.when(X.single(objects), objects)))
-    at = F.try_to_timestamp(F.rtrim("timestamp", F.lit("Z"))).cast("timestamp_ntz")
+    at = F.rtrim("timestamp", F.lit("Z")).try_cast("timestamp_ntz")
     return records.withColumn("timestamp", at), parsed.filter(~X.single(objects)).select(*lines.columns)
 
 
