@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,21 +34,14 @@ def local_session(cores: int | str = 8, name: str = "wardlight", **conf: str) ->
     return builder.getOrCreate()
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="wardlight-")
-
-
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path for files a job hands to a later job.
 
     The root is ``spark.checkpoint.dir``, which a cluster points at shared
-    storage that outlives any executor. Only a session on one machine may do
-    without it and then gets a temporary folder.
+    storage that outlives any executor; where it is unset, the warehouse,
+    which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own_folder()
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
