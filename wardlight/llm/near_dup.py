@@ -29,8 +29,8 @@ from wardlight.llm.blocks import NOT_SPACE, Powers, constants, mixed, pieces, sh
 from wardlight.llm.graph import Shelf, components
 
 COORDINATES = 64
-# Expected choices at the root over all trees; each is one minwise token of a document.
-TREES = 20
+# Independent trees. Each root chooses 1 / threshold coordinates on average.
+TREES = 12
 # Nodes up to this size are compared exhaustively.
 SMALL_NODE = 32
 # A proposal may have this many standard deviations fewer equal coordinates than the threshold asks.
@@ -294,23 +294,27 @@ def near_duplicates(
     Documents with 100 * intersection >= percent * union of their sets are
     linked; component_id is the smallest id that links reach, and the document
     with that id is kept. A text without words, or null, has an empty set, is
-    linked with nothing and kept. Rows that share an id count as one document
-    that has each of the texts. A null id cannot be linked: its component_id is
-    null and the row is kept. An empty table gives an empty result.
+    linked with nothing and kept. Repeated rows are equal texts like any other;
+    where one id has several texts, a link of any of them is a link of the id
+    they share as smallest id of their classes. A null id cannot be linked: its
+    component_id is null, or that of an equal text, and the row is kept. An
+    empty table gives an empty result. Other columns of docs are not read.
     """
     threshold = percent / 100
     least = int(np.floor(COORDINATES * threshold - SLACK * np.sqrt(COORDINATES * threshold * (1 - threshold))))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    result, passing = Shelf(), Shelf()
+    result, passing, early = Shelf(), Shelf(), Shelf()
     settled = passing.settled
-    sketches = result.settled(sketched(texts, words, root_choices(trees, threshold)))
+    sketches = early.settled(sketched(texts, words, root_choices(trees, threshold)))
+    rows_of = result.settled(sketches.select("doc_id", "n_shingles", "k0", "k1"))
     known = sketches.filter("doc_id IS NOT NULL AND k0 IS NOT NULL")
     classes = result.settled(known.groupBy("k0", "k1").agg(F.min("doc_id").alias("id")))
     firsts = settled(known.select("doc_id", "k0", "k1", "sketch", "roots").join(
         classes, ["k0", "k1"]).filter("doc_id = id").dropDuplicates(["id", "k0", "k1"]).select("id", "sketch", "roots"))
-
-    rows = _sized(firsts.select("id", F.explode("roots").alias("node")), settled)
+    early.clear(docs.sparkSession)
+    rows = early.settled(_sized(firsts.select("id", F.explode("roots").alias("node")), early.settled))
     rows = settled(rows.join(firsts.select("id", "sketch"), "id"))
+    early.clear(docs.sparkSession)
     join = _Join(texts, words, percent, passing)
     # first one link for each member, the most promising one; then what is still apart
     stars = _proposals(rows, least, 0, False)
@@ -331,12 +335,11 @@ def near_duplicates(
         rows = settled(join.exhaust(rows, depth >= DEPTH))
     groups = None if join.groups is None else result.settled(join.groups)
     passing.clear(docs.sparkSession)
-    member = sketches.select("doc_id", "n_shingles", "k0", "k1").join(classes, ["k0", "k1"], "left")
+    member = rows_of.join(classes, ["k0", "k1"], "left")
     if groups is not None:
         member = member.join(groups, "id", "left")
     else:
         member = member.withColumn("component", F.lit(None).cast("long"))
-    # rows that share an id reach the smallest component of any of their texts
     return member.select(
         "doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

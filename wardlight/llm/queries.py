@@ -4,18 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import near_dup
+from wardlight.llm import bpe, langid, licenses, near_dup, quality, secret_scan, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and their decoding, as digests, by an index from pairs to places."""
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path(), ids=False)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets: fixed patterns, and strings that a primed compressor finds new."""
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity by a bidirectional gated recurrent network over overlapping windows."""
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ratios and the verdict of the threshold table."""
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates on four-word shingles at a similarity of 0.8."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup,)}
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and detections of the ordered signature rules."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow and block rules for page URLs by longest match in a trie."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by averaged hashed subword embeddings with a linear softmax."""
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op2_secret_scan, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup, op7_license_scan,
+    op9_url_filter, op10_language_id,
+)}
 
 ORACLE_SQL: dict[str, str] = {}
