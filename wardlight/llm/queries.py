@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import bpe, langid, licenses, near_dup, quality, secret_scan, toxicity, url_filter
+from wardlight.llm import (
+    bpe, decontaminate, langid, licenses, near_dup, quality, secret_scan, toxicity, url_filter, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, read back, and their capture runs merged into histories."""
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity by a bidirectional gated recurrent network over overlapping windows."""
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -48,6 +55,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest overlap of each document with each benchmark item that it holds."""
+    return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow and block rules for page URLs by longest match in a trie."""
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
@@ -59,8 +71,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_secret_scan, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup, op7_license_scan,
-    op9_url_filter, op10_language_id,
+    op1_bpe, op2_secret_scan, op3_warc, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup,
+    op7_license_scan, op8_decontamination, op9_url_filter, op10_language_id,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
