@@ -35,6 +35,8 @@ TREES = 12
 SMALL_NODE = 32
 # A proposal may have this many standard deviations fewer equal coordinates than the threshold asks.
 SLACK = 4.5
+# Mean share of equal tokens with a node's smallest member from which the node is compared rather than branched.
+TIGHT = 0.3
 # Levels of branching before new links are confirmed and finished nodes are dropped.
 LEVELS = 3
 # Shingles that one comparison task holds; heavier nodes branch on, or meet block by block.
@@ -115,15 +117,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def _equal_tokens(a: Column, b: Column) -> Column:
     """How many of the minwise tokens are equal; four of them share a number."""
-    fold = [(8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
+    lanes = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -1 << 48)
 
-    def different(i: int) -> Column:
+    def equal(i: int) -> list[Column]:
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for shift, keep in fold:
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(keep)))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        return [(x.bitwiseAND(F.lit(lane)) == 0).cast("int") for lane in lanes]
 
-    return F.lit(COORDINATES) - reduce(lambda x, y: x + y, [different(i) for i in range(COORDINATES // 4)])
+    return reduce(lambda x, y: x + y, [c for i in range(COORDINATES // 4) for c in equal(i)])
 
 
 def _sized(rows: DataFrame, settled) -> DataFrame:
@@ -173,6 +173,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both"))).select("a", "b")
 
 
+def _tight(large: DataFrame, settled) -> DataFrame:
+    """Nodes whose members resemble the smallest one: branching would part them slowly, so they are compared."""
+    lead = large.filter("id = leader").select("node", F.col("sketch").alias("_lead"))
+    alike = large.join(lead, "node").groupBy("node").agg(F.avg(_equal_tokens(F.col("sketch"), F.col("_lead"))).alias("mean"))
+    return settled(alike.filter(F.col("mean") >= TIGHT * COORDINATES).select("node"))
+
+
 def _unfinished(rows: DataFrame, groups: DataFrame | None, settled) -> DataFrame:
     """Rows with their group so far, of nodes whose members are in several groups."""
     if groups is None:
@@ -322,17 +329,22 @@ def near_duplicates(
         F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")))
     depth = 0
     while not rows.isEmpty():
-        found = None
+        found = waiting = None
         for _ in range(LEVELS):
             depth += 1
             held = _unfinished(rows, join.groups, settled)
             new = settled(_proposals(held, least, small_node, True).select("a", "b"))
             found = new if found is None else found.union(new)
-            rows = settled(_sized(_children(held.filter(F.col("size") > small_node), threshold), settled))
+            large = held.filter(F.col("size") > small_node)
+            tight = _tight(large, settled)
+            alike = large.join(tight, "node", "left_semi").select("node", "id", "sketch")
+            waiting = alike if waiting is None else waiting.union(alike)
+            rows = settled(_sized(_children(large.join(tight, "node", "left_anti"), threshold), settled))
             if rows.isEmpty():
                 break
         join.confirm(settled(found.distinct()))
-        rows = settled(join.exhaust(rows, depth >= DEPTH))
+        heavy = join.exhaust(settled(waiting.union(rows.select("node", "id", "sketch"))), depth >= DEPTH)
+        rows = settled(_sized(_children(heavy, threshold), settled))
     groups = None if join.groups is None else result.settled(join.groups)
     passing.clear(docs.sparkSession)
     member = rows_of.join(classes, ["k0", "k1"], "left")
