@@ -162,16 +162,20 @@ def best_overlap(words: np.ndarray, item: np.ndarray, offset: int, cost: int = C
 
 
 def _verified(pairs: DataFrame, least: int) -> DataFrame:
-    """The best overlap of each (stretch, item, offset) that has enough equal words."""
+    """The best overlap of each (stretch, item, offset) that has enough equal words.
+
+    ``words`` are those of the stretch that lie over the item; an item that
+    begins before the stretch has a negative offset.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, spans = [], []
             for i, (words, item, offset) in enumerate(zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)])):
-                start, stop, equal = best_overlap(np.array(words), np.array(item), offset)
+                start, stop, equal = best_overlap(np.array(words), np.array(item), min(0, offset))
                 if equal >= min(least, len(item)):
                     keep.append(i)
-                    spans.append((start, stop, equal))
+                    spans.append((max(0, offset) + start, max(0, offset) + stop, equal))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at),
@@ -193,22 +197,25 @@ def find_overlaps(
     words of a shorter item; items shorter than a mask (8 words), null and
     empty texts overlap with nothing. Of equally long overlaps the first is
     given. Repeated rows and rows that share an id count as one document, rows
-    with a null id too. Empty tables give an empty result. Other columns are
+    with a null id too; items with a null id are left out. Empty tables give an empty result. Other columns are
     not read.
     """
     spark, shelf = docs.sparkSession, Shelf()
     items = shelf.settled(benchmark_words(
-        benchmark.select(F.col(item_col), F.col(item_text_col).cast("binary"))))
-    seeds = items.select("item_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
-        "item_id", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
+        benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col), F.col(item_text_col).cast("binary"))))
+    seeds = items.select("item_id", F.size("words").alias("length"), F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
+        "item_id", "length", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
     table = spark.sparkContext.broadcast(bit_table(seeds.select("seed")))
     found = shelf.settled(document_stretches(docs.select(F.col(id_col), F.col(text_col).cast("binary")), table))
     one = found.dropDuplicates(["key"]).select("key", "words", "seeds", "places")
     hits = one.select("key", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
         "key", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
     pairs = shelf.settled(hits.join(seeds, "seed").select(
-        "key", "item_id", (F.col("at") - F.col("place")).alias("offset")).distinct())
-    aligned = pairs.join(one.select("key", "words"), "key").join(
+        "key", "item_id", "length", (F.col("at") - F.col("place")).alias("offset")).distinct())
+    # only what lies over the item goes on; a repetitive stretch may have very many offsets
+    over = F.slice("words", (F.greatest(F.col("offset"), F.lit(0)) + 1).cast("int"),
+                   (F.col("length") + F.least(F.col("offset"), F.lit(0))).cast("int"))
+    aligned = pairs.join(one.select("key", "words"), "key").select("key", "item_id", "offset", over.alias("words")).join(
         items.select("item_id", F.col("words").alias("item")), "item_id")
     good = _verified(aligned.select("key", "item_id", "words", "item", "offset"), least_equal)
     spans = found.select("doc_id", "start", "key").join(good, "key").select(
