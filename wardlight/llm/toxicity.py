@@ -31,7 +31,8 @@ LEAST_TEXTS = 4
 # Bounds of the training sample, which the driver holds: texts of each label, characters of a text.
 TEXTS = 1000
 CHARACTERS = 6000
-EPOCHS, SOFT_EPOCHS, BATCH, RATE = 6, 4, 64, 0.01
+# A small sample is gone through more often, until so many steps are made; the softmax weights hold for two thirds.
+EPOCHS, STEPS, BATCH, RATE = 6, 200, 64, 0.01
 # Windows that are scored together.
 BLOCK = 1024
 
@@ -211,7 +212,8 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float], seed:
     train = np.flatnonzero(~apart)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     done = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, STEPS * BATCH // max(1, len(train)))
+    for epoch in range(epochs):
         order = rng.permutation(train)
         for begin in range(0, len(order), BATCH):
             batch = order[begin:begin + BATCH]
@@ -227,7 +229,7 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float], seed:
             at, width = placed(start[which] + shift[bag], size[which], len(own))
             scores = net.forward(x, at, width)
             top = np.maximum.reduceat(scores, edge)
-            if epoch < SOFT_EPOCHS:
+            if 3 * epoch < 2 * epochs:
                 weight = np.exp(scores - top[bag])
                 weight /= np.add.reduceat(weight, edge)[bag]
                 top = np.add.reduceat(weight * scores, edge)
