@@ -281,15 +281,16 @@ def _calibrate(net: Network, raw: list[bytes], y: np.ndarray, test: np.ndarray,
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
     """Texts, labels and the labels' shares: at most TEXTS of each label, none longer than CHARACTERS,
     taken evenly by a hash of the id, from rows that are not held out."""
-    marked = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(
-        ~held_out("_id", 5, 0) & (F.length("_t") <= CHARACTERS)).join(marked, "_id")
-    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    marked = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(
+        F.max(label_col).alias("_y")).filter(~held_out("_id", 5, 0))
+    counts = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = max(1, sum(counts.values()))
     draw = F.pmod(F.xxhash64(F.col("_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("_y") == 1, 1.2 * TEXTS / counts.get(1, 1)).otherwise(1.2 * TEXTS / counts.get(0, 1))
-    # the draw leaves little over twice the bound; each label is then cut to it
-    rows = known.filter(draw < share).orderBy(draw).limit(3 * TEXTS).collect()
+    share = F.when(F.col("_y") == 1, 2.0 * TEXTS / counts.get(1, 1)).otherwise(2.0 * TEXTS / counts.get(0, 1))
+    # the drawn ids are a bounded table of two numbers a row, so they may be broadcast
+    drawn = marked.filter(draw < share).limit(6 * TEXTS)
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.length("_t") <= CHARACTERS)
+    rows = known.join(F.broadcast(drawn), "_id").orderBy(draw).limit(4 * TEXTS).collect()
     texts, y = [], []
     for label in (0, 1):
         own = [r["_t"] for r in rows if r["_y"] == label][:TEXTS]
