@@ -77,13 +77,21 @@ def test_filters_and_columns_reach_the_files(big, tmp_path):
 def test_a_small_batch_does_not_shuffle_the_store(big, monkeypatch):
     new = big.createDataFrame([("1",), ("x",)], "incident_id string")
     stored = PLANS["upsert_incidents"](big, SF_DIR).select("incident_id")
-    big.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     text = plan_of(requests.skip_seen(new, stored))
     assert "BroadcastHashJoin" in text and "LeftSemi" in text
     assert sorted(r[0] for r in requests.skip_seen(new, stored).collect()) == ["x"]
-    many = common.broadcast_if_few(new, rows=1)
-    assert "LeftSemi" in plan_of(stored.join(many, "incident_id", "left_semi"))
-    assert "BroadcastHashJoin" not in plan_of(stored.join(many, "incident_id", "left_semi"))
+    big.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert "BroadcastHashJoin" not in plan_of(requests.skip_seen(new, stored))
+    big.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_building_a_plan_starts_no_job(big):
+    tracker = big.sparkContext.statusTracker()
+    big.sparkContext.setJobGroup("building", "plans")
+    for name in ("skip_seen", "get_incident", "triage", "triage_pending"):
+        PLANS[name](big, SF_DIR)
+    assert not tracker.getJobIdsForGroup("building")
+    big.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.parametrize("name, partial", [

@@ -1,9 +1,8 @@
-"""The rule cases, one row each, and their combinations."""
+"""The rules over all combinations of keyword, label and confidence."""
 
+import itertools
 from datetime import datetime, timedelta
 
-import pytest
-
 from wardlight.functions import policy as P
 from wardlight.operators import policy
 
@@ -11,55 +10,32 @@ NOW = datetime(2024, 3, 1, 12, 0, 0)
 SCHEMA = "case string, description string, severity string, confidence double"
 KEYWORD, SLA, LOW = "Safety Keyword Override", "SLA Assignment", "Low Confidence Override"
 
-# name, description, model severity, confidence -> severity, review, hours, policies
-CASES = [
-    ("fire", "A dumpster behind the library is on fire", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("gas", "It smells of gas in the stairwell", "MEDIUM", 0.85, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("explosion", "Explosion behind the bus depot an hour ago", "HIGH", 0.88, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("flood", "The underpass is in flood again", "MEDIUM", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("smoke", "Black smoke over the warehouse", "LOW", 0.95, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("earthquake", "cracks in the bridge since the earthquake", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("collapsed", "The retaining wall has collapsed", "MEDIUM", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("emergency", "Emergency exit of the theater is blocked", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("substring", "Firefly nest by the gasoline pump", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("upper case", "FIRE in the tunnel", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA]),
-    ("already critical", "camp fire out of control", "CRITICAL", 0.95, "CRITICAL", False, 2, [SLA]),
-    ("no keyword", "Tags on the fountain", "LOW", 0.9, "LOW", False, 72, [SLA]),
-    ("high", "Deep hole in the bike lane", "HIGH", 0.9, "HIGH", False, 4, [SLA]),
-    ("medium", "Swing with a torn chain", "MEDIUM", 0.9, "MEDIUM", False, 24, [SLA]),
-    ("low", "Crosswalk paint is worn", "LOW", 0.9, "LOW", False, 72, [SLA]),
-    ("unknown", "Loud music after midnight", "UNKNOWN", 0.9, "UNKNOWN", False, 72, [SLA]),
-    ("lower case label", "Loud music after midnight", "critical", 0.9, "critical", False, 72, [SLA]),
-    ("unsure", "Something odd at the corner", "LOW", 0.5, "LOW", True, 72, [SLA, LOW]),
-    ("just below", "Please look at this", "LOW", 0.79, "LOW", True, 72, [SLA, LOW]),
-    ("at the limit", "Stickers on a sign", "LOW", 0.8, "LOW", False, 72, [SLA]),
-    ("sure", "Signal stuck on red", "MEDIUM", 0.95, "MEDIUM", False, 24, [SLA]),
-    ("unsure keeps severity", "Uneven curb", "MEDIUM", 0.5, "MEDIUM", True, 24, [SLA, LOW]),
-    ("both", "Might be gas, hard to tell", "LOW", 0.5, "CRITICAL", True, 2, [KEYWORD, SLA, LOW]),
-    ("no confidence", "Lamp does not go on", "LOW", None, "LOW", False, 72, [SLA]),
-    ("no severity", "Bin is full", None, 0.9, "LOW", False, 72, [SLA]),
-    ("no description", None, "HIGH", 0.9, "HIGH", False, 4, [SLA]),
-] + [
-    (f"every keyword: {word}", f"Report: {word} near the river", "LOW", 0.9, "CRITICAL", True, 2, [KEYWORD, SLA])
-    for word in P.KEYWORDS
+LABELS = ["LOW", "MEDIUM", "HIGH", "CRITICAL", "UNKNOWN", "critical", None]
+CONFIDENCES = [None, 0.0, 0.7999, 0.8, 0.8001, 1.0]
+TEXTS = [None, "", "nothing to see"] + [
+    form for word in P.KEYWORDS for form in (word, word.upper(), f"x{word}x", f"{word[:-1]} {word[-1]}")
 ]
-
-
-@pytest.fixture(scope="module")
-def ruled(spark):
-    rows = spark.createDataFrame([c[:4] for c in CASES], SCHEMA)
-    done = policy.enforce_policies(rows, as_of=NOW)
-    return {r["case"]: r for r in done.collect()}
-
-
-@pytest.mark.parametrize("case", CASES, ids=lambda c: c[0])
-def test_case(ruled, case):
-    name, _, _, _, severity, review, hours, policies = case
-    row = ruled[name]
-    assert row["severity"] == severity
-    assert row["needs_review"] is review
-    assert row["deadline"] == NOW + timedelta(hours=hours)
-    assert row["applied_policies"] == policies
+HOURS = {"CRITICAL": 2, "HIGH": 4, "MEDIUM": 24}
+
+
+def expected(text, label, confidence):
+    """The rules in plain words: keyword, then deadline by the final label, then the floor."""
+    label = "LOW" if label is None else label
+    hit = label != "CRITICAL" and any(word in (text or "").lower() for word in P.KEYWORDS)
+    label = "CRITICAL" if hit else label
+    unsure = confidence is not None and confidence < 0.8
+    policies = [KEYWORD] * hit + [SLA] + [LOW] * unsure
+    return label, hit or unsure, NOW + timedelta(hours=HOURS.get(label, 72)), policies
+
+
+def test_every_combination(spark):
+    cases = list(itertools.product(TEXTS, LABELS, CONFIDENCES))
+    rows = spark.createDataFrame([(str(i), *case) for i, case in enumerate(cases)], SCHEMA)
+    got = {int(r["case"]): r for r in policy.enforce_policies(rows, as_of=NOW).collect()}
+    assert len(got) == len(cases)
+    for i, case in enumerate(cases):
+        row = got[i]
+        assert (row["severity"], row["needs_review"], row["deadline"], row["applied_policies"]) == expected(*case), case
 
 
 def test_default_deadline_lies_ahead(spark):

@@ -80,6 +80,34 @@ def test_triage_stream_equals_batch(spark, tmp_path):
     assert refused + len(want) == joined.count() and refused > 0
 
 
+def test_an_answer_that_comes_later_is_used(spark, tmp_path):
+    """Answers come a batch after their requests; a repeated batch changes nothing."""
+    schema = "incident_id string, description string, address string, image_url string"
+    answer = '{"severity": "LOW", "confidence": 0.9, "reasoning": "r"}'
+    raw, replies, marks = (tmp_path / n for n in ("raw", "replies", "marks"))
+
+    def request(name):
+        spark.createDataFrame([(name, "lamp out", "", None)], schema).write.mode("append").parquet(str(raw))
+
+    def reply(name):
+        spark.createDataFrame([(name, answer)], "incident_id string, response string").write.mode("append").parquet(str(replies))
+
+    def run():
+        intake.stream_triage(
+            stream(spark, raw, spark.createDataFrame([], schema).schema), lambda: spark.read.parquet(str(replies)),
+            str(tmp_path / "history"), str(marks), as_of="2024-01-01", pending=str(tmp_path / "pending")).awaitTermination()
+        return sorted(r["incident_id"] for r in read_incidents(spark, str(tmp_path / "history")).collect())
+
+    request("a"), request("b"), reply("b")
+    assert run() == ["b"]
+    reply("a"), request("c")
+    assert run() == ["a", "b"]
+    forget_last_commit(marks)
+    assert run() == ["a", "b"]
+    reply("c"), request("d")
+    assert run() == ["a", "b", "c"]
+
+
 def test_rates_from_a_stream_equal_batch(spark, tmp_path):
     calls = fixture(spark, SF_DIR, "calls")
     files(calls, tmp_path / "calls", "ts", 4)

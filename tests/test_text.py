@@ -11,8 +11,7 @@ from wardlight.operators import answers, privacy, requests, triage
 from wardlight.sources import readers
 
 TEXTS = [
-    "Water main broke, ring 555-0123.",
-    "my number is 555-0199",
+    "5550100 5550101", "x5550102 (555-0103)",
     "ten digits 4155550123 and 415.555.0123 and 415-555-0123",
     "mail jürgen.müller@straße.example.de now",
     "a@b.com-foo@x.org", "no at sign 12345678901", "user@host", "x@y.z, 5550199", "@", "",
@@ -97,6 +96,11 @@ ANSWERS = [
     ("not json", ("malformed",)), ("", ("malformed",)), (None, ("malformed",)), ("[1]", ("malformed",)),
     ('{"severity": "LOW"} and more', ("malformed",)), ("{'severity': 'LOW'}", ("malformed",)),
     ('{"severity": "LOW"},{}', ("malformed",)), ('[{"severity": "LOW"}]', ("malformed",)),
+    ('{"severity": "LOW", "confidence": 0.1}]', ("malformed",)),
+    ('{"severity": "LOW", "confidence": 0.1}] trailing junk', ("malformed",)),
+    ('{"severity": "LOW", "confidence": 0.1}, "reasoning": "x"', ("malformed",)),
+    ('{"severity": "LOW", "confidence": 0.1}, {"severity": "HIGH"}', ("malformed",)),
+    ('{"severity": "LOW"}, "after_the_text_4f1c": 1}', ("malformed",)),
     (' {"severity": "LOW", "confidence": 0.1, "reasoning": "a\\nb"} ', ("ok", "LOW", 0.1, "a\nb")),
 ]
 
@@ -115,9 +119,11 @@ def test_answers(spark):
 
 def test_prompt_versions(spark):
     rows = spark.createDataFrame([("a {b} $1", "v1.0.0"), ("c", "v9")], "description string, prompt_version string")
-    current = answers.render_prompt(rows).collect()
+    current = answers.render_prompt(rows)[0].collect()
     assert all(r["prompt_version"] == "v1.1.0" and "reasoning" in r["prompt"] for r in current)
-    own = answers.render_prompt(rows, version=None).collect()
+    own, rejects = answers.render_prompt(rows, version=None)
+    assert [r["prompt_version"] for r in rejects.collect()] == ["v9"]
+    own = own.collect()
     assert len(own) == 1 and "Description: a {b} $1\n" in own[0]["prompt"]
 
 

@@ -80,15 +80,25 @@ def title(description: Column) -> Column:
     return F.substring_index(description, "|", 1)
 
 
+# A field name that no text is expected to have.
+_AFTER = "after_the_text_4f1c"
+
+
 def json_objects(c: Column, schema) -> Column:
     """The JSON objects a text consists of, null when it is not JSON.
 
     The parser stops after the first value of a text; inside brackets it has
-    to account for all of it. A text that is one object gives one element.
+    to account for all of it. A text that closes the bracket itself would stop
+    it early, so the text must also stand as the value of a field that another
+    field follows. What passes both is a list of values; one object gives one
+    element.
     """
     kind = schema if isinstance(schema, str) else schema.simpleString()
+    strict = {"allowSingleQuotes": "false"}
+    field = F.concat(F.lit('{"v":'), c, F.lit(f',"{_AFTER}":1}}'))
+    whole = F.from_json(field, f"struct<{_AFTER}:int>", strict)[_AFTER].isNotNull()
     wrapped = F.concat(F.lit("["), c, F.lit("]"))
-    return F.from_json(wrapped, f"array<{kind}>", {"allowSingleQuotes": "false"})
+    return F.when(whole, F.from_json(wrapped, f"array<{kind}>", strict))
 
 
 def single(objects: Column) -> Column:

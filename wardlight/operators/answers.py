@@ -40,12 +40,12 @@ OUTPUT_PRICE = 0.000015
 
 def render_prompt(
     df: DataFrame, registry: Mapping[str, str] = PROMPTS, version: str | None = CURRENT_PROMPT
-) -> DataFrame:
-    """Fill the version's template with the description.
+) -> tuple[DataFrame, DataFrame]:
+    """(rendered, rejects): the version's template filled with the description.
 
-    ``version=None`` takes the row's own ``prompt_version``; rows whose version
-    is not in the registry are left out, as an unknown version has no prompt.
-    The registry is a handful of constants, so it is an expression, not a join.
+    ``version=None`` takes the row's own ``prompt_version``; a row whose version
+    is not in the registry has no prompt and is a reject. The registry is a
+    handful of constants, so it is an expression, not a join.
     """
     if version is not None:
         df = df.withColumn("prompt_version", F.lit(version))
@@ -53,7 +53,8 @@ def render_prompt(
     for name, body in registry.items():
         template = F.when(F.col("prompt_version") == name, F.lit(body)).otherwise(template)
     filled = F.replace(template, F.lit("{description}"), F.col("description"))
-    return df.withColumn("prompt", filled).filter(F.col("prompt_version").isin(*registry))
+    known = F.coalesce(F.col("prompt_version").isin(*registry), F.lit(False))
+    return df.withColumn("prompt", filled).filter(known), df.filter(~known)
 
 
 _ANSWER = "struct<severity:string,confidence:double,reasoning:string>"

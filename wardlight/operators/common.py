@@ -16,21 +16,3 @@ def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
     return df.select("*", F.inline(F.array(row)))
 
-
-# A side with more rows or bytes than this is never broadcast.
-BROADCAST_ROWS = 50_000
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-
-def broadcast_if_few(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The same rows, marked for broadcast when they are few; else as they are.
-
-    Looking costs little: the limited read stops at the first partitions that
-    hold enough rows, and few rows are kept, not computed a second time.
-    Without it a small batch against a big table would shuffle the big table,
-    because both sides of a join are written out before the sizes are known.
-    """
-    some = keys.limit(rows + 1).toPandas()
-    if len(some) > rows or some.memory_usage(deep=True).sum() > BROADCAST_BYTES:
-        return keys
-    return F.broadcast(keys.sparkSession.createDataFrame(some, keys.schema))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions import text as X
-from wardlight.operators.common import broadcast_if_few
 
 
 def page(df: DataFrame, limit: int = 10, offset: int = 0, key: str = "service_request_id") -> DataFrame:
@@ -57,10 +56,10 @@ def skip_seen(new: DataFrame, stored: DataFrame, key: str = "incident_id") -> Da
     """Requests whose key is not stored yet.
 
     The stored table is first reduced to the keys that also occur in ``new``.
-    A small batch is broadcast for that, so the stored table is only scanned;
-    two big sides meet in a shuffle join. What is left is at most as big as
-    ``new``.
+    Where the planner knows ``new`` to be small it broadcasts it for that, and
+    the stored table is only scanned; two big sides meet in a shuffle join.
+    What is left is at most as big as ``new``. Nothing runs before the result
+    is asked for.
     """
-    wanted = broadcast_if_few(new.select(key))
-    seen = stored.select(key).join(wanted, key, "left_semi").distinct()
+    seen = stored.select(key).join(new.select(key), key, "left_semi").distinct()
     return new.join(seen, key, "left_anti")

@@ -19,9 +19,6 @@ ENTRY_KINDS = {
 
 ENTRY_START = r"\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] "
 
-# Text of one incident's overrides that may go into its log cell.
-LOG_CELL_BYTES = 16 * 1024 * 1024
-
 
 def _entry() -> Column:
     """The audit line of a reclassification."""
@@ -39,16 +36,13 @@ def review_entries(actions: DataFrame) -> DataFrame:
     )
 
 
-def apply_reviews(
-    incidents: DataFrame, actions: DataFrame, cell_bytes: int = LOG_CELL_BYTES
-) -> DataFrame:
+def apply_reviews(incidents: DataFrame, actions: DataFrame) -> DataFrame:
     """Incidents after approve / reject / reclassify actions in (time, seq) order.
 
     The fold is written as aggregates that combine before the shuffle: the
     review flag follows the last action, severity and notes the last
-    reclassification. The new audit text is gathered per incident only while
-    it fits ``cell_bytes``; an incident beyond that keeps its old text, is
-    marked ``log_in_entries`` and has its whole trail in ``review_entries``.
+    reclassification. The audit text is not touched; the trail is rows, see
+    ``audit_trail``.
     """
     order = F.struct("action_ts", "seq")
     reclassified = F.col("action") == "reclassify"
@@ -62,21 +56,8 @@ def apply_reviews(
             F.struct("new_severity", note.alias("note")), F.when(reclassified, order)
         ).alias("_override"),
         F.max_by(F.struct("actor", "action_ts"), F.when(closes, order)).alias("_by"),
-        F.coalesce(F.sum(F.when(reclassified, F.octet_length(_entry()))), F.lit(0)).alias("_bytes"),
-    )
-    # usually nothing is huge: adaptive execution then drops this join
-    huge = fold.filter(F.col("_bytes") > cell_bytes).select("incident_id")
-    texts = (
-        review_entries(known)
-        .join(huge, "incident_id", "left_anti")
-        .groupBy("incident_id")
-        .agg(F.collect_list(F.struct("action_ts", "seq", "entry")).alias("_lines"))
-        .select(
-            "incident_id",
-            F.array_join(F.transform(F.array_sort("_lines"), lambda e: e["entry"]), "").alias("_text"),
-        )
     )
-    joined = incidents.join(fold, "incident_id", "left").join(texts, "incident_id", "left")
+    joined = incidents.join(fold, "incident_id", "left")
     override, by = F.col("_override"), F.col("_by")
 
     def old(name: str, kind: str):
@@ -90,16 +71,27 @@ def apply_reviews(
         "reviewer_notes": F.coalesce(override["note"], old("reviewer_notes", "string")),
         "reviewed_by": F.coalesce(by["actor"], old("reviewed_by", "string")),
         "reviewed_at": F.coalesce(by["action_ts"], old("reviewed_at", "timestamp_ntz")),
-        "transformation_log": F.when(
-            F.col("_text").isNotNull(),
-            F.concat(F.coalesce(old("transformation_log", "string"), F.lit("")), F.col("_text")),
-        ).otherwise(old("transformation_log", "string")),
-        "log_in_entries": F.coalesce(F.col("_bytes") > cell_bytes, F.lit(False)),
     }
     kept = [c for c in incidents.columns if c not in changed]
     return joined.select(*kept, *[c.alias(name) for name, c in changed.items()])
 
 
+def audit_trail(incidents: DataFrame, actions: DataFrame) -> DataFrame:
+    """All audit entries as rows: those in the stored text, then those of review actions.
+
+    (part, position) orders the entries of an incident: part 0 is the stored
+    text in its own order, part 1 the actions by ``entry_ts``, then by their
+    sequence number. There is no gathering, so an incident may have any number.
+    """
+    stored = split_audit_log(incidents).select(
+        "incident_id", F.lit(0).alias("part"), F.col("position").cast("long").alias("position"), "entry_ts", "kind", "entry")
+    text = F.regexp_replace(F.substr(F.col("entry"), F.lit(23)), r"\n\z", "")
+    added = review_entries(actions).select(
+        "incident_id", F.lit(1).alias("part"), F.col("seq").cast("long").alias("position"),
+        F.date_trunc("second", "action_ts").cast("timestamp_ntz").alias("entry_ts"), F.lit("human").alias("kind"), text.alias("entry"))
+    return stored.unionByName(added)
+
+
 def split_audit_log(df: DataFrame, col: str = "transformation_log") -> DataFrame:
     """One row per audit entry, whether or not entries end with a newline."""
     pieces = F.filter(F.split(F.col(col), rf"\n?(?={ENTRY_START})"), lambda p: p != "")

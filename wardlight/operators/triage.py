@@ -21,6 +21,11 @@ def street_of_address(df: DataFrame, col: str = "address") -> DataFrame:
     return df.withColumn("street", X.street_of(F.col(col)))
 
 
+def pending(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests that no answer has come for; they are triaged once it has."""
+    return requests.join(responses.select("incident_id"), "incident_id", "left_anti")
+
+
 def triage(
     requests: DataFrame,
     responses: DataFrame | None = None,
@@ -31,8 +36,9 @@ def triage(
 
     ``responses`` holds (incident_id, response); without it the requests carry
     the response column themselves and the whole job is one scan and one
-    projection. Answers that cannot be read are left out here; see
-    ``answers.parse_llm_response`` for the rejects.
+    projection. Answers that cannot be read are left out here, see
+    ``answers.parse_llm_response`` for the rejects; requests without an answer
+    are in ``pending``.
     """
     joined = requests
     if responses is not None:

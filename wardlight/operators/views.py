@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import text as X
 from wardlight.functions import times
-from wardlight.operators.common import broadcast_if_few
 
 _LISTED = (
     "incident_id", "description", "severity", "confidence", "image_url",
@@ -54,10 +53,11 @@ def reviewed_only(df: DataFrame, version: str | None = None) -> DataFrame:
 def get_incident(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Details per requested id; an unknown id gives nulls and 'Not processed'.
 
-    Few ids are broadcast against the incident scan, so the table is not
-    shuffled; the outer join then only sees the rows that were found.
+    Ids that the planner knows to be few are broadcast against the incident
+    scan, so the table is not shuffled; the outer join then only sees the rows
+    that were found.
     """
-    asked = broadcast_if_few(ids.select(F.col("incident_id").alias("requested_id")).distinct())
+    asked = ids.select(F.col("incident_id").alias("requested_id")).distinct()
     found = df.select(
         "incident_id", "description", "severity", "needs_review", "policies_applied",
         "created_at", "deadline",

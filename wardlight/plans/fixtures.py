@@ -34,7 +34,8 @@ FIXTURES = {
     ELSE 'http://img.example.com/' || CAST(o_orderkey AS STRING) || '.png' END AS media_url
 FROM @orders""",
     # the same kind of requests as JSON texts
-    "request_lines": f"""SELECT CASE WHEN o_orderkey % 101 = 0 THEN '{{"service_request_id": ' ELSE
+    "request_lines": f"""SELECT CASE WHEN o_orderkey % 101 = 0 THEN '{{"service_request_id": '
+  WHEN o_orderkey % 103 = 0 THEN '{{"service_request_id": "1"}}]' ELSE
   '{{"service_request_id":"' || CAST(o_orderkey AS STRING) || '","service_name":"' || {_SERVICE}
   || '","service_subtype":"' || o_orderpriority || '"'
   || CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE ',"address":"' || {_ADDRESS} || '"' END
@@ -79,6 +80,7 @@ FROM @orders""",
     # one model answer per incident: good, without keys, with nulls, not JSON
     "answers": f"""SELECT CAST(o_orderkey AS STRING) AS incident_id,
   CASE WHEN o_orderkey % 97 = 0 THEN 'not json' WHEN o_orderkey % 89 = 0 THEN '{{"severity": "LOW"}} trailing'
+  WHEN o_orderkey % 83 = 0 THEN '{{"severity": "LOW", "confidence": 0.9}}]' WHEN o_orderkey % 79 = 0 THEN '{{"severity": "LOW"}}, "more": 1'
   ELSE '{{' || CASE WHEN o_orderkey % 31 = 0 THEN '"note": 1' ELSE '"severity": "' || {_LABEL} || '"' END
      || CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 37 = 0 THEN ', "confidence": null'
              WHEN o_orderkey % 41 = 0 THEN ', "confidence": "high"'
@@ -101,7 +103,7 @@ FROM @orders WHERE o_orderstatus = 'P'""",
     # root-cause reports and the feedback on them
     "reports": """SELECT CAST(o_orderkey AS STRING) AS incident_id,
   CASE WHEN o_orderkey % 53 = 0 THEN '{"severity":"High","anomaly_type":"partial"}' WHEN o_orderkey % 59 = 0 THEN 'oops' ELSE
-  '{"severity":"' || CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High'
+  CASE WHEN o_orderkey % 61 = 0 THEN '{"severity":"High"}] ' ELSE '' END || '{"severity":"' || CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High'
      WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END
   || '","anomaly_type":"timeout","source_ip":"10.0.0.' || CAST(o_custkey % 200 AS STRING)
   || '","root_cause":"disk","evidence":["a","b' || CAST(o_orderkey % 3 AS STRING)
@@ -120,7 +122,8 @@ FROM @orders""",
    || event_type || ' failure code ' || CAST(event_id % 4 AS STRING) || CASE WHEN event_id % 8 = 0 THEN ' ' ELSE '' END END AS line
 FROM @events""",
     # structured service logs as JSON lines
-    "service_log_lines": """SELECT CASE WHEN event_id % 61 = 0 THEN 'Traceback (most recent call last):' ELSE
+    "service_log_lines": """SELECT CASE WHEN event_id % 61 = 0 THEN 'Traceback (most recent call last):'
+  WHEN event_id % 67 = 0 THEN '{"message": "closed too early"}]' ELSE
   '{"timestamp": "' || REPLACE(CAST(ts AS STRING), ' ', 'T') || 'Z", "level": "'
   || CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END || '", "logger": "'
   || CASE WHEN event_id % 2 = 0 THEN 'triage_agent' ELSE 'escalation_agent' END || '", "message": "'

@@ -163,20 +163,15 @@ _REVIEWED_SQL = """WITH ordered AS (SELECT *, row_number() OVER (PARTITION BY in
 over AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY action_ts DESC, seq DESC) AS oback
   FROM fx_reviews WHERE action = 'reclassify'),
 closing AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY action_ts DESC, seq DESC) AS cback
-  FROM fx_reviews WHERE action <> 'reject'),
-logs AS (SELECT incident_id, string_agg('[' || strftime(action_ts, '%Y-%m-%d %H:%M:%S') || '] HUMAN_OVERRIDE to ' || new_severity
-    || ' by ' || actor || ' (Note: ' || coalesce(reviewer_notes, 'Manual human reclassification') || ')' || chr(10), ''
-    ORDER BY action_ts, seq) AS added FROM fx_reviews WHERE action = 'reclassify' GROUP BY incident_id)
+  FROM fx_reviews WHERE action <> 'reject')
 SELECT i.incident_id, CASE WHEN o.incident_id IS NOT NULL THEN o.new_severity ELSE i.severity END AS severity,
   i.human_reviewed OR c.incident_id IS NOT NULL AS human_reviewed,
   CASE WHEN l.incident_id IS NULL THEN i.needs_review ELSE l.action = 'reject' END AS needs_review,
   CASE WHEN o.incident_id IS NOT NULL THEN coalesce(o.reviewer_notes, 'Manual human reclassification') END AS reviewer_notes,
-  c.actor AS reviewed_by, c.action_ts AS reviewed_at,
-  i.transformation_log || coalesce(g.added, '') AS transformation_log
+  c.actor AS reviewed_by, c.action_ts AS reviewed_at
 FROM fx_incidents i LEFT JOIN ordered l ON l.incident_id = i.incident_id AND l.back = 1
 LEFT JOIN over o ON o.incident_id = i.incident_id AND o.oback = 1
-LEFT JOIN closing c ON c.incident_id = i.incident_id AND c.cback = 1
-LEFT JOIN logs g ON g.incident_id = i.incident_id"""
+LEFT JOIN closing c ON c.incident_id = i.incident_id AND c.cback = 1"""
 
 
 def _ids(d: Data):
@@ -191,6 +186,14 @@ def _split_rows(d: Data):
     return reviews.split_audit_log(d.incidents)
 
 
+_SPLIT_SQL = r"""WITH pieces AS (SELECT incident_id, unnest(string_split(regexp_replace(transformation_log,
+    '\n?(\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] )', chr(30) || '\1', 'g'), chr(30))[2:]) AS piece,
+    generate_subscripts(string_split(regexp_replace(transformation_log,
+    '\n?(\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] )', chr(30) || '\1', 'g'), chr(30))[2:], 1) AS n FROM fx_incidents),
+bodies AS (SELECT incident_id, CAST(n - 1 AS INT) AS position, CAST(substring(piece, 2, 19) AS TIMESTAMP) AS entry_ts,
+    rtrim(substring(piece, 23), chr(10)) AS entry FROM pieces),
+split AS (SELECT *, CASE WHEN entry LIKE 'Initial%' THEN 'initial' WHEN entry LIKE 'Policy%' THEN 'policy' ELSE 'human' END AS kind FROM bodies)"""
+
 _LISTED = """incident_id, description, severity, confidence, image_url,
   strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, human_reviewed, needs_review, ai_reasoning"""
 _LATEST = "latest AS (SELECT * FROM fx_incidents ORDER BY created_at DESC NULLS FIRST, incident_id LIMIT 100)"
@@ -264,12 +267,15 @@ SELECT count(*) AS texts, count(*) FILTER (regexp_matches(text, '\b\d{{3}}[-.]?\
          "SELECT service_request_id, trim(split_part(coalesce(address, ''), ',', 1)) AS street FROM fx_requests"),
     # ---- prompts and answers ----
     Plan("render_prompt",
-         lambda d: answers.render_prompt(d.incidents, version=None).select("incident_id", "prompt_version", "prompt"),
+         lambda d: answers.render_prompt(d.incidents, version=None)[0].select("incident_id", "prompt_version", "prompt"),
          """SELECT incident_id, prompt_version, 'You are a 311 incident classifier. Classify this complaint:' || chr(10) || 'Description: '
   || description || chr(10) || 'Classify as: LOW, MEDIUM, HIGH, or CRITICAL' || chr(10)
   || 'Return ONLY JSON: {"severity": "...", "confidence": 0.0-1.0'
   || CASE prompt_version WHEN 'v1.1.0' THEN ', "reasoning": "(Short explanation)"' ELSE '' END || '}' AS prompt
 FROM fx_incidents WHERE prompt_version IN ('v1.0.0', 'v1.1.0')"""),
+    Plan("render_prompt_rejects",
+         lambda d: answers.render_prompt(d.incidents, version=None)[1].select("incident_id", "prompt_version"),
+         "SELECT incident_id, prompt_version FROM fx_incidents WHERE prompt_version NOT IN ('v1.0.0', 'v1.1.0')"),
     Plan("parse_llm_response", lambda d: answers.parse_llm_response(d.answers)[0].drop("response"),
          f"WITH {_PARSED} SELECT * FROM read"),
     Plan("parse_llm_response_rejects", lambda d: answers.parse_llm_response(d.answers)[1],
@@ -344,6 +350,10 @@ FROM fx_incidents"""),
     Plan("triage", lambda d: _as_text(_triaged(d), "zip_code").select(*_TRIAGE_COLUMNS),
          f"""WITH {_TRIAGED} SELECT {', '.join(c for c in _TRIAGE_COLUMNS if c != 'zip_code')},
   CAST(zip_code AS STRING) AS zip_code FROM logged"""),
+    Plan("triage_pending",
+         lambda d: TR.pending(_requests(d), d.answers.filter(F.col("response") != "not json")).select("incident_id"),
+         """SELECT service_request_id AS incident_id FROM fx_requests WHERE service_request_id NOT IN
+  (SELECT incident_id FROM fx_answers WHERE response <> 'not json')"""),
     # ---- store and review ----
     Plan("skip_seen", lambda d: requests.skip_seen(_requests(d), _current(d)).select("incident_id"),
          """SELECT service_request_id AS incident_id FROM fx_requests WHERE service_request_id NOT IN
@@ -365,20 +375,19 @@ FROM fx_incidents"""),
     Plan("apply_reviews",
          lambda d: reviews.apply_reviews(d.incidents, d.reviews).select(
              "incident_id", "severity", "human_reviewed", "needs_review", "reviewer_notes", "reviewed_by",
-             "reviewed_at", "transformation_log"),
+             "reviewed_at"),
          _REVIEWED_SQL),
+    Plan("audit_trail", lambda d: reviews.audit_trail(d.incidents, d.reviews),
+         f"""{_SPLIT_SQL}
+SELECT incident_id, 0 AS part, CAST(position AS BIGINT) AS position, entry_ts, kind, entry FROM split
+UNION ALL SELECT incident_id, 1, seq, date_trunc('second', action_ts), 'human', 'HUMAN_OVERRIDE to ' || new_severity
+  || ' by ' || actor || ' (Note: ' || coalesce(reviewer_notes, 'Manual human reclassification') || ')'
+FROM fx_reviews WHERE action = 'reclassify'"""),
     Plan("review_entries", lambda d: reviews.review_entries(d.reviews),
          """SELECT incident_id, action_ts, seq, '[' || strftime(action_ts, '%Y-%m-%d %H:%M:%S') || '] HUMAN_OVERRIDE to ' || new_severity
   || ' by ' || actor || ' (Note: ' || coalesce(reviewer_notes, 'Manual human reclassification') || ')' || chr(10) AS entry
 FROM fx_reviews WHERE action = 'reclassify'"""),
-    Plan("split_audit_log", _split_rows,
-         r"""WITH pieces AS (SELECT incident_id, unnest(string_split(regexp_replace(transformation_log,
-    '\n?(\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] )', chr(30) || '\1', 'g'), chr(30))[2:]) AS piece,
-    generate_subscripts(string_split(regexp_replace(transformation_log,
-    '\n?(\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] )', chr(30) || '\1', 'g'), chr(30))[2:], 1) AS n FROM fx_incidents),
-bodies AS (SELECT incident_id, CAST(n - 1 AS INT) AS position, CAST(substring(piece, 2, 19) AS TIMESTAMP) AS entry_ts,
-    rtrim(substring(piece, 23), chr(10)) AS entry FROM pieces)
-SELECT *, CASE WHEN entry LIKE 'Initial%' THEN 'initial' WHEN entry LIKE 'Policy%' THEN 'policy' ELSE 'human' END AS kind FROM bodies"""),
+    Plan("split_audit_log", _split_rows, f"{_SPLIT_SQL} SELECT * FROM split"),
     # ---- reports that alert ----
     Plan("filter_reportable", lambda d: A.filter_reportable(_reports(d), d.feedback),
          f"WITH {_REPORTABLE} SELECT * FROM reportable"),

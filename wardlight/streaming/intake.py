@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,25 +45,49 @@ def stream_ingest(
 
 def stream_triage(
     shaped: DataFrame,
-    responses: DataFrame | None,
+    responses: DataFrame | Callable[[], DataFrame] | None,
     history: str,
     checkpoint: str,
     as_of=None,
     rejects: str | None = None,
+    pending: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Triage every micro-batch into an append-only history.
 
+    ``responses`` holds (incident_id, response), or is a function that reads
+    them anew for every batch; without it the requests carry the response.
+    Requests that are not answered yet go to the ``pending`` folder and are
+    tried again with the next batch, so an answer may come later; a function
+    with no such folder would lose them and is refused.
     ``sinks.read_incidents`` folds the history to current incidents with the
     meaning of an upsert; ``sinks.compact_history`` shortens it. Unreadable
     answers go to ``rejects`` when a folder is given.
     """
+    spark = shaped.sparkSession
+    if callable(responses) and pending is None:
+        raise ValueError("answers that come later need a folder for pending requests")
+
+    def waiting(batch: DataFrame, batch_id: int) -> DataFrame:
+        """The batch and what the one before has left over."""
+        if pending is None or not folder_exists(spark, f"{pending}/batch_id={batch_id - 1}"):
+            return batch
+        left = spark.read.schema(batch.schema).parquet(f"{pending}/batch_id={batch_id - 1}")
+        return batch.unionByName(left)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        joined = batch if responses is None else batch.join(
-            responses.select("incident_id", "response"), "incident_id")
+        joined = batch
+        if responses is not None:
+            known = responses() if callable(responses) else responses
+            asked = waiting(batch, batch_id)
+            if pending is not None:
+                write_batch(triage.pending(asked, known), pending, batch_id)
+            joined = asked.join(known.select("incident_id", "response"), "incident_id")
+        joined.persist()  # read for the history and for the rejects
         write_batch(triage.triage(joined, as_of=as_of), history, batch_id)
         if rejects is not None:
             bad = answers.parse_llm_response(privacy.redact_pii(joined))[1]
             write_batch(bad.select("incident_id", "response", "parse_status"), rejects, batch_id)
+        joined.unpersist()
 
     return each_batch(shaped, handle, checkpoint, trigger=trigger)
