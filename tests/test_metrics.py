@@ -1,10 +1,11 @@
-"""Rates, quantiles, alert lifecycle and notifications on hand-made rows."""
+"""Rates, quantiles, alert lifecycle and messages on hand-made rows."""
 
 import math
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardlight.operators import alerts as A
 from wardlight.operators import metrics as M
@@ -156,74 +157,40 @@ def test_every_rule_fires_at_its_own_thresholds(spark):
     assert one(A.alert_PodCrashLooping(restarts))["description"].startswith("Pod p has restarted")
 
 
-class Session:
-    """One open group: its timer and what it still has to say."""
-
-    def __init__(self, now):
-        self.timer, self.first, self.last = now + 10, True, None
-        self.active = self.ended = 0
-        self.changed = False
-
-    def flush(self, now, until):
-        out = None
-        if self.changed:
-            if not (self.first and self.active == 0):
-                kind = "first" if self.first else "resolved" if self.active == 0 else "changed"
-                out = (now, kind, self.active, self.ended)
-            self.last, self.first = now, False
-        elif self.active and now - self.last >= 300 and now <= until:
-            out, self.last = (now, "repeat", self.active, 0), now
-        self.changed, self.ended = False, 0
-        self.timer = now + 60 if self.active else None
-        return out
-
-
-def notify_by_hand(alerts, until):
-    """A clock that ticks once a second for each group."""
-    sent = []
-    for group in sorted({a[:2] for a in alerts}):
-        mine = [a[2:] for a in alerts if a[:2] == group]
-        sessions, active = [], 0
-        for now in range(min(s for s, _ in mine), until + 120):
-            up = sum(s == now for s, _ in mine)
-            down = sum(e == now for _, e in mine)
-            if up or down:
-                if active == 0:
-                    sessions.append(Session(now))
-                active += up - down
-                sessions[-1].active, sessions[-1].changed = active, True
-                sessions[-1].ended += down
-            for session in sessions:
-                if session.timer == now:
-                    out = session.flush(now, until)
-                    if out:
-                        sent.append((*group, *out))
-    return sorted(sent)
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_notifications_equal_a_clock(spark, seed):
-    rng = random.Random(seed)
-    alerts = []
-    for name, severity in (("A", "critical"), ("B", "warning"), ("Watchdog", "none")):
-        for _ in range(rng.randrange(1, 9)):
-            start = rng.randrange(0, 400) * 15
-            length = rng.choice([None, 15, 60, 300, 1500])
-            alerts.append((name, severity, start, None if length is None else start + length))
+def test_groups_tell_firing_and_recent_alerts(spark):
+    rows = [("A", "critical", 0, 300, "i1"), ("A", "critical", 100, None, "i2"), ("B", "warning", 50, 60, "i1"), ("Watchdog", "none", 0, None, "w")]
     df = spark.createDataFrame(
-        [(n, s, at(a), None if b is None else at(b)) for n, s, a, b in alerts],
-        "alertname string, severity string, fires_at timestamp_ntz, resolved_at timestamp_ntz")
-    until = 9000
-    got = sorted((r["alertname"], r["severity"], int((r["sent_at"] - T0).total_seconds()), r["kind"], r["firing"], r["resolved"])
-                 for r in A.notify_alerts(df, until=at(until)).collect())
-    assert got == notify_by_hand([a for a in alerts if a[0] != "Watchdog"], until)
-    early, late = A.notify_alerts(df, until=at(3000)), A.notify_alerts(df, until=at(until), after=at(3000))
-    assert late.count() == sum(n[2] > 3000 for n in got)
-    # up to its horizon a run sends what the longer run sends
-    assert {n[:3] for n in got if n[2] <= 3000} <= {
-        (r["alertname"], r["severity"], int((r["sent_at"] - T0).total_seconds())) for r in early.collect()}
-    receivers = {(r["severity"], r["receiver"]) for r in A.notify_alerts(df).collect()}
-    assert receivers <= {("critical", "slack-critical"), ("warning", "slack-alerts")}
+        [(n, s, at(a), at(a), None if b is None else at(b), i, "s", "d") for n, s, a, b, i in rows],
+        "alertname string, severity string, since timestamp_ntz, fires_at timestamp_ntz, resolved_at timestamp_ntz, "
+        "instance string, summary string, description string")
+    instants = F.array(*[F.lit(at(s)) for s in (0, 60, 200, 320, 900)])
+    got = sorted((r["alertname"], int((r["evaluated_at"] - T0).total_seconds()), r["firing"], r["resolved"], r["receiver"], r["text"].count("*Alert:*"))
+                 for r in A.alert_groups(df, instants, "1m").collect())
+    assert got == [
+        ("A", 0, 1, 0, "slack-critical", 1), ("A", 200, 2, 0, "slack-critical", 2), ("A", 320, 1, 1, "slack-critical", 2),
+        ("A", 60, 1, 0, "slack-critical", 1), ("A", 900, 1, 0, "slack-critical", 1), ("B", 60, 0, 1, "slack-alerts", 1),
+    ] or got == sorted([
+        ("A", 0, 1, 0, "slack-critical", 1), ("A", 60, 1, 0, "slack-critical", 1), ("A", 200, 2, 0, "slack-critical", 2),
+        ("A", 320, 1, 1, "slack-critical", 2), ("A", 900, 1, 0, "slack-critical", 1), ("B", 60, 0, 1, "slack-alerts", 1)])
+
+
+def test_a_series_that_stops_resolves_after_its_window(spark):
+    """Instance 1 fails for a quarter of an hour and disappears; instance 2 runs on."""
+    calls = [(at(s), "1", 500) for s in range(0, 900, 15)] + [(at(s), "2", 200) for s in range(0, 6000, 15)]
+    df = spark.createDataFrame(calls, "ts timestamp_ntz, instance string, status int")
+    alerts = A.alert_LLMHighErrorRate(df).collect()
+    assert [a["instance"] for a in alerts] == ["1"]
+    assert int((alerts[0]["resolved_at"] - T0).total_seconds()) == 885 + 300
+    still = A.alert_LLMHighErrorRate(df.filter("instance = '1'")).first()
+    assert still["resolved_at"] is None
+
+
+def test_silence_is_a_traffic_drop(spark):
+    calls = [(at(3600 * h + 60 * k), 1.0, 10, 5) for h in range(40) if h != 30 for k in range(20 + h % 3)]
+    df = spark.createDataFrame(calls, "ts timestamp_ntz, duration_s double, prompt_tokens long, completion_tokens long")
+    rows = M.signal_anomalies(df).orderBy("bucket_start").collect()
+    assert len(rows) == 40 and [i for i, r in enumerate(rows) if r["traffic_drop"]] == [30]
+    assert rows[30]["latency_z"] is None
 
 
 def test_alert_lines(spark):

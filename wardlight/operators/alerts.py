@@ -2,7 +2,7 @@
 
 A rule turns metrics into condition rows (series, tick, value, firing) on a
 fixed grid; ``sustained`` turns those into alerts with a start and an end; and
-``notify_alerts`` turns alerts into the messages their groups would send.
+``alert_groups`` turns alerts into the messages of their groups.
 """
 
 from __future__ import annotations
@@ -67,19 +67,23 @@ RESTARTS = "kube_pod_container_status_restarts_total"
 # ---- conditions that hold for a while ----
 
 def sustained(
-    conditions: DataFrame, hold: str | int, by: Sequence[str], step: str | int = STEP
+    conditions: DataFrame, hold: str | int, by: Sequence[str], step: str | int = STEP,
+    end: Column | None = None,
 ) -> DataFrame:
     """Runs of consecutive firing ticks that last at least ``hold``.
 
     Gives since (first firing tick), fires_at (since + hold), resolved_at (the
-    tick after the run, null while the series ends firing), and the last
-    value. Rows are grid ticks, so a series is as long as its time span.
+    tick after the run, null if the run reaches the end of the evaluation), and
+    the last value. The end is by default the last tick of all series, so a
+    series that stops resolves. Rows are grid ticks, so a series is as long as
+    its time span.
     """
+    end = M.last_tick(conditions) if end is None else end
     width, need = times.seconds_of(step), times.seconds_of(hold)
     order = M.series_order(by)
     tick = F.col("tick")
     firing = (
-        conditions.withColumn("_open", F.lead("tick").over(order).isNull())
+        conditions.withColumn("_open", tick >= end)
         .filter(F.col("firing"))
         .withColumn("_run", tick - F.row_number().over(order) * F.lit(width))
     )
@@ -99,9 +103,9 @@ def sustained(
     )
 
 
-def _alert(conditions: DataFrame, rule: Rule, by: Sequence[str], step, hold=None) -> DataFrame:
-    """Alert rows with the rule's labels and texts."""
-    runs = sustained(conditions, rule.hold if hold is None else hold, by, step)
+def _alert(source: DataFrame, conditions: DataFrame, rule: Rule, by: Sequence[str], step, hold=None) -> DataFrame:
+    """Alert rows with the rule's labels and texts; the last time of ``source`` ends the evaluation."""
+    runs = sustained(conditions, rule.hold if hold is None else hold, by, step, M.end_of(source, step))
     text = F.lit(rule.description)
     for label in ("instance", "pod"):
         if label in by:
@@ -131,7 +135,7 @@ def latency_condition(calls, threshold=5.0, window="5 minutes", step=STEP, by=("
     counted = M.bucket_counts(
         calls.withColumn("tick", times.tick_of(F.col("ts"), step)), [*by, "tick"], bounds
     )
-    summed = M.rolling(counted, by, step, window, names)
+    summed = M.rolling(counted, by, step, window, names, M.end_of(calls, step))
     value = M.quantile_of(F.array(*[F.col(n) for n in names]), bounds, q)
     return judged(summed.withColumn("value", value).select(*by, "tick", "value"),
                    F.col("value"), lambda v: v > F.lit(float(threshold)))
@@ -139,7 +143,7 @@ def latency_condition(calls, threshold=5.0, window="5 minutes", step=STEP, by=("
 
 def alert_HighLLMLatency(calls, threshold=5.0, window="5 minutes", step=STEP, hold=None, by=("instance",)):
     rows = latency_condition(calls, threshold, window, step, by)
-    return _alert(rows, RULES["HighLLMLatency"], by, step, hold)
+    return _alert(calls, rows, RULES["HighLLMLatency"], by, step, hold)
 
 
 def alert_LowClassificationConfidence(calls, threshold=0.8, step=STEP, hold=None, lookback=M.LOOKBACK,
@@ -147,31 +151,31 @@ def alert_LowClassificationConfidence(calls, threshold=0.8, step=STEP, hold=None
     gauges = calls.withColumn("label", F.col("severity"))
     ticks = M.gauge_ticks(gauges, by, step, lookback, col="confidence")
     rows = judged(ticks, F.col("value"), lambda v: v < F.lit(float(threshold)))
-    return _alert(rows, RULES["LowClassificationConfidence"], by, step, hold)
+    return _alert(calls, rows, RULES["LowClassificationConfidence"], by, step, hold)
 
 
 def error_share(calls, window="5 minutes", step=STEP, by: Sequence[str] = ()):
     """Share of 5xx requests in the sliding window per series."""
     counted = M.slices(calls, by, step, total=F.count(F.lit(1)), bad=F.count_if(F.col("status") >= 500))
-    summed = M.rolling(counted, by, step, window, ["total", "bad"])
+    summed = M.rolling(counted, by, step, window, ["total", "bad"], M.end_of(calls, step))
     return summed.select(*by, "tick", F.try_divide(F.col("bad"), F.col("total")).alias("share"))
 
 
 def alert_HighErrorRate(calls, threshold=0.05, window="5 minutes", step=STEP, hold=None):
     rows = judged(error_share(calls, window, step), F.col("share"), lambda v: v > F.lit(float(threshold)))
-    return _alert(rows, RULES["HighErrorRate"], (), step, hold)
+    return _alert(calls, rows, RULES["HighErrorRate"], (), step, hold)
 
 
 def alert_SLOBreach(calls, target=0.999, window="5 minutes", step=STEP, hold=None, by=("instance",)):
     rows = judged(error_share(calls, window, step, by), F.lit(1.0) - F.col("share"),
                    lambda v: v < F.lit(float(target)))
-    return _alert(rows, RULES["SLOBreach"], by, step, hold)
+    return _alert(calls, rows, RULES["SLOBreach"], by, step, hold)
 
 
 def alert_LLMHighErrorRate(calls, threshold=0.1, window="5 minutes", step=STEP, hold=None, by=("instance",)):
     rows = judged(error_share(calls, window, step, by), F.col("share"),
                    lambda v: v > F.lit(float(threshold)))
-    return _alert(rows, RULES["LLMHighErrorRate"], by, step, hold)
+    return _alert(calls, rows, RULES["LLMHighErrorRate"], by, step, hold)
 
 
 def alert_HighTokenUsage(calls, threshold=10.0, window="5 minutes", step=STEP, hold=None,
@@ -180,9 +184,9 @@ def alert_HighTokenUsage(calls, threshold=10.0, window="5 minutes", step=STEP, h
     amount = F.sum(F.col("prompt_tokens") + F.col("completion_tokens")) if count_tokens else F.count(F.lit(1))
     counted = M.slices(calls, by, step, events=amount)
     seconds = float(times.seconds_of(window))
-    summed = M.rolling(counted, by, step, window, ["events"])
+    summed = M.rolling(counted, by, step, window, ["events"], M.end_of(calls, step))
     rows = judged(summed, F.col("events") / F.lit(seconds), lambda v: v > F.lit(float(threshold)))
-    return _alert(rows, RULES["HighTokenUsage"], by, step, hold)
+    return _alert(calls, rows, RULES["HighTokenUsage"], by, step, hold)
 
 
 def samples_of(samples: DataFrame, name: str, *labels: str) -> DataFrame:
@@ -196,22 +200,25 @@ def samples_of(samples: DataFrame, name: str, *labels: str) -> DataFrame:
 
 
 def alert_PodCrashLooping(samples, threshold=3.0, window="15 minutes", step=STEP, hold=None, by=("pod",)):
-    grown = M.increase(samples_of(samples, RESTARTS, *by), window, step, by)
+    own = samples_of(samples, RESTARTS, *by)
+    grown = M.increase(own, window, step, by)
     rows = judged(grown, F.col("increase"), lambda v: v > F.lit(float(threshold)))
-    return _alert(rows, RULES["PodCrashLooping"], by, step, hold)
+    return _alert(own, rows, RULES["PodCrashLooping"], by, step, hold)
 
 
 def alert_HighCPUUsage(samples, threshold=0.8, window="5 minutes", step=STEP, hold=None, by=("instance",)):
-    used = M.rate(samples_of(samples, CPU_SECONDS, *by), window, step, by)
+    own = samples_of(samples, CPU_SECONDS, *by)
+    used = M.rate(own, window, step, by)
     rows = judged(used, F.col("rate"), lambda v: v > F.lit(float(threshold)))
-    return _alert(rows, RULES["HighCPUUsage"], by, step, hold)
+    return _alert(own, rows, RULES["HighCPUUsage"], by, step, hold)
 
 
 def alert_HighMemoryUsage(samples, threshold=500_000_000, step=STEP, hold=None, lookback=M.LOOKBACK,
                           by=("instance",)):
-    ticks = M.gauge_ticks(samples_of(samples, MEMORY_BYTES, *by), by, step, lookback)
+    own = samples_of(samples, MEMORY_BYTES, *by)
+    ticks = M.gauge_ticks(own, by, step, lookback)
     rows = judged(ticks, F.col("value"), lambda v: v > F.lit(float(threshold)))
-    return _alert(rows, RULES["HighMemoryUsage"], by, step, hold)
+    return _alert(own, rows, RULES["HighMemoryUsage"], by, step, hold)
 
 
 # ---- reports and feedback that alert ----
@@ -276,7 +283,7 @@ def alert_payload(reportable: DataFrame) -> DataFrame:
     return reportable.select("incident_id", "severity", document.alias("payload"))
 
 
-# ---- notifications ----
+# ---- messages ----
 
 # Receivers and titles.
 CRITICAL_RECEIVER, DEFAULT_RECEIVER = "slack-critical", "slack-alerts"
@@ -325,85 +332,23 @@ def alert_text(alerts: DataFrame, place: str = "MONITORING") -> DataFrame:
     return alerts.withColumn("text", F.concat_ws("\n", *[line(*spec) for spec in TEXT_LINES[place]]))
 
 
-def notify_alerts(
-    alerts: DataFrame,
-    group_wait: str | int = "10s",
-    group_interval: str | int = "1m",
-    repeat: str | int = "5m",
-    until=None,
-    after=None,
-    place: str = "MONITORING",
-) -> DataFrame:
-    """Notifications per (alertname, severity) group.
-
-    A group opens when an alert fires while none was firing. It first sends
-    ``group_wait`` later, then at every ``group_interval`` in which something
-    fired or resolved, and repeats itself after ``repeat`` without a change as
-    long as something fires, up to ``until`` (default: the group's last
-    change). Changes are first added up per (group, instant), so the windows
-    that follow see instants, however many alerts share them.
+def alert_groups(alerts: DataFrame, instants: Column, recent: str | int = "5m", place: str = "MONITORING") -> DataFrame:
+    """One row per (alertname, severity, evaluation instant) with something to tell.
+
+    ``instants`` is an array of the moments at which groups are looked at. A
+    group tells its alerts that fire then and those that resolved less than
+    ``recent`` before; the row has both counts, receiver, title and the lines
+    of all these alerts, in the order of their text. An alert is copied only to
+    instants that tell it.
     """
-    wait, interval, again = map(times.seconds_of, (group_wait, group_interval, repeat))
-    again = -(-again // interval) * interval
-    group = ("alertname", "severity")
-    second = lambda c: F.floor(times.micros(c) / F.lit(1_000_000)).cast("long")
-
-    change = F.explode(F.array(
-        F.struct(second(F.col("fires_at")).alias("at"), F.lit(1).alias("fired"), F.lit(0).alias("ended")),
-        F.struct(second(F.col("resolved_at")).alias("at"), F.lit(0).alias("fired"), F.lit(1).alias("ended")),
-    ))
-    instants = (
-        alerts.filter(F.col("alertname") != IGNORED)
-        .select(*group, change.alias("c"))
-        .select(*group, "c.*")
-        .filter(F.col("at").isNotNull())
-        .groupBy(*group, "at")
-        .agg(F.sum("fired").alias("fired"), F.sum("ended").alias("ended"))
-    )
-    w = Window.partitionBy(*group).orderBy("at")
-    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    active = F.sum(F.col("fired") - F.col("ended")).over(sofar)
-    staged = instants.withColumn("active", active).withColumn(
-        "_opens", F.coalesce(F.lag("active").over(w), F.lit(0)) == 0
-    ).withColumns({
-        "opened": F.max(F.when(F.col("_opens"), F.col("at"))).over(sofar),
-        "_final": F.max("at").over(whole),
-    })
-    rounds = F.greatest(
-        F.lit(0), F.ceil((F.col("at") - F.col("opened") - F.lit(wait)) / F.lit(float(interval)))
-    ).cast("long")
-    flush = F.col("opened") + F.lit(wait) + rounds * F.lit(interval)
-    flushes = staged.withColumn("sent", flush).groupBy(*group, "opened", "sent").agg(
-        F.sum("fired").alias("fired"),
-        F.sum("ended").alias("resolved"),
-        F.max_by("active", "at").alias("firing"),
-        F.max("_final").alias("_final"),
-    )
-    session = Window.partitionBy(*group, "opened").orderBy("sent")
-    horizon = F.col("_final") if until is None else second(times.moment(until))
-    known = flushes.withColumns({
-        "_first": F.row_number().over(session) == 1,
-        "_next": F.lead("sent").over(session),
-    }).filter(~(F.col("_first") & (F.col("firing") == 0)))
-    stop = F.coalesce(F.col("_next") - 1, horizon)
-    repeats = F.when(
-        (F.col("firing") > 0) & (stop >= F.col("sent") + F.lit(again)),
-        F.sequence(F.col("sent") + F.lit(again), stop, F.lit(again).cast("long")),
-    ).otherwise(F.array().cast("array<bigint>"))
-    times_sent = F.explode(F.concat(F.array("sent"), repeats)).alias("_at")
-    sent = known.select("*", times_sent).withColumn("_again", F.col("_at") > F.col("sent"))
-    kind = F.when(F.col("_again"), "repeat").when(F.col("_first"), "first").when(
-        F.col("firing") == 0, "resolved"
-    ).otherwise("changed")
-    if after is not None:
-        sent = sent.filter(F.col("_at") > second(times.moment(after)))
-    return routed(sent, place).select(
-        *group,
-        times.at_second(F.col("_at")).alias("sent_at"),
-        kind.alias("kind"),
-        "firing",
-        F.when(F.col("_again"), F.lit(0)).otherwise(F.col("resolved")).cast("long").alias("resolved"),
-        "receiver",
-        "title",
+    seconds = times.seconds_of(recent)
+    gone = F.col("resolved_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)"))
+    told = F.filter(instants, lambda t: (t >= F.col("fires_at")) & (F.col("resolved_at").isNull() | (t < gone)))
+    lines = alert_text(routed(alerts, place), place).withColumn("evaluated_at", F.explode(told))
+    fires = F.col("resolved_at").isNull() | (F.col("evaluated_at") < F.col("resolved_at"))
+    in_order = F.array_sort(F.collect_list(F.struct("text", "since")))
+    return lines.groupBy("alertname", "severity", "evaluated_at", "receiver", "title").agg(
+        F.count_if(fires).alias("firing"),
+        F.count_if(~fires).alias("resolved"),
+        F.array_join(F.transform(in_order, lambda x: x["text"]), "\n\n").alias("text"),
     )

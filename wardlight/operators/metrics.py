@@ -224,36 +224,49 @@ def series_order(by: Sequence[str]) -> Window:
     return Window.partitionBy(*(by or [F.lit(1)])).orderBy("tick")
 
 
-def dense(rows: DataFrame, by: Sequence[str], step: str | int, reach: str | int) -> DataFrame:
-    """Repeat each row of a series at the grid seconds up to the next row.
+def last_tick(rows: DataFrame) -> Column:
+    """The last tick of all series: up to there rules are evaluated."""
+    return rows.agg(F.max("tick")).scalar()
 
-    ``reach`` limits how far, so a series that pauses leaves a gap and a
-    rare sample does not become a long run of rows. ``is_sample`` marks the
+
+def end_of(samples: DataFrame, step: str | int) -> Column:
+    """The last tick of all raw rows: the end of an evaluation over them, from one narrow scan."""
+    return samples.agg(times.tick_of(F.max("ts"), step)).scalar()
+
+
+def dense(
+    rows: DataFrame, by: Sequence[str], step: str | int, reach: str | int, end: Column | None = None
+) -> DataFrame:
+    """Repeat each row of a series at the grid seconds up to the next row, the last one up to ``end``.
+
+    ``reach`` limits how far, so a series that pauses or stops leaves a gap and
+    a rare sample does not become a long run of rows. ``end`` is the end of the
+    evaluation, by default the last tick of all series. ``is_sample`` marks the
     rows that were there.
     """
     width = times.seconds_of(step)
     furthest = F.col("tick") + F.lit(max(times.seconds_of(reach) - width, 0))
-    last = F.least(
-        F.coalesce(F.lead("tick").over(series_order(by)) - F.lit(width), F.col("tick")), furthest
-    )
+    end = last_tick(rows) if end is None else end
+    until = F.coalesce(F.lead("tick").over(series_order(by)) - F.lit(width), F.greatest(end, F.col("tick")))
     others = [c for c in rows.columns if c != "tick"]
-    return rows.withColumn("_to", last).select(
+    return rows.withColumn("_to", F.least(until, furthest)).select(
         *others, F.col("tick").alias("_from"),
         F.explode(F.sequence(F.col("tick"), F.col("_to"), F.lit(width).cast("long"))).alias("tick"),
     ).withColumn("is_sample", F.col("tick") == F.col("_from")).drop("_from")
 
 
 def rolling(
-    rows: DataFrame, by: Sequence[str], step: str | int, window: str | int, cols: Sequence[str]
+    rows: DataFrame, by: Sequence[str], step: str | int, window: str | int, cols: Sequence[str],
+    end: Column | None = None,
 ) -> DataFrame:
     """Sums over the window that ends at each grid second.
 
-    A series has rows from its first to its last tick, except where its window
-    is empty.
+    A series has rows from its first tick on, except where its window is empty;
+    after its last sample the window empties, up to the end of the evaluation.
     """
     back = times.seconds_of(window) - times.seconds_of(step)
     frame = series_order(by).rangeBetween(-back, 0)
-    filled = dense(rows, by, step, window)
+    filled = dense(rows, by, step, window, end)
     return filled.select(*by, "tick", *[
         F.sum(F.when(F.col("is_sample"), F.col(c)).otherwise(F.lit(0))).over(frame).alias(c) for c in cols
     ])
@@ -287,7 +300,7 @@ def increase(
     by: Sequence[str] = ("name", "instance"),
 ) -> DataFrame:
     grown = counter_slices(samples, by, step)
-    return rolling(grown, by, step, window, ["growth"]).withColumnRenamed("growth", "increase")
+    return rolling(grown, by, step, window, ["growth"], end_of(samples, step)).withColumnRenamed("growth", "increase")
 
 
 def rate(
@@ -307,17 +320,19 @@ def event_rate(
     """Events per second over a sliding window, straight from the events."""
     counted = slices(events, by, step, events=F.count(F.lit(1)))
     seconds = float(times.seconds_of(window))
-    return rolling(counted, by, step, window, ["events"]).withColumn(
+    return rolling(counted, by, step, window, ["events"], end_of(events, step)).withColumn(
         "rate", F.col("events") / F.lit(seconds)
     )
 
 
 def gauge_ticks(
-    samples: DataFrame, by: Sequence[str], step: str | int, lookback: str | int = LOOKBACK, col: str = "value"
+    samples: DataFrame, by: Sequence[str], step: str | int, lookback: str | int = LOOKBACK, col: str = "value",
+    end: Column | None = None,
 ) -> DataFrame:
     """The last known value of a gauge at each grid second, until it goes stale."""
+    end = end_of(samples, step) if end is None else end
     latest = slices(samples, by, step, value=F.max_by(F.col(col), F.struct("ts", col)))
-    return dense(latest, by, step, reach=lookback).select(*by, "tick", "value")
+    return dense(latest, by, step, lookback, end).select(*by, "tick", "value")
 
 
 def signal_anomalies(calls: DataFrame, bucket: str = "1 hour", z: float = 3.0, trail: int = 24) -> DataFrame:
@@ -327,6 +342,12 @@ def signal_anomalies(calls: DataFrame, bucket: str = "1 hour", z: float = 3.0, t
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).cast("double").alias("tokens"),
         (F.sum(F.round(F.col("duration_s") * 1_000_000).cast("long")) / F.count(F.lit(1)) / 1e6).alias("latency"),
     )
+    # a bucket without a call has no traffic, which is the strongest drop; its latency is unknown
+    span = per_bucket.agg(F.min("bucket_start").alias("lo"), F.max("bucket_start").alias("hi"))
+    grid = span.filter("lo IS NOT NULL").select(
+        F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL '{times.seconds_of(bucket)}' SECOND"))).alias("bucket_start"))
+    per_bucket = grid.join(per_bucket, "bucket_start", "left").withColumns({
+        c: F.coalesce(c, F.lit(0.0)) for c in ("traffic", "tokens")})
     # one row per bucket: the single partition is bounded by the time span
     w = Window.partitionBy(F.lit(1)).orderBy("bucket_start").rowsBetween(-trail, -1)
 

@@ -79,7 +79,8 @@ def rolling_sql(source: str, by: str, cols: list[str], step: int, window: int, n
     key = by or "'all'"
     over = f"OVER (PARTITION BY g.k ORDER BY g.tick ROWS BETWEEN {window // step - 1} PRECEDING AND CURRENT ROW)"
     sums = ", ".join(f"sum(coalesce(s.{c}, 0)) {over} AS {c}" for c in cols)
-    return f"""spans AS (SELECT {key} AS k, min(tick) AS lo, max(tick) AS hi FROM {source} GROUP BY 1),
+    return f"""spans AS (SELECT {key} AS k, min(tick) AS lo, least(max(tick) + {window - step}, (SELECT max(tick) FROM {source})) AS hi
+  FROM {source} GROUP BY 1),
 grid AS (SELECT k, unnest(generate_series(lo, hi, {step})) AS tick FROM spans),
 {name} AS (SELECT g.k, g.tick, {sums}
   FROM grid g LEFT JOIN {source} s ON s.tick = g.tick AND {'s.' + by if by else key} = g.k
@@ -98,13 +99,13 @@ def gauge_sql(samples: str, by: str, value: str, step: int, lookback: int) -> st
     """Last value per tick, carried until it is older than the lookback."""
     return f"""lastv AS (SELECT {by} AS k, {tick_sql(step=step)} AS tick, max_by({value}, (ts, {value})) AS v FROM {samples} GROUP BY 1, 2),
 nextv AS (SELECT *, lead(tick) OVER (PARTITION BY k ORDER BY tick) AS nxt FROM lastv),
-rolled AS (SELECT k, v, unnest(generate_series(tick, greatest(tick, least(coalesce(nxt - {step}, tick), tick + {lookback - step})), {step})) AS tick
+rolled AS (SELECT k, v, unnest(generate_series(tick, greatest(tick, least(coalesce(nxt - {step}, (SELECT max(tick) FROM lastv)), tick + {lookback - step})), {step})) AS tick
   FROM nextv)"""
 
 
 def runs_sql(source: str, value: str, test: str, hold: int, step: int = HOUR) -> str:
     """Runs of ticks of ``source`` (k, tick) where ``test`` holds long enough."""
-    return f"""conds AS (SELECT k, tick, {value} AS value, lead(tick) OVER (PARTITION BY k ORDER BY tick) IS NULL AS is_last FROM {source}),
+    return f"""conds AS (SELECT k, tick, {value} AS value, tick = (SELECT max(tick) FROM {source}) AS is_last FROM {source}),
 firing AS (SELECT *, tick - {step} * row_number() OVER (PARTITION BY k ORDER BY tick) AS run FROM conds WHERE {test}),
 runs AS (SELECT k, min(tick) AS since, max(tick) AS until, bool_or(is_last) AS still, max_by(value, tick) AS value FROM firing
   GROUP BY k, run HAVING max(tick) - min(tick) >= {hold})"""
@@ -230,33 +231,31 @@ def all_alerts(d: Data):
 _BOTH = " UNION ALL ".join(
     "(" + next(p for p in ALERT_PLANS if p.name == name).sql + ")" for name in ("alert_SLOBreach", "alert_HighTokenUsage"))
 
-UNTIL = "2024-01-31 00:00:00"
-
-def notified_sql(alerts: str) -> str:
-    """Every tick of every open group is laid out and then judged, one by one."""
-    return f"""WITH alerts AS ({alerts}),
-changes AS (SELECT alertname, severity, CAST(epoch(fires_at) AS BIGINT) AS sec, 1 AS f, 0 AS e FROM alerts
-  UNION ALL SELECT alertname, severity, CAST(epoch(resolved_at) AS BIGINT), 0, 1 FROM alerts WHERE resolved_at IS NOT NULL),
-instants AS (SELECT alertname, severity, sec, sum(f) AS f, sum(e) AS e FROM changes GROUP BY ALL),
-running AS (SELECT *, sum(f - e) OVER (PARTITION BY alertname, severity ORDER BY sec) AS active FROM instants),
-marked AS (SELECT *, lag(active, 1, 0) OVER (PARTITION BY alertname, severity ORDER BY sec) = 0 AS opens FROM running),
-opened AS (SELECT *, max(CASE WHEN opens THEN sec END) OVER (PARTITION BY alertname, severity ORDER BY sec) AS o FROM marked),
-flushes AS (SELECT alertname, severity, o, o + 10 + 60 * greatest(0, CAST(ceil((sec - o - 10) / 60) AS BIGINT)) AS t,
-    sum(f) AS f, sum(e) AS e, max_by(active, sec) AS firing FROM opened GROUP BY ALL),
-sessions AS (SELECT alertname, severity, o, max(t) AS last_t, max_by(firing, t) AS last_firing FROM flushes GROUP BY ALL),
-ticks AS (SELECT alertname, severity, o, unnest(generate_series(o + 10,
-    CASE WHEN last_firing > 0 THEN greatest(last_t, epoch(TIMESTAMP '{UNTIL}')::BIGINT) ELSE last_t END, 60)) AS t FROM sessions),
-states AS (SELECT k.*, f.t IS NOT NULL AS changed, f.e, f.firing AS now,
-    last_value(f.firing IGNORE NULLS) OVER w AS firing, max(f.t) OVER w AS since,
-    min(f.t) OVER (PARTITION BY k.alertname, k.severity, k.o) AS first_t
-  FROM ticks k LEFT JOIN flushes f USING (alertname, severity, o, t)
-  WINDOW w AS (PARTITION BY k.alertname, k.severity, k.o ORDER BY k.t))
-SELECT alertname, severity, make_timestamp(t * 1000000) AS sent_at,
-  CASE WHEN NOT changed THEN 'repeat' WHEN t = first_t THEN 'first' WHEN firing = 0 THEN 'resolved' ELSE 'changed' END AS kind,
-  CAST(firing AS BIGINT) AS firing, CAST(CASE WHEN changed THEN e ELSE 0 END AS BIGINT) AS resolved,
+# the days on which groups are looked at
+_DAYS = ("2024-01-01", "2024-03-31")
+
+
+def _instants():
+    return F.sequence(F.lit(_DAYS[0]).cast("timestamp_ntz"), F.lit(_DAYS[1]).cast("timestamp_ntz"), F.expr("INTERVAL 1 DAY"))
+
+
+def groups_sql(alerts: str, place: str, lines: str) -> str:
+    return f"""WITH alerts AS ({alerts}), lines AS (SELECT *, {lines} AS line FROM alerts),
+days AS (SELECT unnest(generate_series(TIMESTAMP '{_DAYS[0]}', TIMESTAMP '{_DAYS[1]}', INTERVAL 1 DAY)) AS evaluated_at)
+SELECT alertname, severity, evaluated_at,
   CASE severity WHEN 'critical' THEN 'slack-critical' ELSE 'slack-alerts' END AS receiver,
-  CASE severity WHEN 'critical' THEN ':rotating_light: CRITICAL' ELSE ':warning:' END || ' [MONITORING] ' || alertname AS title
-FROM states WHERE (changed AND NOT (t = first_t AND firing = 0)) OR (NOT changed AND firing > 0 AND (t - since) % 300 = 0)"""
+  CASE severity WHEN 'critical' THEN ':rotating_light: CRITICAL' ELSE ':warning:' END || ' [{place}] ' || alertname AS title,
+  count(*) FILTER (resolved_at IS NULL OR evaluated_at < resolved_at) AS firing,
+  count(*) FILTER (resolved_at <= evaluated_at) AS resolved,
+  string_agg(line, chr(10) || chr(10) ORDER BY line, since) AS text
+FROM lines, days WHERE fires_at <= evaluated_at AND (resolved_at IS NULL OR evaluated_at < resolved_at + INTERVAL 1 DAY)
+GROUP BY alertname, severity, evaluated_at"""
+
+
+_LINES = """'*Alert:* ' || alertname || chr(10) || '*Namespace:* ' || chr(10) || '*Severity:* ' || severity || chr(10)
+  || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description || chr(10) || '*Instance:* `' || instance || '`'"""
+_DEFAULT_LINES = """'*Alert:* ' || alertname || chr(10) || '*Severity:* ' || severity || chr(10)
+  || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description || chr(10) || '*Instance:* ' || instance"""
 
 _TEXT = f"""WITH alerts AS ({_BOTH}) SELECT alertname, instance, since, '*Alert:* ' || alertname || chr(10) || '*Namespace:* '
   || chr(10) || '*Severity:* ' || severity || chr(10) || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description
@@ -377,10 +376,14 @@ SELECT q.instance, (SELECT count(*) FROM fx_calls c WHERE c.instance = q.instanc
          f"""WITH {_SHARES['instance']}, {runs_sql('shares', 'share', 'value > 0.2::DOUBLE', _HOLD)}
 SELECT k AS instance, {span_sql(_HOLD)}, round(value, {_ROUND}) AS value FROM runs"""),
     Plan("signal_anomalies",
-         lambda d: _rounded(M.signal_anomalies(d.calls, z=2.0), "traffic_z", "tokens_z", "latency_z"),
-         """WITH b AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, count(*)::DOUBLE AS traffic,
+         lambda d: _rounded(M.signal_anomalies(d.calls.filter(F.hour("ts") != 3), z=2.0), "traffic_z", "tokens_z", "latency_z"),
+         """WITH seen AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, count(*)::DOUBLE AS traffic,
   sum(prompt_tokens + completion_tokens)::DOUBLE AS tokens,
-  CAST(sum(CAST(round(duration_s * 1000000) AS BIGINT)) AS BIGINT)::DOUBLE / count(*) / 1e6 AS latency FROM fx_calls GROUP BY 1),
+  CAST(sum(CAST(round(duration_s * 1000000) AS BIGINT)) AS BIGINT)::DOUBLE / count(*) / 1e6 AS latency FROM fx_calls
+  WHERE hour(ts) <> 3 GROUP BY 1),
+hours AS (SELECT unnest(generate_series((SELECT min(bucket_start) FROM seen), (SELECT max(bucket_start) FROM seen), INTERVAL 1 HOUR)) AS bucket_start),
+b AS (SELECT h.bucket_start, coalesce(traffic, 0) AS traffic, coalesce(tokens, 0) AS tokens, latency
+  FROM hours h LEFT JOIN seen s ON s.bucket_start = h.bucket_start),
 z AS (SELECT bucket_start, """ + ", ".join(
              f"CASE WHEN stddev_samp({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END AS {c}_z"
              for c in ("traffic", "tokens", "latency")) + """
@@ -389,6 +392,10 @@ SELECT bucket_start, round(traffic_z, 6) AS traffic_z, round(tokens_z, 6) AS tok
   coalesce(traffic_z < -2, false) AS traffic_drop, coalesce(tokens_z > 2, false) AS token_spike, coalesce(latency_z > 2, false) AS latency_anomaly,
   coalesce(traffic_z < -2, false) OR coalesce(tokens_z > 2, false) OR coalesce(latency_z > 2, false) AS anomalous FROM z"""),
     *ALERT_PLANS,
-    Plan("notify_alerts", lambda d: A.notify_alerts(all_alerts(d), until=UNTIL), notified_sql(_BOTH)),
+    Plan("alert_groups", lambda d: A.alert_groups(all_alerts(d), _instants(), "1 day"), groups_sql(_BOTH, "MONITORING", _LINES)),
+    Plan("alert_groups_default", lambda d: A.alert_groups(all_alerts(d), _instants(), "1 day", "DEFAULT"),
+         groups_sql(_BOTH, "DEFAULT", _DEFAULT_LINES)),
+    Plan("alert_text_default", lambda d: A.alert_text(all_alerts(d), "DEFAULT").select("alertname", "instance", "since", "text"),
+         f"WITH alerts AS ({_BOTH}) SELECT alertname, instance, since, {_DEFAULT_LINES} AS text FROM alerts"),
     Plan("alert_text", lambda d: A.alert_text(all_alerts(d)).select("alertname", "instance", "since", "text"), _TEXT),
 ]

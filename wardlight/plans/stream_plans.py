@@ -90,13 +90,6 @@ def _alerts(d: Data):
     return signals.read_alerts(d.spark, *_alerted(d))
 
 
-RULE = A.RULES["LLMHighErrorRate"]
-
-
-def _notifications(d: Data):
-    return signals.new_notifications(d.spark, *_alerted(d), RULE, until=MP.UNTIL)
-
-
 # a slice counts once the watermark, ten minutes behind the last event, has passed it
 _PASSED = f"WHERE ({MP.tick_sql()}) * 1000000 <= (SELECT max(epoch_us(ts)) - 600000001 FROM fx_calls)"
 _FINAL_ALERTS = f"""WITH {MP.shares_sql('instance', _PASSED)},
@@ -117,6 +110,4 @@ PLANS = [
     Plan("stream_latency_histogram", _running_histogram, _sql("latency_histogram")),
     Plan("stream_latest_confidence", _running_confidence, _sql("latest_confidence")),
     Plan("stream_alerts", _alerts, _FINAL_ALERTS),
-    Plan("stream_notifications", _notifications, MP.notified_sql(
-        f"SELECT '{RULE.name}' AS alertname, '{RULE.severity}' AS severity, * FROM ({_FINAL_ALERTS})")),
 ]

@@ -108,12 +108,14 @@ def alert_step(
     """
     width, span, need = map(times.seconds_of, (step, window, hold))
     by = list(by)
-    touched = fresh.select(*by).distinct()
+    end = M.last_tick(fresh)
+    # a series that has stopped is looked at as long as a run of it is open
+    touched = fresh.select(*by).union(state.filter(F.col("since").isNotNull()).select(*by)).distinct()
     known = touched.join(state, by, "left")
     recent = earlier.join(known.select(*by, "last_tick"), by).filter(
         F.col("tick") > F.col("last_tick") - F.lit(span)
     ).select(*by, "tick", *cols)
-    rolled = M.rolling(recent.unionByName(fresh.select(*by, "tick", *cols)), by, step, window, cols)
+    rolled = M.rolling(recent.unionByName(fresh.select(*by, "tick", *cols)), by, step, window, cols, end)
     judged = rolled.withColumn("firing", F.coalesce(firing(rolled), F.lit(False)))
     new = judged.join(known, by).filter(
         F.col("last_tick").isNull() | (F.col("tick") > F.col("last_tick"))
@@ -125,7 +127,7 @@ def alert_step(
     order = M.series_order(by)
     runs = (
         new.unionByName(carried)
-        .withColumn("_open", F.lead("tick").over(order).isNull())
+        .withColumn("_open", F.col("tick") >= end)
         .filter(F.col("firing"))
         .withColumn("_run", F.col("tick") - F.row_number().over(order) * F.lit(width))
         .groupBy(*by, "_run")
@@ -141,7 +143,7 @@ def alert_step(
         *by, "since", F.lit("firing").alias("kind"), (F.col("since") + F.lit(need)).alias("at"))
     ends = runs.filter(F.col("fires") & ~F.col("open")).select(
         *by, "since", F.lit("resolved").alias("kind"), (F.col("until") + F.lit(width)).alias("at"))
-    reached = fresh.groupBy(*by).agg(F.max("tick").alias("last_tick"))
+    reached = touched.withColumn("last_tick", end)
     going = runs.filter(F.col("open")).select(*by, "since", F.col("fires").alias("fired"))
     moved = reached.join(going, by, "left").select(
         *by, "last_tick", "since", F.coalesce("fired", F.lit(False)).alias("fired"))
@@ -170,10 +172,16 @@ def stream_alerts(
         write_batch(fresh, f"{root}/slices", batch_id)
         written = read_batches(spark, f"{root}/slices", schema)
         now = written.filter(F.col("batch_id") == batch_id)
+        if now.isEmpty():  # the end of the evaluation has not moved
+            write_batch(spark.createDataFrame([], _event_schema(series)), f"{root}/events", batch_id)
+            write_batch(read_batches(spark, f"{root}/state", _state_schema(series)).filter(
+                F.col("batch_id") == batch_id - 1).drop("batch_id"), f"{root}/state", batch_id)
+            return
         state = read_batches(spark, f"{root}/state", _state_schema(series)).filter(
             F.col("batch_id") == batch_id - 1)
         # the oldest tick any series of this batch still needs: lets the scan skip row groups
-        floor = state.join(now.select(*by).distinct(), list(by), "left_semi").agg(F.min("last_tick")).first()[0]
+        going = state.filter(F.col("since").isNotNull()).select(*by).union(now.select(*by)).distinct()
+        floor = state.join(going, list(by), "left_semi").agg(F.min("last_tick")).first()[0]
         horizon = -(2**62) if floor is None else floor - times.seconds_of(window)
         earlier = written.filter((F.col("batch_id") < batch_id) & (F.col("tick") > F.lit(horizon)))
         told, moved, runs = alert_step(now, earlier, state, by, step, window, hold, firing, list(sums))
@@ -197,14 +205,3 @@ def read_alerts(spark: SparkSession, root: str, series: list[T.StructField]) ->
         times.at_second(F.col("r")).alias("resolved_at"),
     )
 
-
-def new_notifications(
-    spark: SparkSession, root: str, series: list[T.StructField], rule: A.Rule, after=None, until=None,
-) -> DataFrame:
-    """What the groups of a rule's alerts send after one moment and up to another.
-
-    A job that runs once a minute passes its last and its present run time.
-    """
-    alerts = read_alerts(spark, root, series).withColumns({
-        "alertname": F.lit(rule.name), "severity": F.lit(rule.severity)})
-    return A.notify_alerts(alerts, after=after, until=until)
