@@ -7,10 +7,11 @@ import numpy as np
 import pandas as pd
 import plain
 import pytest
+from compare import connect, differences
 from tokenizers import Tokenizer
 
 from wardlight.llm import bpe, decontaminate, langid, licenses, near_dup, quality, secret_scan, toxicity, url_filter, warc
-from wardlight.llm.queries import QUERIES, vocabulary_path
+from wardlight.llm.queries import ORACLE_SQL, QUERIES, vocabulary_path
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -243,3 +244,9 @@ def test_longest_rule_wins():
 def test_quality_rules_use_no_python(spark):
     plan = quality.quality_rules(spark.read.parquet(f"{FOLDER}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    assert differences(QUERIES[name](spark, folder).toPandas(), connect(folder).execute(ORACLE_SQL[name]).df()) == []

@@ -75,4 +75,44 @@ QUERIES = {f.__name__: f for f in (
     op7_license_scan, op8_decontamination, op9_url_filter, op10_language_id,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%'"
+
+
+_URL_SQL = f"""WITH parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+judged AS (SELECT *, CASE WHEN {_fits('example.net', '/en/')} THEN 'example.net/en/' WHEN {_fits('example.com', '/de/')} THEN 'example.com/de/'
+    WHEN {_fits('net', '/')} THEN 'net/' WHEN {_fits('org', '/fr/')} THEN 'org/fr/' END AS rule FROM named)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged"""
+
+_STOP_LIST = "['the', 'and', 'of', 'to', 'in', 'is', 'that', 'for', 'with', 'on', 'der', 'die', 'das', 'und', 'den', 'von', 'zu', 'mit', 'ist', 'ein', " \
+    "'le', 'la', 'les', 'de', 'des', 'et', 'un', 'une', 'du', 'que', 'el', 'los', 'las', 'y', 'en', 'por', 'con', 'del', 'una', 'no']"
+_QUALITY_SQL = rf"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines FROM documents),
+windows AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM cut),
+triples AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM windows),
+marked AS (SELECT DISTINCT doc_id, i + j AS at FROM triples, (SELECT unnest([0, 1, 2]) AS j) WHERE times > 1),
+repeated AS (SELECT doc_id, count(*) AS n FROM marked GROUP BY doc_id),
+counted AS (SELECT c.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    CAST(len(list_intersect({_STOP_LIST}, list_transform(w, lambda x: lower(x)))) AS BIGINT) AS stop_words, CAST(len(lines) AS BIGINT) AS n_lines,
+    len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...')) AS ellipses,
+    len(list_filter(lines, lambda x: ltrim(x, ' ') LIKE '- %' OR ltrim(x, ' ') LIKE '* %')) AS bullets
+  FROM cut c LEFT JOIN repeated r ON r.doc_id = c.doc_id),
+ratios AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    word_chars::DOUBLE / nullif(n_words, 0) AS mean_word_chars, n_symbols::DOUBLE / nullif(n_words, 0) AS symbols_per_word,
+    n_dup_lines::DOUBLE / nullif(n_lines, 0) AS dup_line_share, ellipses::DOUBLE / nullif(n_lines, 0) AS ellipsis_line_share,
+    bullets::DOUBLE / nullif(n_lines, 0) AS bullet_line_share FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND mean_word_chars BETWEEN 2 AND 15 AND symbols_per_word <= 0.5 AND stop_words >= 2 AND dup_line_share <= 0.5
+    AND ellipsis_line_share <= 0.3 AND bullet_line_share <= 0.9, false) AS kept,
+  mean_word_chars, symbols_per_word, stop_words, dup_line_share, ellipsis_line_share, bullet_line_share FROM ratios"""
+
+# What SQL can express; the other queries are held against plain versions in the tests.
+ORACLE_SQL = {"op5_quality_rules": _QUALITY_SQL, "op9_url_filter": _URL_SQL}
