@@ -116,7 +116,7 @@ def test_runs_must_be_unbroken_and_long_enough(spark):
             elif not mine.get(t) and start is not None:
                 end = t - 15
                 if end - start >= 60:
-                    gone = None if end == max(mine) else EPOCH + timedelta(seconds=t)
+                    gone = None if end == max(t for _, t, _, _ in rows) else EPOCH + timedelta(seconds=t)
                     want.append((who, EPOCH + timedelta(seconds=start), EPOCH + timedelta(seconds=start + 60), gone))
                 start = None
     key = lambda r: tuple(str(x) for x in r)
@@ -174,6 +174,17 @@ def test_groups_tell_firing_and_recent_alerts(spark):
         ("A", 320, 1, 1, "slack-critical", 2), ("A", 900, 1, 0, "slack-critical", 1), ("B", 60, 0, 1, "slack-alerts", 1)])
 
 
+def test_steady_counters_of_two_containers_do_not_fire(spark):
+    rows = [(at(s), A.RESTARTS, {"pod": "p", "namespace": "n", "container": c}, v) for s in range(0, 1800, 15) for c, v in (("a", 0.0), ("b", 5.0))]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, name string, labels map<string,string>, value double")
+    assert A.alert_PodCrashLooping(df).count() == 0
+    assert {r["series"] for r in A.samples_of(df, A.RESTARTS).collect()} == {"container=a,namespace=n,pod=p", "container=b,namespace=n,pod=p"}
+    busy = df.withColumn("value", F.when(F.col("labels")["container"] == "b", F.unix_timestamp("ts") % 100000 / 60).otherwise(F.col("value")))
+    row = one(A.alert_PodCrashLooping(busy))
+    assert (row["namespace"], row["pod"], row["container"]) == ("n", "p", "b")
+    assert "*Namespace:* n\n" in A.alert_text(A.alert_PodCrashLooping(busy)).first()["text"]
+
+
 def test_a_series_that_stops_resolves_after_its_window(spark):
     """Instance 1 fails for a quarter of an hour and disappears; instance 2 runs on."""
     calls = [(at(s), "1", 500) for s in range(0, 900, 15)] + [(at(s), "2", 200) for s in range(0, 6000, 15)]

@@ -109,7 +109,7 @@ def _alert(source: DataFrame, conditions: DataFrame, rule: Rule, by: Sequence[st
     text = F.lit(rule.description)
     for label in ("instance", "pod"):
         if label in by:
-            text = F.replace(text, F.lit(f"{{{label}}}"), F.col(label).cast("string"))
+            text = F.replace(text, F.lit(f"{{{label}}}"), F.coalesce(F.col(label).cast("string"), F.lit("")))
     # shortest form, as in 6.25 or 6
     value = F.regexp_replace(F.round(F.col("value").cast("double"), 6).cast("string"), r"\.0$", "")
     return runs.select(
@@ -190,32 +190,48 @@ def alert_HighTokenUsage(calls, threshold=10.0, window="5 minutes", step=STEP, h
 
 
 def samples_of(samples: DataFrame, name: str, *labels: str) -> DataFrame:
-    """The samples of one metric with the given labels as columns."""
-    return samples.filter(F.col("name") == name).select(
-        "ts", "value", *[
-            (F.col(n) if n in samples.columns else F.try_element_at("labels", F.lit(n))).alias(n)
-            for n in labels
-        ]
-    )
-
+    """The samples of one metric: ts, value, series, and the given labels as columns.
 
-def alert_PodCrashLooping(samples, threshold=3.0, window="15 minutes", step=STEP, hold=None, by=("pod",)):
-    own = samples_of(samples, RESTARTS, *by)
+    A series is told by all its labels, whether or not they are asked for, so
+    counters of two containers of a pod stay apart. The labels are the map
+    ``labels``, or every further column; an empty label is none.
+    """
+    own = samples.filter(F.col("name") == name)
+    if "labels" in samples.columns:
+        label = lambda n: F.try_element_at("labels", F.lit(n))
+        pairs = F.array_sort(F.map_entries("labels"))
+        texts = F.transform(F.filter(pairs, lambda e: e["value"] != ""), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    else:
+        label = F.col
+        others = sorted(c for c in samples.columns if c not in ("ts", "name", "value"))
+        shown = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in others]
+        texts = F.array_compact(F.array(*shown)) if shown else F.array().cast("array<string>")
+    return own.select("ts", "value", F.array_join(texts, ",").alias("series"), *[
+        (label(n) if "labels" in samples.columns or n in samples.columns else F.lit(None).cast("string")).alias(n)
+        for n in labels
+    ])
+
+
+def alert_PodCrashLooping(samples, threshold=3.0, window="15 minutes", step=STEP, hold=None, labels=("namespace", "pod", "container")):
+    by = ("series", *labels)
+    own = samples_of(samples, RESTARTS, *labels)
     grown = M.increase(own, window, step, by)
     rows = judged(grown, F.col("increase"), lambda v: v > F.lit(float(threshold)))
     return _alert(own, rows, RULES["PodCrashLooping"], by, step, hold)
 
 
-def alert_HighCPUUsage(samples, threshold=0.8, window="5 minutes", step=STEP, hold=None, by=("instance",)):
-    own = samples_of(samples, CPU_SECONDS, *by)
+def alert_HighCPUUsage(samples, threshold=0.8, window="5 minutes", step=STEP, hold=None, labels=("namespace", "instance", "job")):
+    by = ("series", *labels)
+    own = samples_of(samples, CPU_SECONDS, *labels)
     used = M.rate(own, window, step, by)
     rows = judged(used, F.col("rate"), lambda v: v > F.lit(float(threshold)))
     return _alert(own, rows, RULES["HighCPUUsage"], by, step, hold)
 
 
 def alert_HighMemoryUsage(samples, threshold=500_000_000, step=STEP, hold=None, lookback=M.LOOKBACK,
-                          by=("instance",)):
-    own = samples_of(samples, MEMORY_BYTES, *by)
+                          labels=("namespace", "instance", "job")):
+    by = ("series", *labels)
+    own = samples_of(samples, MEMORY_BYTES, *labels)
     ticks = M.gauge_ticks(own, by, step, lookback)
     rows = judged(ticks, F.col("value"), lambda v: v > F.lit(float(threshold)))
     return _alert(own, rows, RULES["HighMemoryUsage"], by, step, hold)

@@ -9,6 +9,7 @@ from wardlight.operators import logs as L
 from wardlight.operators import metrics as M
 from wardlight.operators import retrieval as R
 from wardlight.plans.base import Data, Plan
+from wardlight.session import work_folder
 from wardlight.sources import readers
 
 HOUR = 3600
@@ -170,10 +171,43 @@ def _events_sql(amount: str) -> str:
             f" {rolling_sql('slices', 'instance', ['events'], HOUR, _SIX)}")
 
 
-_CPU = f"""samples AS (SELECT * FROM fx_metrics WHERE name = 'process_cpu_seconds_total'), {counter_sql('samples', 'instance')},
-{rolling_sql('grown', 'instance', ['growth'], HOUR, _SIX)}"""
-_PODS = f"""samples AS (SELECT * FROM fx_metrics WHERE name = 'kube_pod_container_status_restarts_total'), {counter_sql('samples', 'pod')},
-{rolling_sql('grown', 'pod', ['growth'], HOUR, _SIX)}"""
+# a series in SQL: its labels in the order of their names, without empty ones
+_SERIES = """concat_ws(',', CASE WHEN container <> '' THEN 'container=' || container END, CASE WHEN instance <> '' THEN 'instance=' || instance END,
+    CASE WHEN job <> '' THEN 'job=' || job END, CASE WHEN namespace <> '' THEN 'namespace=' || namespace END,
+    CASE WHEN pod <> '' THEN 'pod=' || pod END)"""
+
+
+def _named(name: str) -> str:
+    return f"samples AS (SELECT ts, value, {_SERIES} AS series FROM fx_metrics WHERE name = '{name}')"
+
+
+def _label(name: str) -> str:
+    return f"regexp_extract(k, '{name}=([^,]*)', 1)"
+
+
+_OF_PROCESS = {"series": "k", "namespace": _label("namespace"), "instance": _label("instance"), "job": _label("job")}
+_OF_POD = {"series": "k", "namespace": _label("namespace"), "pod": _label("pod"), "container": _label("container")}
+
+_CPU = f"""{_named('process_cpu_seconds_total')}, {counter_sql('samples', 'series')},
+{rolling_sql('grown', 'series', ['growth'], HOUR, _SIX)}"""
+_PODS = f"""{_named('kube_pod_container_status_restarts_total')}, {counter_sql('samples', 'series')},
+{rolling_sql('grown', 'series', ['growth'], HOUR, _SIX)}"""
+
+
+def _samples(d: Data):
+    """The samples in the shape of a scrape: labels as a map."""
+    names = ("namespace", "instance", "pod", "container", "job")
+    pairs = [x for n in names for x in (F.lit(n), F.col(n))]
+    return d.metrics.select("ts", "name", F.map_filter(F.create_map(*pairs), lambda k, v: v != "").alias("labels"), "value")
+
+
+def _read_metrics(d: Data):
+    """The samples written, and read with the reader's schema."""
+    folder = work_folder(d.spark, "metrics")
+    _samples(d).write.parquet(folder)
+    return readers.read_metrics(d.spark, folder).select("ts", "name", "value", *[
+        F.coalesce(F.try_element_at("labels", F.lit(n)), F.lit("")).alias(n) for n in ("namespace", "instance", "pod", "container", "job")])
+
 
 ALERT_PLANS = [
     Plan("alert_HighLLMLatency",
@@ -207,17 +241,17 @@ q AS (SELECT k, tick, {_bucket_quantile(0.95)} AS p FROM rolled),
          f"""WITH {_events_sql('sum(prompt_tokens + completion_tokens)')}, {alert_sql(
              'rolled', f'events / {_SIX}::DOUBLE', 'value > 0.45::DOUBLE', A.RULES['HighTokenUsage'], _HOLD, {'instance': 'k'})}"""),
     Plan("alert_PodCrashLooping",
-         lambda d: _alert_out(A.alert_PodCrashLooping(d.metrics, threshold=3, window=_SIX, **GRID)),
-         f"WITH {_PODS}, {alert_sql('rolled', 'growth', 'value > 3', A.RULES['PodCrashLooping'], _HOLD, {'pod': 'k'})}"),
+         lambda d: _alert_out(A.alert_PodCrashLooping(_samples(d), threshold=3, window=_SIX, **GRID)),
+         f"WITH {_PODS}, {alert_sql('rolled', 'growth', 'value > 3', A.RULES['PodCrashLooping'], _HOLD, _OF_POD)}"),
     Plan("alert_HighCPUUsage",
-         lambda d: _alert_out(A.alert_HighCPUUsage(d.metrics, threshold=0.97, window=_SIX, **GRID)),
+         lambda d: _alert_out(A.alert_HighCPUUsage(_samples(d), threshold=0.97, window=_SIX, **GRID)),
          f"""WITH {_CPU}, {alert_sql('rolled', f'growth / {_SIX}::DOUBLE', 'value > 0.97::DOUBLE', A.RULES['HighCPUUsage'], _HOLD,
-                                    {'instance': 'k'})}"""),
+                                    _OF_PROCESS)}"""),
     Plan("alert_HighMemoryUsage",
          lambda d: _alert_out(A.alert_HighMemoryUsage(d.metrics, threshold=430_000_000, lookback="1 day", **GRID)),
-         f"""WITH samples AS (SELECT * FROM fx_metrics WHERE name = 'process_resident_memory_bytes'),
-{gauge_sql('samples', 'instance', 'value', HOUR, 24 * HOUR)},
-{alert_sql('rolled', 'v', 'value > 430000000', A.RULES['HighMemoryUsage'], _HOLD, {'instance': 'k'})}"""),
+         f"""WITH {_named('process_resident_memory_bytes')},
+{gauge_sql('samples', 'series', 'value', HOUR, 24 * HOUR)},
+{alert_sql('rolled', 'v', 'value > 430000000', A.RULES['HighMemoryUsage'], _HOLD, _OF_PROCESS)}"""),
 ]
 
 
@@ -330,7 +364,7 @@ SELECT doc_id, CAST(i AS INT) AS chunk_no, substring(text, CAST(i * 900 + 1 AS B
 {nearest_sql(2).replace('queries, embeddings', 'queries, vecs')}
 SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM near JOIN documents ON doc_id = chunk_id GROUP BY query_id"""),
     # ---- metrics ----
-    Plan("read_metrics", lambda d: d.metrics, "SELECT * FROM fx_metrics"),
+    Plan("read_metrics", _read_metrics, "SELECT ts, name, value, namespace, instance, pod, container, job FROM fx_metrics"),
     Plan("severity_distribution", lambda d: M.severity_distribution(d.incidents),
          "SELECT ai_severity AS severity, count(*) AS incidents FROM fx_incidents GROUP BY 1"),
     Plan("severity_entropy", lambda d: _rounded(M.severity_entropy(d.incidents), "entropy"),
@@ -365,10 +399,10 @@ SELECT q.instance, (SELECT count(*) FROM fx_calls c WHERE c.instance = q.instanc
     Plan("availability", lambda d: _rounded(M.availability(d.calls), "availability"),
          """SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, count(*) AS requests,
   round(count(*) FILTER (status < 500) / count(*), 6) AS availability FROM fx_calls GROUP BY ALL"""),
-    Plan("rate", lambda d: _rounded(M.rate(A.samples_of(d.metrics, A.CPU_SECONDS, "instance"), _SIX, HOUR, ["instance"]), "rate"),
-         f"WITH {_CPU} SELECT k AS instance, tick, round(growth / {_SIX}::DOUBLE, 6) AS rate FROM rolled"),
-    Plan("increase", lambda d: _rounded(M.increase(A.samples_of(d.metrics, A.RESTARTS, "pod"), _SIX, HOUR, ["pod"]), "increase"),
-         f"WITH {_PODS} SELECT k AS pod, tick, growth AS increase FROM rolled"),
+    Plan("rate", lambda d: _rounded(M.rate(A.samples_of(_samples(d), A.CPU_SECONDS), _SIX, HOUR, ["series"]), "rate"),
+         f"WITH {_CPU} SELECT k AS series, tick, round(growth / {_SIX}::DOUBLE, 6) AS rate FROM rolled"),
+    Plan("increase", lambda d: _rounded(M.increase(A.samples_of(_samples(d), A.RESTARTS), _SIX, HOUR, ["series"]), "increase"),
+         f"WITH {_PODS} SELECT k AS series, tick, growth AS increase FROM rolled"),
     Plan("event_rate", lambda d: _rounded(M.event_rate(d.calls, _SIX, HOUR), "rate"),
          f"""WITH {_events_sql('count(*)')} SELECT k AS instance, tick, CAST(events AS BIGINT) AS events,
   round(events / {_SIX}::DOUBLE, 6) AS rate FROM rolled"""),
