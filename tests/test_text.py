@@ -77,7 +77,7 @@ def test_requests_from_files(spark, tmp_path):
         '{"service_request_id": "9", "service_subtype": "b", "address": "1 A St", "media_url": "http://x/2.jpg"}\n'
         '{"service_request_id": "8", "media_url": ""}\n{"service_name": "no id"}\n')
     raw = readers.read_requests(spark, str(tmp_path))
-    assert [r[0] for r in requests.page(raw, 2, 1).select("service_request_id").collect()] == ["9", "8"]
+    assert [r[0] for r in requests.page(raw, 2, below="95").select("service_request_id").collect()] == ["9", "8"]
     valid, rejects = requests.validate_requests(requests.normalize_request(raw))
     got = {r["incident_id"]: r for r in valid.collect()}
     assert got["7"]["image_url"] == "http://x/1.jpg" and got["7"]["address"] == ""

@@ -198,18 +198,16 @@ def samples_of(samples: DataFrame, name: str, *labels: str) -> DataFrame:
     """
     own = samples.filter(F.col("name") == name)
     if "labels" in samples.columns:
-        label = lambda n: F.try_element_at("labels", F.lit(n))
-        pairs = F.array_sort(F.map_entries("labels"))
-        texts = F.transform(F.filter(pairs, lambda e: e["value"] != ""), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+        given = {n: F.try_element_at("labels", F.lit(n)) for n in labels}
+        shown = F.transform(
+            F.filter(F.array_sort(F.map_entries("labels")), lambda e: e["value"] != ""),
+            lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     else:
-        label = F.col
         others = sorted(c for c in samples.columns if c not in ("ts", "name", "value"))
-        shown = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in others]
-        texts = F.array_compact(F.array(*shown)) if shown else F.array().cast("array<string>")
-    return own.select("ts", "value", F.array_join(texts, ",").alias("series"), *[
-        (label(n) if "labels" in samples.columns or n in samples.columns else F.lit(None).cast("string")).alias(n)
-        for n in labels
-    ])
+        given = {n: F.col(n) if n in others else F.lit(None).cast("string") for n in labels}
+        texts = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in others]
+        shown = F.array_compact(F.array(F.lit(None).cast("string"), *texts))
+    return own.select("ts", "value", F.array_join(shown, ",").alias("series"), *[c.alias(n) for n, c in given.items()])
 
 
 def alert_PodCrashLooping(samples, threshold=3.0, window="15 minutes", step=STEP, hold=None, labels=("namespace", "pod", "container")):

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from wardlight.functions import text as X
 
 
-def page(df: DataFrame, limit: int = 10, offset: int = 0, key: str = "service_request_id") -> DataFrame:
-    """One page in descending key order (top-k per partition, then merged)."""
-    return df.orderBy(F.col(key).desc_nulls_first()).offset(offset).limit(limit)
+def in_order(df: DataFrame, key: str = "service_request_id") -> DataFrame:
+    """All requests, every page one after the other: descending key order, by ranges of the key."""
+    return df.orderBy(F.col(key).desc_nulls_first())
+
+
+def page(df: DataFrame, limit: int = 10, below=None, key: str = "service_request_id") -> DataFrame:
+    """The page of keys below the last one seen (None: the first page), in descending order.
+
+    Each task keeps ``limit`` rows however deep the page is; a null key comes first.
+    """
+    rest = df if below is None else df.filter(F.col(key) < F.lit(below))
+    return in_order(rest, key).limit(limit)
 
 
 def build_description(df: DataFrame) -> DataFrame:

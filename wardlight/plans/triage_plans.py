@@ -220,11 +220,11 @@ reportable AS (SELECT incident_id, severity, anomaly_type, source_ip, '[''' || a
 PLANS = [
     # ---- sources ----
     Plan("read_requests",
-         lambda d: requests.page(readers.parse_requests(d.request_lines), limit=10, offset=10),
+         lambda d: requests.in_order(readers.parse_requests(d.request_lines)),
          """SELECT line ->> 'service_request_id' AS service_request_id, line ->> 'service_name' AS service_name,
   line ->> 'service_subtype' AS service_subtype, line ->> 'service_details' AS service_details,
   line ->> 'address' AS address, line ->> 'media_url' AS media_url
-FROM fx_request_lines WHERE json_valid(line) ORDER BY service_request_id DESC LIMIT 10 OFFSET 10"""),
+FROM fx_request_lines WHERE json_valid(line) ORDER BY service_request_id DESC"""),
     Plan("parse_requests", lambda d: readers.parse_requests(d.request_lines),
          """SELECT line ->> 'service_request_id' AS service_request_id, line ->> 'service_name' AS service_name,
   line ->> 'service_subtype' AS service_subtype, line ->> 'service_details' AS service_details,
