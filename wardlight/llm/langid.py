@@ -13,6 +13,7 @@ wanted precision there is the limit below which a prediction is not accepted.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -193,14 +194,18 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     """At most TEXTS texts of each language, CHARACTERS of each, taken evenly by a hash of the id."""
     known = docs.filter(~held_out(id_col, 4, 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = known.groupBy(F.col(lang_col).alias("lang")).count().collect()
+    if not counts:
+        return [], []
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    texts, languages = [], []
-    for lang, n in sorted((r["lang"], r["count"]) for r in counts):
-        near = known.filter((F.col(lang_col) == lang) & (draw < 1.2 * TEXTS / n))
-        for r in near.select(F.substring(text_col, 1, CHARACTERS).alias("t")).limit(TEXTS).collect():
-            texts.append(r["t"])
-            languages.append(lang)
-    return texts, languages
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(1.2 * TEXTS / r["count"]))])
+    # one scan; the draw leaves little over the bound, to which each language is then cut
+    drawn = known.filter(draw < shares[F.col(lang_col)]).select(
+        F.col(lang_col).alias("lang"), F.substring(text_col, 1, CHARACTERS).alias("text")).limit(2 * TEXTS * len(counts))
+    taken: dict[str, list[str]] = {}
+    for r in drawn.collect():
+        taken.setdefault(r["lang"], []).append(r["text"])
+    pairs = [(text, lang) for lang in sorted(taken) for text in sorted(taken[lang], key=lambda t: zlib.crc32(t.encode()))[:TEXTS]]
+    return [t for t, _ in pairs], [x for _, x in pairs]
 
 
 def identify_languages(
