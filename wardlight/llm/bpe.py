@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Distinct tokens whose pieces a task remembers; then it starts afresh.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 400_000
 # Characters of documents that a task encodes together; a longer text is encoded alone.
-BATCH_CHARS = 32_000_000
+BATCH_CHARS = 16_000_000
 
 # White space as the vocabulary's normalizer sees it, and the characters that stand for bytes.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
