@@ -8,6 +8,7 @@ import pandas as pd
 import plain
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wardlight.llm import bpe, decontaminate, langid, licenses, near_dup, quality, secret_scan, toxicity, url_filter, warc
@@ -180,6 +181,23 @@ def test_blocks_of_a_heavy_node(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == plain.near_duplicates(docs, 3)
 
 
+def test_every_tree_has_its_own_root():
+    for seed in range(50):
+        assert len(set(near_dup.root_choices(12, seed))) == 12
+    assert near_dup.enough_trees(0.8) == 12
+    for threshold in (0.6, 0.7, 0.8, 0.9):
+        assert near_dup.lost(near_dup.enough_trees(threshold), threshold) <= near_dup.LOST
+
+
+def test_no_node_ends_without_children(spark):
+    """Every node has as many children as the threshold asks, and equal tokens meet in them."""
+    rows = spark.range(400).select(
+        F.xxhash64("id").alias("node"), F.array(F.lit(1), F.lit(2)).alias("ids"), F.array(*[F.xxhash64("id", F.lit(c)) for c in range(16)]).alias("sketch"))
+    got = near_dup._children(rows.select("node", F.explode("ids").alias("id"), "sketch"), 0.8)
+    nodes = [r["count"] for r in got.groupBy("node").count().collect()]
+    assert near_dup.branches(0.8) == 2 and nodes == [2] * 800
+
+
 def test_licences_equal_plain_places(spark, texts):
     got = {r.doc_id: r for r in rows(spark, "op7_license_scan")}
     for i, text in texts:

@@ -2,11 +2,12 @@
 
 A document is the set of its word shingles. Rows with equal sets form a class
 with one representative. Representatives are placed in nodes of several
-independent trees: a node chooses some of the minwise coordinates, the same
-for all its members, and each chosen coordinate deals the members into child
-nodes by their minwise token there. A pair of similarity s survives a level
-with s / threshold children on average, so a pair above the threshold meets in
-some small node of some tree with a probability that the number of trees sets.
+independent trees: a root deals all members by their minwise token at its own
+coordinate; a node below chooses a fixed number of coordinates, the same for
+all its members, and each deals the members into child nodes. The number is so
+large that a pair at the threshold meets in 1.5 children or more on average,
+so its chance to meet in some small node does not fade with the depth; the
+number of trees sets it.
 
 Small nodes are compared exhaustively, large ones branch again. Only groups
 are wanted, so nodes whose members are in one group already are finished: a
@@ -17,6 +18,7 @@ joined it. Links are proposed by 64 minwise values and confirmed on full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,8 +31,10 @@ from wardlight.llm.blocks import NOT_SPACE, Powers, constants, mixed, pieces, sh
 from wardlight.llm.graph import Shelf, components
 
 COORDINATES = 64
-# Independent trees. Each root chooses 1 / threshold coordinates on average.
+# Independent trees at least; more where the threshold is low.
 TREES = 12
+# Chance that a pair at the threshold which no other text connects may have of meeting in no tree.
+LOST = 1e-4
 # Nodes up to this size are compared exhaustively.
 SMALL_NODE = 32
 # A proposal may have this many standard deviations fewer equal coordinates than the threshold asks.
@@ -48,11 +52,31 @@ DEPTH = 24
 _SKETCH = "doc_id long, k0 long, k1 long, n_shingles long, sketch array<long>, roots array<long>"
 
 
-def root_choices(trees: int, threshold: float, seed: int = 1) -> np.ndarray:
-    """The coordinates that the root nodes of all trees choose."""
-    rng = np.random.default_rng(seed)
-    chosen = rng.random((trees, COORDINATES)) < 1 / (threshold * COORDINATES)
-    return np.unique(np.flatnonzero(chosen.any(axis=0)))
+def branches(threshold: float) -> int:
+    """How many coordinates every node below a root chooses; a fixed number, so that none chooses none."""
+    return min(COORDINATES, math.ceil(1.5 / threshold))
+
+
+def lost(trees: int, threshold: float, levels: int = 100) -> float:
+    """Chance that a pair at the threshold, alone, meets in no node that lies so many levels below the roots."""
+    total = 0.0
+    for equal in range(COORDINATES + 1):
+        share, gone = equal / COORDINATES, 0.0
+        for _ in range(levels):
+            gone = (1 - share + share * gone) ** branches(threshold)
+        weight = math.comb(COORDINATES, equal) * threshold**equal * (1 - threshold) ** (COORDINATES - equal)
+        total += weight * (1 - share + share * gone) ** trees
+    return total
+
+
+def enough_trees(threshold: float) -> int:
+    """The fewest trees, at least TREES and at most COORDINATES, that lose few enough pairs at any depth."""
+    return next((t for t in range(TREES, COORDINATES) if lost(t, threshold) <= LOST), COORDINATES)
+
+
+def root_choices(trees: int, seed: int = 1) -> np.ndarray:
+    """The coordinate of each tree's root; no two trees share one before all are taken."""
+    return np.resize(np.random.default_rng(seed).permutation(COORDINATES), trees)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -63,7 +87,7 @@ def sketched(docs: DataFrame, words: int, roots: np.ndarray) -> DataFrame:
     """Per row: the identity of its shingle set (null if empty), its size, minwise tokens of 16 bits, root nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, factors = Powers(), constants(COORDINATES, 3)
+        powers, factors, salts = Powers(), constants(COORDINATES, 3), constants(len(roots), 5)
         for batch in batches:
             ids = batch.column(0)
             for begin, stop, data, rows in pieces(batch.column(1)):
@@ -80,7 +104,7 @@ def sketched(docs: DataFrame, words: int, roots: np.ndarray) -> DataFrame:
                 for c in range(COORDINATES if len(full) else 0):
                     lows[:, c] = np.minimum.reduceat(runs * factors[c], first[full])
                 lows = mixed(lows + np.arange(COORDINATES, dtype=np.uint64))
-                nodes = mixed(lows[:, roots] ^ factors[roots])
+                nodes = mixed(lows[:, roots] ^ salts)
                 sketch = _signed(np.ascontiguousarray((lows >> np.uint64(48)).astype(np.uint16)).view(np.uint64))
                 sizes_of = np.zeros(stop - begin + 1, np.int32)
 
@@ -135,17 +159,17 @@ def _sized(rows: DataFrame, settled) -> DataFrame:
 
 def _children(rows: DataFrame, threshold: float) -> DataFrame:
     """The rows of the next level: one for each coordinate that the row's node chooses."""
-    limit = int(2**20 / (threshold * COORDINATES))
+    start, step = F.xxhash64("node", F.lit("start")), F.xxhash64("node", F.lit("step")).bitwiseOR(F.lit(1))
 
-    def child(i: Column) -> Column:
+    def child(k: Column) -> Column:
+        # an odd step meets no coordinate twice
+        i = (start.bitwiseAND(F.lit(COORDINATES - 1)) + k * step.bitwiseAND(F.lit(COORDINATES - 1))).bitwiseAND(F.lit(COORDINATES - 1))
         cell = F.get("sketch", F.floor(i / 4).cast("int"))
-        token = F.call_function("shiftrightunsigned", cell, i % 4 * 16).bitwiseAND(F.lit(0xFFFF))
+        token = F.call_function("shiftrightunsigned", cell, (i % 4 * 16).cast("int")).bitwiseAND(F.lit(0xFFFF))
         return F.xxhash64(F.col("node"), i, token)
 
-    chosen = F.filter(
-        F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
-        lambda i: F.pmod(F.xxhash64(F.col("node"), i, F.lit("choose")), F.lit(2**20)) < limit)
-    return rows.select("id", "sketch", F.explode(F.transform(chosen, child)).alias("node"))
+    children = F.array(*[child(F.lit(k)) for k in range(branches(threshold))])
+    return rows.select("id", "sketch", F.explode(children).alias("node"))
 
 
 def _proposals(rows: DataFrame, least: int, small: int | None, apart: bool) -> DataFrame:
@@ -293,7 +317,7 @@ class _Join:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
+    docs: DataFrame, words: int = 5, percent: int = 80, trees: int | None = None,
     small_node: int = SMALL_NODE, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row, under the given id name's values.
@@ -312,7 +336,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     result, passing, early = Shelf(), Shelf(), Shelf()
     settled = passing.settled
-    sketches = early.settled(sketched(texts, words, root_choices(trees, threshold)))
+    sketches = early.settled(sketched(texts, words, root_choices(trees or enough_trees(threshold))))
     rows_of = result.settled(sketches.select("doc_id", "n_shingles", "k0", "k1"))
     known = sketches.filter("doc_id IS NOT NULL AND k0 IS NOT NULL")
     classes = result.settled(known.groupBy("k0", "k1").agg(F.min("doc_id").alias("id")))
