@@ -198,6 +198,31 @@ def test_no_node_ends_without_children(spark):
     assert near_dup.branches(0.8) == 2 and nodes == [2] * 800
 
 
+def test_tight_heavy_nodes_do_not_branch(spark, monkeypatch):
+    """Texts that resemble each other, in nodes over the bound of a task, lose no link to branching."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near_dup, "LEVELS", 1)
+    branched, children = [], near_dup._children
+
+    def counted(rows, threshold):
+        branched.append(rows.count())
+        return children(rows, threshold)
+
+    monkeypatch.setattr(near_dup, "_children", counted)
+    rng = random.Random(5)
+    docs = []
+    for i in range(0, 60, 2):
+        own = [f"w{k}" for k in range(100)]
+        for k in range(0, 100, 16):
+            own[k + rng.randrange(16) if k < 96 else 99] = f"d{i}x{k}"
+        docs.append((i, " ".join(own)))
+        own[0] = own[0] + "z"
+        docs.append((i + 1, " ".join(own)))
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, small_node=4)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == plain.near_duplicates(docs, 3)
+    assert sum(branched) == 0
+
+
 def test_licences_equal_plain_places(spark, texts):
     got = {r.doc_id: r for r in rows(spark, "op7_license_scan")}
     for i, text in texts:

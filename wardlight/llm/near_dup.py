@@ -43,10 +43,10 @@ SLACK = 4.5
 TIGHT = 0.3
 # Levels of branching before new links are confirmed and finished nodes are dropped.
 LEVELS = 3
-# Shingles that one comparison task holds; heavier nodes branch on, or meet block by block.
+# Shingles and members that one comparison task holds; heavier nodes meet block by block if they are tight, else branch on.
 BLOCK_ITEMS = 1 << 22
 BLOCK_ROWS = 4096
-# Levels after which nodes that are still heavier are compared block by block.
+# Levels after which nodes that are still heavier are compared block by block, tight or not.
 DEPTH = 24
 
 _SKETCH = "doc_id long, k0 long, k1 long, n_shingles long, sketch array<long>, roots array<long>"
@@ -248,10 +248,33 @@ def linked_members(ids: np.ndarray, groups: np.ndarray, items: list[np.ndarray],
     return found
 
 
+def _blocks(full: DataFrame, whole: Column) -> DataFrame:
+    """Per node: its largest group ``main``, the blocks that this group and the other members take, and ``whole``.
+
+    A node that one task can hold has no blocks of its main group and one of all members.
+    Otherwise two blocks fit in a task, and each side has one at least.
+    """
+    per = full.groupBy("node", "component").agg(
+        F.count("*").alias("n"), F.sum(F.size("items")).alias("weight"), F.max(whole).alias("whole"))
+    both = per.groupBy("node").agg(
+        F.max_by(F.struct("component", "n", "weight"), F.struct("n", "component")).alias("m"),
+        F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max("whole").alias("whole"))
+
+    def share(n: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(2 * weight / BLOCK_ITEMS), F.ceil(2 * n / BLOCK_ROWS), F.lit(1).cast("long"))
+
+    light = (F.col("n") <= BLOCK_ROWS) & (F.col("weight") <= BLOCK_ITEMS)
+    return both.select(
+        "node", "whole", light.alias("light"), F.col("m.component").alias("main"),
+        F.when(light, 0).otherwise(share(F.col("m.n"), F.col("m.weight"))).cast("long").alias("mains"),
+        F.when(light, 1).otherwise(share(F.col("n") - F.col("m.n"), F.col("weight") - F.col("m.weight"))).cast("long").alias("others"))
+
+
 def _exhausted(held: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between the groups of nodes; column ``blocks`` tells how many blocks a node has.
+    """Confirmed links (a, b) between the groups of nodes, whose rows have the columns of _blocks.
 
-    A node of several blocks is compared for each pair of blocks.
+    A node of several blocks is compared for each pair of blocks, but members
+    of its largest group do not meet each other.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -263,8 +286,10 @@ def _exhausted(held: DataFrame, percent: int) -> DataFrame:
             table.column("id").to_numpy(), table.column("component").to_numpy(), items, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    lead = ~F.col("light") & (F.col("component") == F.col("main"))
+    own = F.when(lead, F.pmod(F.xxhash64("id"), F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others")))
+    first = F.when(lead, F.col("mains")).otherwise(F.lit(0).cast("long"))
+    other = F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1))
     placed = held.select("node", "id", "component", "items", own.alias("own"), other.alias("other"))
     return placed.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select(
         "node", "low", "high", "id", "component", "items").groupBy("node", "low", "high").applyInArrow(run, "a long, b long")
@@ -303,17 +328,19 @@ class _Join:
         self.link(self.shelf.settled(_confirmed(pairs, self.sets, self.percent)))
 
     def exhaust(self, rows: DataFrame, last: bool) -> DataFrame:
-        """Compare unfinished nodes on full sets; returns the rows of nodes too heavy for that, unless ``last``."""
+        """Compare unfinished nodes on full sets; returns the rows of nodes too heavy for one task that are not tight, unless ``last``.
+
+        Column ``whole`` tells the rows of tight nodes.
+        """
         held = _unfinished(rows, self.groups, self.shelf.settled)
         if held.isEmpty():
             return held
         self.read(held.select("id").distinct())
         full = held.join(self.sets, "id")
-        blocks = F.greatest(F.ceil(F.sum(F.size("items")) / BLOCK_ITEMS), F.ceil(F.count("*") / BLOCK_ROWS))
-        nodes = self.shelf.settled(full.groupBy("node").agg(blocks.alias("blocks")))
-        fit = nodes if last else nodes.filter("blocks = 1")
-        self.link(self.shelf.settled(_exhausted(full.join(fit, "node"), self.percent)))
-        return held.join(nodes.join(fit, "node", "left_anti"), "node", "left_semi").drop("component")
+        nodes = self.shelf.settled(_blocks(full, F.col("whole")))
+        fit = nodes if last else nodes.filter("light OR whole")
+        self.link(self.shelf.settled(_exhausted(full.drop("whole").join(fit, "node"), self.percent)))
+        return held.join(nodes.join(fit, "node", "left_anti"), "node", "left_semi").drop("component", "whole")
 
 
 def near_duplicates(
@@ -367,7 +394,8 @@ def near_duplicates(
             if rows.isEmpty():
                 break
         join.confirm(settled(found.distinct()))
-        heavy = join.exhaust(settled(waiting.union(rows.select("node", "id", "sketch"))), depth >= DEPTH)
+        whole = waiting.withColumn("whole", F.lit(True)).union(rows.select("node", "id", "sketch", F.lit(False)))
+        heavy = join.exhaust(settled(whole), depth >= DEPTH)
         rows = settled(_sized(_children(heavy, threshold), settled))
     groups = None if join.groups is None else result.settled(join.groups)
     passing.clear(docs.sparkSession)
