@@ -77,6 +77,17 @@ def test_novel_strings_are_told_from_names():
     assert secret_scan.masked("ab secret cd", [(3, 9, 0), (3, 6, 2)]) == f"ab {secret_scan.MASK} cd"
 
 
+@pytest.mark.parametrize("gap", [0, 10, 200, 480, 495, 505, 600])
+def test_repeated_secrets_are_found(gap):
+    novelty, key = secret_scan.Novelty(), "Zx81qPw7Lm2KdT94vBnRt6YcQa0HsJfU"
+    filler = ("some words of filler text " * 40)[:gap]
+    for second in (f"Authorization: Bearer {key}", f"SESSION={key} ", f"see {key}"):
+        text = secret_scan.Text(f"private key {key} {filler} {second}".encode(), True)
+        spans = secret_scan.all_spans(text, novelty)[1]
+        assert sum(kind == 3 for *_, kind in spans) == 2
+        assert key not in secret_scan.masked(text.text, spans)
+
+
 def test_archives_equal_plain(spark):
     pages = pd.read_parquet(f"{FOLDER}/pages.parquet")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows(spark, "op3_warc")), key=str)

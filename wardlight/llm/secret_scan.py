@@ -3,8 +3,9 @@
 The patterns give the base spans. Beyond them, a long string that follows a
 sensitive word is a candidate. It is compressed together with what surrounds it
 by a compressor primed with a dictionary of identifiers; the bytes that it adds
-to its surroundings alone, per character, are its novelty. Names, paths and
-repeated values cost little; random strings cost nearly their entropy.
+to its surroundings alone, per character, are its novelty. Names and paths cost
+little; random strings cost nearly their entropy. Other copies of a string are
+blanked out of its surroundings, and every copy of a new string is reported.
 """
 
 from __future__ import annotations
@@ -96,19 +97,40 @@ class Novelty:
             level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def measure(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes per byte of text[start:end]."""
-        own = text[start:end].encode()
-        around = (text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND] + "\n").encode()
+        """Marginal compressed bytes per byte of text[start:end], without what other copies of its value save."""
+        value = value_of(text[start:end])
+        reach, blank = AROUND + len(value), "\n" * len(value)
+        before = text[max(0, start - reach):start].replace(value, blank)[-AROUND:]
+        after = text[end:end + reach].replace(value, blank)[:AROUND]
+        own, around = text[start:end].encode(), f"{before}\n{after}\n".encode()
         added = len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))
         return added / len(own)
 
     def spans(self, text: Text) -> list[Span]:
-        """Candidates in a sensitive context that do not compress."""
-        return [
-            (m.start(), m.end(), 3) for m in text.runs
-            if SENSITIVE.search(text.text, max(0, m.start() - REACH), m.start())
-            and self.measure(text.text, m.start(), m.end()) >= NOVEL
-        ]
+        """Candidates in a sensitive context that do not compress, and all other places of their values."""
+        new: dict[str, bool] = {}
+        found = []
+        for m in text.runs:
+            if SENSITIVE.search(text.text, max(0, m.start() - REACH), m.start()):
+                value = value_of(m[0])
+                if not new.get(value):
+                    new[value] = self.measure(text.text, m.start(), m.end()) >= NOVEL
+                if new[value]:
+                    found.append((m.start(), m.end(), 3))
+        held = [(s, e) for s, e, _ in found]
+        for value in [v for v, is_new in new.items() if is_new]:
+            at = text.text.find(value)
+            while at >= 0:
+                if not _covered((at, at + len(value), 3), held):
+                    found.append((at, at + len(value), 3))
+                at = text.text.find(value, at + len(value))
+        return sorted(set(found))
+
+
+def value_of(run: str) -> str:
+    """What stands after the last inner equals sign of a run, if it is long enough to be a candidate; else the run."""
+    value = run.rstrip("=").rpartition("=")[2]
+    return value if len(value) >= LEAST_RUN else run
 
 
 def joined(spans: list[Span]) -> str:
