@@ -252,6 +252,22 @@ def test_rules_suppress_what_they_hold():
     assert len(licenses.signatures()) > 300
 
 
+@pytest.mark.parametrize("text, label", [
+    ("GPLv3", "gpl-3"), ("GPL-2.0-only", "gpl-2.0"), ("GPL-3.0-or-later", "gpl-3.0"), ("GPL version 2", "gpl-2"),
+    ("Apache-2.0", "apache-2.0"), ('"license": "Apache-2.0"', "apache-2.0"), ("the Apache 2.0 License", "apache-2.0"),
+    ("BSD 3-Clause License", "bsd-3.clause"), ("BSD-3-Clause", "bsd-3.clause"), ("New BSD License", "bsd-3.clause"),
+    ("LGPLv2.1+", "lgpl-2.1"), ("MPL-2.0", "mpl-2.0"), ("license: MIT", "mit"), ("GNU General Public License v3.0", "gpl-3.0"),
+    ("the GNU General Public License v3.0", "gpl-3.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+])
+def test_usual_spellings(text, label):
+    assert {r.label for *_, r in licenses.Detector().detect(text.encode())[1]} == {label}
+
+
+def test_server_versions_are_no_licence():
+    assert not licenses.Detector().detect(b"we run apache 2 4 and apache 2 here")[1]
+
+
 def test_substitutions_are_tolerated(spark):
     rng = random.Random(5)
     item = [f"w{rng.randrange(10**6)}" for _ in range(40)]

@@ -61,6 +61,30 @@ FORMS = (
     ("under the {n} licen[sc]e", 0.9, 18, "licen"),
     ("(?:the )?{n} licen[sc]e", 0.7, 30, "licen"),
 )
+# Spellings of a version: after "v", "version" or nothing, glued or not, before or after "license".
+SPELLED = "(?:the )?(?:licen[sc]e )?{n}(?: licen[sc]e)?(?: ?v ?| version ){v}(?: licen[sc]e)?{later}"
+BARE = "(?:the )?(?:licen[sc]e )?{n} {v}(?! [0-9])(?: licen[sc]e)?{later}"
+LATER = "(?: only| or (?:any )?later(?: version)?)?"
+NAMED = "licen[sc]e {n}(?! ?v ?[0-9]| version| [0-9])"
+# A single number right after the name is a version only for these.
+SHORT = ("gpl", "gnu gpl", "lgpl", "agpl")
+# Sentences of licence texts and names in another order, as (label, expression, keyword).
+SENTENCES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "any person obtaining"),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "person or organization"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use"),
+    ("bsd-3.clause", "neither the name of [^.]{1,120}? may be used to endorse or promote products", "neither the name"),
+    ("bsd-3.clause", "(?:(?:new|modified|revised|3 clause|three clause) bsd|bsd three clause)(?: licen[sc]e)?", "bsd"),
+    ("bsd-2.clause", "(?:(?:simplified|2 clause|two clause) bsd|bsd two clause)(?: licen[sc]e)?", "bsd"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "held liable"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("wtfpl", "do what the fuck you want to public licen[sc]e", "you want to public"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v ?2 0", "source code form"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license", "either version 2"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license", "either version 3"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license", "either version 2 1"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license", "either version 3"),
+)
 # Creative Commons elements, and notices without a family.
 COMMONS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
 NOTICES = (
@@ -99,6 +123,12 @@ def signatures() -> list[Signature]:
                 else:
                     any_version = "|".join(sorted(versions, key=len, reverse=True)) or "(?!)"
                     rules.append(Signature(label, name, form.format(n=name, v=f"(?:{any_version})"), priority, weight, sign))
+            for v in versions:
+                for form in (SPELLED, BARE) if " " in v or name in SHORT else (SPELLED,):
+                    pattern = form.format(n=name, v=v, later=LATER)
+                    rules.append(Signature(f"{label}-{v.replace(' ', '.')}", name, pattern, 4, 0.9, longest))
+            rules.append(Signature(label, name, NAMED.format(n=name), 25, 0.7, longest))
+    rules += [Signature(label, keyword, pattern, 3, 1.0, max(keyword.split(" "), key=len)) for label, pattern, keyword in SENTENCES]
     for parts in COMMONS:
         words = {"by": "attribution", "sa": "share ?alike", "nd": "no ?derivatives", "nc": "non ?commercial"}
         long = " ".join(words[x] for x in parts.split(" "))
