@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Distinct tokens whose pieces a task remembers; then it starts afresh.
-REMEMBERED_WORDS = 400_000
+# Bytes of tokens and their ids that a task remembers; those that do not come back go first.
+REMEMBERED_BYTES = 32 << 20
+# What a remembered token takes beside its characters and ids.
+_ENTRY_BYTES = 200
 # Characters of documents that a task encodes together; a longer text is encoded alone.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 2_000_000
 
 # White space as the vocabulary's normalizer sees it, and the characters that stand for bytes.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -167,9 +169,14 @@ class Merges:
 
 
 class Encoder:
-    """Encodes and decodes with one vocabulary and remembers the tokens between white space it has seen."""
+    """Encodes and decodes with one vocabulary and remembers tokens between white space that come back.
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED_WORDS):
+    Tokens of the current generation are held beside those of the one before;
+    when the current one is full it takes the other's place, so a token that is
+    not met again is forgotten after at most two.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED_BYTES):
         self.special, self.remembered = vocabulary.special, remembered
         ids = vocabulary.ids
         n_ids = 1 + max([*ids.values(), *vocabulary.special.values()])
@@ -183,9 +190,10 @@ class Encoder:
         self.names = [""] * n_ids
         for name, i in [*ids.items(), *vocabulary.special.items()]:
             self.names[i] = name
-        # token: its ids as bytes, and their names joined by blanks; none for a token without words
+        # token: its ids as bytes
         self.raw: dict[str, bytes] = {}
-        self.read: dict[str, str] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def tokens(self, text: str) -> list[str]:
         """The stretches between white space, and special tokens by themselves.
@@ -212,24 +220,26 @@ class Encoder:
         return self.words.findall(token.lower())
 
     def learn(self, tokens: set[str]) -> None:
-        """Encode the tokens that are not remembered, all their distinct words together."""
+        """Have all the tokens in the current generation; those not remembered are encoded together."""
+        if self.held > self.remembered // 2:
+            self.raw, self.older, self.held = {}, self.raw, 0
         new = tokens.difference(self.raw)
-        if len(self.raw) + len(new) > self.remembered:
-            self.raw.clear()
-            self.read.clear()
-            new = tokens
+        for token in new.intersection(self.older):
+            self._keep(token, self.older[token])
+            new.discard(token)
         cut = {t: self.cut(t) for t in new if t not in self.special}
         words = list({w for parts in cut.values() for w in parts})
         merged = dict(zip(words, self._merged(words)))
         for token, parts in cut.items():
-            found = [merged[w] for w in parts]
-            self.raw[token] = b"".join([x[0] for x in found])
-            self.read[token] = " ".join([x[1] for x in found])
+            self._keep(token, b"".join([merged[w] for w in parts]))
         for token in new.intersection(self.special):
-            i = self.special[token]
-            self.raw[token], self.read[token] = np.array([i], "<u4").tobytes(), self.names[i]
+            self._keep(token, np.array([self.special[token]], "<u4").tobytes())
+
+    def _keep(self, token: str, raw: bytes) -> None:
+        self.raw[token] = raw
+        self.held += len(token) + len(raw) + _ENTRY_BYTES
 
-    def _merged(self, words: list[str]) -> list[tuple[bytes, str]]:
+    def _merged(self, words: list[str]) -> list[bytes]:
         if not words:
             return []
         spelled = [w.encode() for w in words]
@@ -241,10 +251,9 @@ class Encoder:
         index = PairIndex(self.rules, symbols, starts, ends)
         index.run()
         left = symbols >= 0
-        to = np.cumsum(left)[ends - 1].tolist()
-        ids = symbols[left]
-        raw, names = ids.astype("<u4").tobytes(), [self.names[i] for i in ids.tolist()]
-        return [(raw[4 * s:4 * e], " ".join(names[s:e])) for s, e in zip([0, *to], to)]
+        to = (4 * np.cumsum(left)[ends - 1]).tolist()
+        raw = symbols[left].astype("<u4").tobytes()
+        return [raw[s:e] for s, e in zip([0, *to], to)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str, int]]:
         """Of each text: its ids as little-endian 32-bit numbers, the decoded text, the number of ids."""
@@ -253,13 +262,12 @@ class Encoder:
             distinct.update(self.tokens(text))
         self.learn(distinct)
         for text in texts:
-            tokens = self.tokens(text)
-            raw = b"".join(map(self.raw.__getitem__, tokens))
-            yield raw, " ".join(filter(None, map(self.read.__getitem__, tokens))), len(raw) // 4
+            raw = b"".join(map(self.raw.__getitem__, self.tokens(text)))
+            yield raw, self.decode(np.frombuffer(raw, "<u4").tolist()), len(raw) // 4
 
     def decode(self, ids: Iterable[int]) -> str:
         """The pieces joined by blanks, as a vocabulary without decoder has it."""
-        return " ".join([self.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def encode_documents(
