@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardlight.llm import (
-    bpe, decontaminate, langid, licenses, near_dup, quality, secret_scan, toxicity, url_filter, warc,
+    alignment, bpe, decontaminate, langid, licenses, near_dup, quality, secret_scan, toxicity, url_filter, vector_dup, warc, whitening,
 )
 
 
@@ -13,11 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary that the queries encode with."""
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public vocabulary that the queries encode with."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +71,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all vectors, from a covariance by polarisation of exact squares."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups that two tokenizers cut alike, and how usual their last pairs are."""
+    a, b = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"), a, b, groups=False)
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label with a cosine of 0.93 or more, by int8 tile products."""
+    return vector_dup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_secret_scan, op3_warc, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup,
-    op7_license_scan, op8_decontamination, op9_url_filter, op10_language_id,
+    op7_license_scan, op8_decontamination, op9_url_filter, op10_language_id, op11_embedding_whitening,
+    op12_cross_tokenizer_alignment, op13_embedding_near_dedup,
 )}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,5 +133,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND ellipsis_line_share <= 0.3 AND bullet_line_share <= 0.9, false) AS kept,
   mean_word_chars, symbols_per_word, stop_words, dup_line_share, ellipsis_line_share, bullet_line_share FROM ratios"""
 
+_VECTOR_SQL = """WITH RECURSIVE rows_of AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+able AS (SELECT * FROM rows_of WHERE label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM able a JOIN able b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r, r AS at FROM rows_of UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.at),
+heads AS (SELECT reach.r, min(x.vec_id) AS component_id FROM reach JOIN rows_of x ON x.r = reach.at GROUP BY reach.r),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(v.vec_id = component_id, true) AS kept
+FROM rows_of v JOIN heads ON heads.r = v.r LEFT JOIN counted ON counted.a = v.r"""
+
 # What SQL can express; the other queries are held against plain versions in the tests.
-ORACLE_SQL = {"op5_quality_rules": _QUALITY_SQL, "op9_url_filter": _URL_SQL}
+ORACLE_SQL = {"op5_quality_rules": _QUALITY_SQL, "op9_url_filter": _URL_SQL, "op13_embedding_near_dedup": _VECTOR_SQL}
