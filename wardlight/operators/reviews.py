@@ -36,46 +36,69 @@ def review_entries(actions: DataFrame) -> DataFrame:
     )
 
 
-def apply_reviews(incidents: DataFrame, actions: DataFrame) -> DataFrame:
-    """Incidents after approve / reject / reclassify actions in (time, seq) order.
+def review_fold(actions: DataFrame) -> DataFrame:
+    """What the review actions of each incident come to, as a part that further parts can be merged with.
 
-    The fold is written as aggregates that combine before the shuffle: the
-    review flag follows the last action, severity and notes the last
-    reclassification. The audit text is not touched; the trail is rows, see
-    ``audit_trail``.
+    Every value carries the (time, seq) of its action, so parts may be merged in
+    any order, whatever the order in which actions arrived: ``last`` decides the
+    review flag, ``override`` severity and notes, ``closed`` the reviewer.
     """
-    order = F.struct("action_ts", "seq")
-    reclassified = F.col("action") == "reclassify"
-    closes = F.col("action").isin("approve", "reclassify")
     known = actions.filter(F.col("action").isin("approve", "reject", "reclassify"))
+    closes = F.col("action").isin("approve", "reclassify")
     note = F.coalesce("reviewer_notes", F.lit(DEFAULT_NOTE))
-    fold = known.groupBy("incident_id").agg(
-        F.bool_or(closes).alias("_reviewed"),
-        F.max_by(~closes, order).alias("_needs"),
+    order = F.struct("action_ts", "seq")
+    at = (F.col("action_ts").alias("ts"), F.col("seq").alias("seq"))
+    return known.groupBy("incident_id").agg(
+        F.max_by(F.struct(*at, (~closes).alias("needs")), order).alias("last"),
         F.max_by(
-            F.struct("new_severity", note.alias("note")), F.when(reclassified, order)
-        ).alias("_override"),
-        F.max_by(F.struct("actor", "action_ts"), F.when(closes, order)).alias("_by"),
+            F.struct(*at, F.col("new_severity").alias("severity"), note.alias("note")), F.when(F.col("action") == "reclassify", order)
+        ).alias("override"),
+        F.max_by(F.struct(*at, F.col("actor").alias("actor")), F.when(closes, order)).alias("closed"),
     )
-    joined = incidents.join(fold, "incident_id", "left")
-    override, by = F.col("_override"), F.col("_by")
+
+
+def merge_folds(parts: DataFrame) -> DataFrame:
+    """Parts of ``review_fold``, of several batches, as one row per incident."""
+    def latest(name: str) -> Column:
+        order = F.when(F.col(name).isNotNull(), F.struct(F.col(name)["ts"], F.col(name)["seq"]))
+        return F.max_by(name, order).alias(name)
+
+    return parts.groupBy("incident_id").agg(*map(latest, ("last", "override", "closed")))
+
+
+def apply_fold(incidents: DataFrame, fold: DataFrame) -> DataFrame:
+    """Incidents after the actions that ``fold`` holds, one row per incident."""
+    parts = fold.select("incident_id", *[F.col(c).alias(f"_{c}") for c in ("last", "override", "closed")])
+    joined = incidents.join(parts, "incident_id", "left")
+    last, override, closed = F.col("_last"), F.col("_override"), F.col("_closed")
 
     def old(name: str, kind: str):
         return F.col(name) if name in incidents.columns else F.lit(None).cast(kind)
 
     changed = {
-        "severity": F.when(override.isNotNull(), override["new_severity"]).otherwise(F.col("severity")),
-        "human_reviewed": F.coalesce(old("human_reviewed", "boolean"), F.lit(False))
-        | F.coalesce("_reviewed", F.lit(False)),
-        "needs_review": F.coalesce("_needs", old("needs_review", "boolean")),
+        "severity": F.when(override.isNotNull(), override["severity"]).otherwise(F.col("severity")),
+        "human_reviewed": F.coalesce(old("human_reviewed", "boolean"), F.lit(False)) | closed.isNotNull(),
+        "needs_review": F.coalesce(last["needs"], old("needs_review", "boolean")),
         "reviewer_notes": F.coalesce(override["note"], old("reviewer_notes", "string")),
-        "reviewed_by": F.coalesce(by["actor"], old("reviewed_by", "string")),
-        "reviewed_at": F.coalesce(by["action_ts"], old("reviewed_at", "timestamp_ntz")),
+        "reviewed_by": F.coalesce(closed["actor"], old("reviewed_by", "string")),
+        "reviewed_at": F.coalesce(closed["ts"], old("reviewed_at", "timestamp_ntz")),
     }
     kept = [c for c in incidents.columns if c not in changed]
     return joined.select(*kept, *[c.alias(name) for name, c in changed.items()])
 
 
+def apply_reviews(incidents: DataFrame, actions: DataFrame) -> DataFrame:
+    """Incidents after approve / reject / reclassify actions in (time, seq) order.
+
+    The fold is written as aggregates that combine before the shuffle: the
+    review flag follows the last action, severity and notes the last
+    reclassification. The audit text is not touched; the trail is rows, see
+    ``audit_trail``. ``streaming.intake.stream_reviews`` is the form for
+    actions that arrive on a stream.
+    """
+    return apply_fold(incidents, review_fold(actions))
+
+
 def audit_trail(incidents: DataFrame, actions: DataFrame) -> DataFrame:
     """All audit entries as rows: those in the stored text, then those of review actions.
 

@@ -25,25 +25,14 @@ def _or_default(df: DataFrame, name: str, default: Column) -> Column:
     return F.coalesce(F.col(name), default) if name in df.columns else default
 
 
-def upsert_incidents(
-    current: DataFrame,
-    updates: DataFrame,
-    key: str = "incident_id",
-    order: list[str] | None = None,
-    as_of=None,
-) -> DataFrame:
-    """Insert new keys; on a known key overwrite only the upsert columns.
-
-    With ``order`` the updates may repeat a key and the last one wins; without
-    it they must hold each key once.
-    """
-    if order:
-        updates = last_per_key(updates, order, key)
-    inserts = {
+def _sides(current: DataFrame, updates: DataFrame, key: str, as_of, fill: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an upsert as (key, old) and (key, new), the rows in the incident schema."""
+    inserts = {} if not fill else {
         "created_at": _or_default(updates, "created_at", times.moment(as_of)),
         "human_reviewed": _or_default(updates, "human_reviewed", F.lit(False)),
         "data_source": _or_default(updates, "data_source", F.lit(DATA_SOURCE)),
     }
+
     def incoming(field) -> Column:
         value = inserts.get(field.name)
         if value is None:
@@ -55,14 +44,56 @@ def upsert_incidents(
         (F.col(f.name) if f.name in current.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in fields
     ]).alias("old"))
-    new = updates.select(key, F.struct(*[incoming(f).alias(f.name) for f in fields]).alias("new"))
-    joined = old.join(new, key, "full_outer")
+    return old, updates.select(key, F.struct(*[incoming(f).alias(f.name) for f in fields]).alias("new"))
+
 
+def _upserted(joined: DataFrame, key: str) -> DataFrame:
+    """Rows of (key, old, new), either of which may be null, as incidents."""
     def merged(name: str) -> Column:
         winner, other = ("new", "old") if name in schemas.UPSERT_COLUMNS else ("old", "new")
         return F.when(F.col(winner).isNotNull(), F.col(winner)[name]).otherwise(F.col(other)[name])
 
-    return joined.select(F.col(key), *[merged(f.name).alias(f.name) for f in fields if f.name != key])
+    fields = [f.name for f in schemas.INCIDENT.fields if f.name != key]
+    return joined.select(F.col(key), *[merged(name).alias(name) for name in fields])
+
+
+def upsert_incidents(
+    current: DataFrame,
+    updates: DataFrame,
+    key: str = "incident_id",
+    order: list[str] | None = None,
+    as_of=None,
+    fill: bool = True,
+) -> DataFrame:
+    """Insert new keys; on a known key overwrite only the upsert columns.
+
+    With ``order`` the updates may repeat a key and the last one wins; without
+    it they must hold each key once. Inserted rows get the defaults of a new
+    incident where they are null, unless ``fill`` is off, as for rows that have
+    been stored before. Both sides are shuffled by key, which is
+    right for updates of the store's order of size; ``upsert_few`` is for a batch.
+    """
+    if order:
+        updates = last_per_key(updates, order, key)
+    old, new = _sides(current, updates, key, as_of, fill)
+    return _upserted(old.join(new, key, "full_outer"), key)
+
+
+def upsert_few(
+    current: DataFrame, updates: DataFrame, key: str = "incident_id", order: list[str] | None = None, as_of=None, fill: bool = True
+) -> DataFrame:
+    """The same rows as ``upsert_incidents``, for updates that are few beside the store.
+
+    The updates meet the store in a left join, and again in a semi join on the
+    key alone that tells which of them are new. Where the planner broadcasts
+    them the store is not shuffled; it is read twice, the second time its key.
+    """
+    if order:
+        updates = last_per_key(updates, order, key)
+    old, new = _sides(current, updates, key, as_of, fill)
+    known = old.select(key).join(new.select(key), key, "left_semi")
+    inserts = new.join(known, key, "left_anti").select(key, F.lit(None).cast(old.schema["old"].dataType).alias("old"), "new")
+    return _upserted(old.join(new, key, "left").unionByName(inserts), key)
 
 
 def fold_history(history: DataFrame, order: list[str], key: str = "incident_id") -> DataFrame:

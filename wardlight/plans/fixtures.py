@@ -23,6 +23,15 @@ _LABEL = """CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' T
 _VERSION = "CASE o_orderstatus WHEN 'F' THEN 'v1.0.0' WHEN 'O' THEN 'v1.1.0' ELSE 'v1.2.0' END"
 _STAMP = "SUBSTRING(CAST(o_orderdate AS STRING), 1, 10) || ' 08:30:00'"
 
+_RESPONSE = f"""CASE WHEN o_orderkey % 97 = 0 THEN 'not json' WHEN o_orderkey % 89 = 0 THEN '{{"severity": "LOW"}} trailing'
+  WHEN o_orderkey % 83 = 0 THEN '{{"severity": "LOW", "confidence": 0.9}}]' WHEN o_orderkey % 79 = 0 THEN '{{"severity": "LOW"}}, "more": 1'
+  ELSE '{{' || CASE WHEN o_orderkey % 31 = 0 THEN '"note": 1' ELSE '"severity": "' || {_LABEL} || '"' END
+     || CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 37 = 0 THEN ', "confidence": null'
+             WHEN o_orderkey % 41 = 0 THEN ', "confidence": "high"'
+             ELSE ', "confidence": 0.' || SUBSTRING(CAST(100 + (o_orderkey * 37) % 100 AS STRING), 2, 2) END
+     || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ', "reasoning": "because"' END || '}}' END"""
+_ASKED_AT = "o_orderdate + (o_orderkey % 86400) * INTERVAL '1' SECOND"
+
 FIXTURES = {
     # raw service requests; some lack details, address or media
     "requests": f"""SELECT CAST(o_orderkey AS STRING) AS service_request_id,
@@ -79,13 +88,16 @@ FROM @orders""",
 FROM @orders""",
     # one model answer per incident: good, without keys, with nulls, not JSON
     "answers": f"""SELECT CAST(o_orderkey AS STRING) AS incident_id,
-  CASE WHEN o_orderkey % 97 = 0 THEN 'not json' WHEN o_orderkey % 89 = 0 THEN '{{"severity": "LOW"}} trailing'
-  WHEN o_orderkey % 83 = 0 THEN '{{"severity": "LOW", "confidence": 0.9}}]' WHEN o_orderkey % 79 = 0 THEN '{{"severity": "LOW"}}, "more": 1'
-  ELSE '{{' || CASE WHEN o_orderkey % 31 = 0 THEN '"note": 1' ELSE '"severity": "' || {_LABEL} || '"' END
-     || CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 37 = 0 THEN ', "confidence": null'
-             WHEN o_orderkey % 41 = 0 THEN ', "confidence": "high"'
-             ELSE ', "confidence": 0.' || SUBSTRING(CAST(100 + (o_orderkey * 37) % 100 AS STRING), 2, 2) END
-     || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ', "reasoning": "because"' END || '}}' END AS response
+  {_RESPONSE} AS response
+FROM @orders""",
+    # the same requests shaped and with the time they came at, and answers that come before, after or far too late
+    "asked": f"""SELECT CAST(o_orderkey AS STRING) AS incident_id,
+  'service_name: ' || {_SERVICE} || ' service_details: ' || {_DETAILS} AS description, {_ADDRESS} AS address,
+  CAST(NULL AS STRING) AS image_url, {_ASKED_AT} AS asked_at
+FROM @orders""",
+    "replies": f"""SELECT CAST(o_orderkey AS STRING) AS incident_id,
+  {_RESPONSE} AS response,
+  {_ASKED_AT} + CASE o_orderkey % 6 WHEN 0 THEN INTERVAL '30' DAY WHEN 1 THEN INTERVAL '-10' MINUTE ELSE INTERVAL '20' MINUTE END AS answered_at
 FROM @orders""",
     # review actions, up to three per incident
     "reviews": """SELECT CAST(o_orderkey AS STRING) AS incident_id, CAST(1 AS BIGINT) AS seq,

@@ -410,11 +410,11 @@ SELECT q.instance, (SELECT count(*) FROM fx_calls c WHERE c.instance = q.instanc
          f"""WITH {_SHARES['instance']}, {runs_sql('shares', 'share', 'value > 0.2::DOUBLE', _HOLD)}
 SELECT k AS instance, {span_sql(_HOLD)}, round(value, {_ROUND}) AS value FROM runs"""),
     Plan("signal_anomalies",
-         lambda d: _rounded(M.signal_anomalies(d.calls.filter(F.hour("ts") != 3), z=2.0), "traffic_z", "tokens_z", "latency_z"),
+         lambda d: _rounded(M.signal_anomalies(d.calls, z=2.0), "traffic_z", "tokens_z", "latency_z"),
          """WITH seen AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, count(*)::DOUBLE AS traffic,
   sum(prompt_tokens + completion_tokens)::DOUBLE AS tokens,
   CAST(sum(CAST(round(duration_s * 1000000) AS BIGINT)) AS BIGINT)::DOUBLE / count(*) / 1e6 AS latency FROM fx_calls
-  WHERE hour(ts) <> 3 GROUP BY 1),
+  GROUP BY 1),
 hours AS (SELECT unnest(generate_series((SELECT min(bucket_start) FROM seen), (SELECT max(bucket_start) FROM seen), INTERVAL 1 HOUR)) AS bucket_start),
 b AS (SELECT h.bucket_start, coalesce(traffic, 0) AS traffic, coalesce(tokens, 0) AS tokens, latency
   FROM hours h LEFT JOIN seen s ON s.bucket_start = h.bucket_start),

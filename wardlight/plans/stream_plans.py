@@ -7,14 +7,14 @@ from pyspark.sql import types as T
 
 from wardlight.operators import alerts as A
 from wardlight.operators import metrics as M
-from wardlight.operators import requests
+from wardlight.operators import requests, reviews
 from wardlight.plans import metric_plans as MP
 from wardlight.plans import triage_plans as TP
 from wardlight.plans.base import AS_OF, Data, Plan
 from wardlight.plans.fixtures import streaming_fixture
 from wardlight import schemas
 from wardlight.session import work_folder
-from wardlight.sources.sinks import read_batches, read_incidents
+from wardlight.sources.sinks import compact_history, read_batches, read_incidents, write_batch
 from wardlight.streaming import intake, signals
 
 
@@ -35,6 +35,46 @@ def _triaged(d: Data):
     return TP._as_text(read_incidents(d.spark, history), "zip_code").select(*TP._TRIAGE_COLUMNS)
 
 
+def _answered(d: Data):
+    """What became of every request whose answer comes on a stream of its own: its severity, or why it is a reject."""
+    history, rejects, marks = (work_folder(d.spark, n) for n in ("history", "rejects", "marks"))
+    intake.stream_answers(
+        _stream(d, "asked"), _stream(d, "replies"), history, marks, rejects, wait="1 hour", delay=signals.DELAY, as_of=AS_OF
+    ).awaitTermination()
+    refused = d.spark.read.schema("incident_id string, parse_status string").parquet(rejects)
+    return read_incidents(d.spark, history).select("incident_id", F.col("severity").alias("outcome")).unionByName(
+        refused.select("incident_id", F.col("parse_status").alias("outcome")))
+
+
+# a request without answer is given up once the slower of both streams is an hour and ten minutes beyond it
+_ANSWERED = f"""WITH {TP._PARSED},
+told AS (SELECT a.incident_id, a.description FROM fx_asked a JOIN fx_replies r ON r.incident_id = a.incident_id
+  AND r.answered_at BETWEEN a.asked_at - INTERVAL 1 HOUR AND a.asked_at + INTERVAL 1 HOUR),
+mark AS (SELECT least((SELECT max(asked_at) FROM fx_asked), (SELECT max(answered_at) FROM fx_replies)) - INTERVAL 70 MINUTE AS at)
+SELECT t.incident_id, CASE WHEN {TP._HIT} THEN 'CRITICAL' ELSE ai_severity END AS outcome FROM told t JOIN read r ON r.incident_id = t.incident_id
+UNION ALL SELECT t.incident_id, parse_status FROM told t JOIN judged j ON j.incident_id = t.incident_id WHERE parse_status <> 'ok'
+UNION ALL SELECT a.incident_id, 'unanswered' FROM fx_asked a, mark
+  WHERE a.asked_at <= mark.at AND a.incident_id NOT IN (SELECT incident_id FROM told)"""
+
+
+def _reviewed(d: Data):
+    folds, marks = work_folder(d.spark, "folds"), work_folder(d.spark, "marks")
+    intake.stream_reviews(_stream(d, "reviews"), folds, marks).awaitTermination()
+    return reviews.apply_fold(d.incidents, intake.read_reviews(d.spark, folds)).select(
+        "incident_id", "severity", "human_reviewed", "needs_review", "reviewer_notes", "reviewed_by", "reviewed_at")
+
+
+def _snapshot(d: Data):
+    """A history of three batches, of which two are folded into a committed snapshot before the third comes."""
+    history = work_folder(d.spark, "history")
+    rows = TP._history(d).select(*schemas.INCIDENT.fieldNames(), "batch_id")
+    for n in (0, 1, 2):
+        write_batch(rows.filter(F.col("batch_id") == n).drop("batch_id"), history, n)
+        if n:
+            compact_history(d.spark, history, through=n - 1)
+    return read_incidents(d.spark, history).select("incident_id", "severity", "created_at", "human_reviewed")
+
+
 _SLICE = T.StructType([
     T.StructField("instance", T.LongType()), T.StructField("tick", T.LongType()),
     T.StructField("events", T.LongType()),
@@ -105,6 +145,9 @@ def _sql(name: str) -> str:
 PLANS = [
     Plan("stream_ingest", _ingested, _sql("normalize_request")),
     Plan("stream_triage", _triaged, _sql("triage")),
+    Plan("stream_answers", _answered, _ANSWERED),
+    Plan("stream_reviews", _reviewed, _sql("apply_reviews")),
+    Plan("read_incidents", _snapshot, _sql("fold_history")),
     Plan("stream_rate", _rates, _sql("event_rate")),
     Plan("stream_severity_entropy", _running_entropy, _sql("severity_entropy")),
     Plan("stream_latency_histogram", _running_histogram, _sql("latency_histogram")),

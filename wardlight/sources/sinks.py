@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlight import schemas
-from wardlight.operators.store import fold_history, stamp_feedback
+from wardlight.operators.store import fold_history, stamp_feedback, upsert_few, upsert_incidents
+from wardlight.sources import snapshots
 
 
-def append_feedback(feedback: DataFrame, path: str, as_of=None) -> None:
-    stamp_feedback(feedback, as_of).write.mode("append").parquet(path)
+def append_feedback(feedback: DataFrame, path: str, as_of=None, batch_id: int | None = None) -> None:
+    """Append feedback; a caller that may try again names its batch, which then is stored once."""
+    stamped = stamp_feedback(feedback, as_of)
+    if batch_id is None:
+        stamped.write.mode("append").parquet(path)
+    else:
+        write_batch(stamped, path, batch_id)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, by: str | None = None) -> None:
     """Write one batch to its own folder; writing it again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -32,25 +39,41 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_incidents(
-    spark: SparkSession, history: str,
-    order: tuple[str, ...] = ("batch_id", "created_at", "description", "transformation_log"),
-) -> DataFrame:
-    """Current incidents from a folder of triaged batches.
-
-    The later batch wins; the further columns only settle a key that a batch
-    holds twice.
-    """
-    return fold_history(read_batches(spark, history, schemas.INCIDENT), list(order))
+_ORDER = ("batch_id", "created_at", "description", "transformation_log")
 
 
-def compact_history(spark: SparkSession, history: str, target: str) -> None:
-    """Fold a history into one batch in a new folder; the old one stays as it is.
+def read_incidents(spark: SparkSession, history: str, order: tuple[str, ...] = _ORDER) -> DataFrame:
+    """Current incidents from a folder of triaged batches.
 
-    Readers switch to the new folder when this returns; nothing that is being
-    read is ever overwritten.
+    The committed snapshot holds the batches up to some point folded; those
+    after it are folded here and put on top. A later batch wins; the further
+    columns only settle a key that a batch holds twice. A reader works on the
+    snapshot that held when this was called, whatever is committed meanwhile.
+    """
+    now = snapshots.latest(spark, history)
+    later = fold_history(snapshots.later_rows(spark, history, now, schemas.INCIDENT), list(order))
+    if not now.folders:
+        return later
+    return upsert_few(snapshots.folded_rows(spark, now, schemas.INCIDENT), later, fill=False).select(*schemas.INCIDENT.fieldNames())
+
+
+def compact_history(
+    spark: SparkSession, history: str, target: str | None = None, buckets: int = snapshots.BUCKETS, through: int | None = None
+) -> snapshots.Snapshot | None:
+    """Fold the history's batches into its snapshot and commit that; nothing that is read is overwritten.
+
+    Streams may go on writing batches and readers reading. The last batch is
+    left in the log, since its stream may write it again, unless ``through``
+    names it. Only the buckets of keys in the folded batches are rewritten;
+    ``snapshots.vacuum`` deletes what is no longer needed. With a ``target``
+    folder nothing is committed: it gets a copy of the incidents as one batch.
     """
-    write_batch(read_incidents(spark, history), target, -1)
+    if target is not None:
+        write_batch(read_incidents(spark, history), target, -1)
+        return None
+    return snapshots.compact(
+        spark, history, schemas.INCIDENT, "incident_id", lambda rows: fold_history(rows, list(_ORDER)),
+        lambda old, new: upsert_incidents(old, new, fill=False).select(*schemas.INCIDENT.fieldNames()), buckets, through)
 
 
 def write_incidents(incidents: DataFrame, path: str) -> None:
