@@ -38,8 +38,11 @@ PIECE = 256
 # Characters of documents that a task aligns together; a longer text is alone.
 BATCH_CHARS = 2_000_000
 # Bytes of stretches and their ids that a task remembers.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 64 << 20
+# What a remembered stretch takes beside its characters and ids.
 _ENTRY_BYTES = 300
+# Stretches that are tokenized in one go.
+TOGETHER = 2000
 # Pairs of ids whose counts are sent to all tasks; with more, the counts are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
@@ -120,31 +123,58 @@ class Tokenizers:
             raise ValueError("a piece of tokenizer B has a blank after a letter, so texts cannot be cut before blanks")
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.spelling = Spelling(max(len(self.a_bytes), len(self.b_bytes)))
         # stretch: ids of A, ids of B, both as bytes; none where they spell other bytes than the text
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.older: dict[str, tuple[bytes, bytes] | None] = {}
         self.remembered, self.held = remembered, 0
 
     def learn(self, stretches: set[str]) -> None:
-        """Have all the stretches in the current generation; those not remembered are tokenized together."""
+        """Have all the stretches in the current generation; those not remembered are tokenized."""
         if self.held > self.remembered // 2:
             self.known, self.older, self.held = {}, self.known, 0
         new = stretches.difference(self.known)
         for own in new.intersection(self.older):
             self._keep(own, self.older[own])
             new.discard(own)
-        order = list(new)
-        spelled = [" " + x for x in order]
-        in_a = [x.ids for x in self.a.encode_batch(spelled, add_special_tokens=False)]
-        in_b = self.b.encode(order, num_threads=1)
-        for own, text, x, y in zip(order, spelled, in_a, in_b):
-            raw = text.encode()
-            whole = b"".join([self.a_bytes[n] for n in x]) == raw == b"".join([self.b_bytes[n] for n in y])
-            self._keep(own, (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if whole else None)
+        # one beside another they are cut where they meet, unless white space begins or ends them
+        plain = [x for x in new if not x[0].isspace() and x[-1] != " "]
+        for begin in range(0, len(plain), TOGETHER):
+            some = plain[begin:begin + TOGETHER]
+            if self._tokenized(some):
+                new.difference_update(some)
+        for own in new:
+            if not self._tokenized([own]):
+                self._keep(own, None)
+
+    def _tokenized(self, some: list[str]) -> bool:
+        """Tokenize stretches as one text and keep the ids of each; False if tokens do not spell the text or cross its cuts."""
+        text = " ".join(some)
+        raw = (" " + text).encode()
+        ends = np.cumsum([1 + len(x.encode()) for x in some])
+        parts = []
+        for ids, spelled, sizes in (
+            (self.a.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, self.a_sizes),
+            (self.b.encode(text), self.b_bytes, self.b_sizes),
+        ):
+            if b"".join([spelled[n] for n in ids]) != raw:
+                return False
+            flat = np.array(ids, "<i4")
+            stops = np.cumsum(sizes[flat])
+            at = np.searchsorted(stops, ends)
+            if not np.array_equal(stops[at], ends):
+                return False
+            whole, cuts = flat.tobytes(), [0, *(4 * (at + 1)).tolist()]
+            parts.append([whole[s:e] for s, e in zip(cuts, cuts[1:])])
+        for own, a, b in zip(some, *parts):
+            self._keep(own, (a, b))
+        return True
 
     def _keep(self, own: str, found: tuple[bytes, bytes] | None) -> None:
         self.known[own] = found
-        self.held += 2 * len(own) + sum(map(len, found or ())) + _ENTRY_BYTES
+        self.held += 2 * len(own) + _ENTRY_BYTES
+        if found is not None:
+            self.held += len(found[0]) + len(found[1])
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts one after another: ids of A and of B, and how many of each every text has.
@@ -152,18 +182,28 @@ class Tokenizers:
         A text that the tokens of either do not spell has none.
         """
         cut = [_CUT.split(x) if x else [] for x in texts]
-        self.learn({own for parts in cut for own in parts})
-        a_parts, b_parts, counts = [], [], np.zeros((len(texts), 2), np.int64)
-        for n, parts in enumerate(cut):
-            found = [self.known[own] for own in parts]
-            if None in found:
-                continue
-            a, b = b"".join([x for x, _ in found]), b"".join([x for _, x in found])
-            a_parts.append(a)
-            b_parts.append(b)
-            counts[n] = len(a) // 4, len(b) // 4
-        a, b = (np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in (a_parts, b_parts))
-        return a, b, counts[:, 0], counts[:, 1]
+        distinct = {own for parts in cut for own in parts}
+        self.learn(distinct)
+        place = {own: n for n, own in enumerate(distinct)}
+        found = [self.known[own] for own in distinct]
+        at = np.array([n for parts in cut for n in map(place.__getitem__, parts)], np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(parts) for parts in cut])
+        bad = np.array([x is None for x in found], bool)
+        if bad.any():
+            refused = np.zeros(len(texts), bool)
+            refused[text[bad[at]]] = True
+            at, text = at[~refused[text]], text[~refused[text]]
+        out = []
+        for side in (0, 1):
+            own = [x[side] if x else b"" for x in found]
+            flat = np.frombuffer(b"".join(own), "<i4")
+            sizes = np.array([len(x) // 4 for x in own], np.int64)
+            first = np.cumsum(sizes) - sizes
+            n = sizes[at]
+            # the tokens of every stretch, stretch by stretch
+            take = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((flat[take].astype(np.int64), np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
 @dataclass
@@ -182,27 +222,31 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def spelled_groups(a, b, n_a, n_b, i, j) -> list[bytes]:
-    """Per text its groups in order: ids of A, a bar, ids of B; commas between ids, semicolons between groups."""
-    width = len(str(max(a.max(initial=0), b.max(initial=0)))) + 1
+class Spelling:
+    """Ids as decimal words with the mark that follows them, padded to one width."""
+
+    def __init__(self, n_ids: int):
+        digits = np.arange(n_ids).astype(f"S{len(str(n_ids))}")
+        self.sizes = np.char.str_len(digits) + 1
+        self.width = int(self.sizes.max()) if n_ids else 1
+        self.words = {mark: np.char.add(digits, mark.encode()).astype(f"S{self.width}") for mark in ",|;"}
 
-    def words(ids: np.ndarray, ends: np.ndarray, mark: str) -> np.ndarray:
-        text = np.char.add(np.arange(ids.max(initial=0) + 1).astype(f"S{width - 1}"), b",")
-        found = text[ids].astype(f"S{width}")
-        last = np.char.add(ids[ends].astype(f"S{width - 1}"), mark.encode())
-        found[ends] = last
+    def marked(self, ids: np.ndarray, ends: np.ndarray, mark: str) -> np.ndarray:
+        """Words of ids, commas behind them but for a mark behind those at ``ends``."""
+        found = self.words[","][ids]
+        found[ends] = self.words[mark][ids[ends]]
         return found
 
-    group_a = np.searchsorted(i, np.arange(len(a)))
-    group_b = np.searchsorted(j, np.arange(len(b)))
-    before_b = _offsets(np.diff(np.concatenate([[-1], j])))  # tokens of B in earlier groups
-    through_a = _offsets(np.diff(np.concatenate([[-1], i])))  # tokens of A up to a group
-    line = np.empty(len(a) + len(b), f"S{width}")
-    line[np.arange(len(a)) + before_b[group_a]] = words(a, i, "|")
-    line[np.arange(len(b)) + through_a[group_b + 1]] = words(b, j, ";")
-    at = _offsets(np.char.str_len(line))
+
+def spelled_groups(spelling: Spelling, a, b, n_a, n_b, i, j) -> list[bytes]:
+    """Per text its groups in order: ids of A, a bar, ids of B; commas between ids, semicolons between groups."""
+    in_a, in_b = np.diff(i, prepend=-1), np.diff(j, prepend=-1)  # tokens of each group
+    line = np.empty(len(a) + len(b), f"S{spelling.width}")
+    line[np.arange(len(a)) + np.repeat(np.cumsum(in_b) - in_b, in_a)] = spelling.marked(a, i, "|")
+    line[np.arange(len(b)) + np.repeat(np.cumsum(in_a), in_b)] = spelling.marked(b, j, ";")
     whole = line.tobytes().replace(b"\0", b"")
-    edges = at[_offsets(n_a + n_b)].tolist()
+    ends = [_offsets(spelling.sizes[ids])[_offsets(n)] for ids, n in ((a, n_a), (b, n_b))]
+    edges = (ends[0] + ends[1]).tolist()
     return [whole[s:e - 1] if e > s else b"" for s, e in zip(edges, edges[1:])]
 
 
@@ -212,7 +256,7 @@ def align(tokenizers: Tokenizers, texts: list[str], piece: int = PIECE) -> Align
     # texts lie one after another, so ends rise over all of them
     i, j = common_ends(np.cumsum(tokenizers.a_sizes[a]), np.cumsum(tokenizers.b_sizes[b]), piece)
     n_groups = np.diff(np.searchsorted(i, _offsets(n_a)))
-    return Aligned(n_a, n_b, n_groups, spelled_groups(a, b, n_a, n_b, i, j), a[i], b[j])
+    return Aligned(n_a, n_b, n_groups, spelled_groups(tokenizers.spelling, a, b, n_a, n_b, i, j), a[i], b[j])
 
 
 def _batches(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
