@@ -229,3 +229,41 @@ def test_payload_quotes_and_lists(spark):
     payload = json.loads(A.alert_payload(A.filter_reportable(reports)).first()["payload"])
     assert payload["blocks"][0]["text"] == {"type": "plain_text", "text": "🚨 HIGH Incident Detected", "emoji": True}
     assert payload["blocks"][1]["fields"][0]["text"] == '*Type:*\nsay "x"'
+
+
+def many_alerts(spark, rows):
+    return spark.createDataFrame(
+        [(n, s, at(a), at(a), None if b is None else at(b), i, "s", "d") for n, s, a, b, i in rows],
+        "alertname string, severity string, since timestamp_ntz, fires_at timestamp_ntz, resolved_at timestamp_ntz, "
+        "instance string, summary string, description string")
+
+
+def test_every_change_of_a_group_is_a_row(spark):
+    rows = [("A", "critical", 0, 300, "i1"), ("A", "critical", 100, None, "i2"), ("A", "critical", 300, 90_000, "i3"),
+            ("A", "critical", 200_000, 200_000, "i4"), ("B", "warning", 50, 60, "i1"), ("Watchdog", "none", 0, None, "w")]
+    got = [(r["alertname"], int((r["at"] - T0).total_seconds()), r["fired"], r["resolved"], r["firing"], r["receiver"])
+           for r in A.group_changes(many_alerts(spark, rows)).orderBy("alertname", "at").collect()]
+    assert got == [
+        ("A", 0, 1, 0, 1, "slack-critical"), ("A", 100, 1, 0, 2, "slack-critical"), ("A", 300, 1, 1, 2, "slack-critical"),
+        ("A", 90_000, 0, 1, 1, "slack-critical"), ("A", 200_000, 1, 1, 1, "slack-critical"),
+        ("B", 50, 1, 0, 1, "slack-alerts"), ("B", 60, 0, 1, 0, "slack-alerts")]
+    lines = A.group_lines(many_alerts(spark, rows))
+    told = sorted((r["alertname"], r["status"], r["text"].split("`")[1]) for r in A.told_at(lines, at(320), "1m").collect())
+    assert told == [("A", "firing", "i2"), ("A", "firing", "i3"), ("A", "resolved", "i1")]
+    assert A.group_changes(many_alerts(spark, rows).limit(0)).count() == 0
+
+
+def test_a_group_of_many_alerts(spark):
+    """One rule fires on 100,000 series, at many moments over some weeks; nothing is gathered."""
+    i = F.col("id")
+    start = F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (i % 5000 * 400).cast("decimal(18,6)"))
+    alerts = spark.range(100_000).select(
+        F.lit("A").alias("alertname"), F.lit("critical").alias("severity"), start.alias("since"), start.alias("fires_at"),
+        F.when(i % 3 != 0, start + F.make_dt_interval(F.lit(0), F.lit(1))).alias("resolved_at"),
+        i.cast("string").alias("instance"), F.lit("s").alias("summary"), F.lit("d").alias("description"))
+    changes = A.group_changes(alerts)
+    last = changes.orderBy(F.col("at").desc()).first()
+    assert last["firing"] == alerts.filter("resolved_at IS NULL").count()
+    assert changes.agg(F.sum("fired")).first()[0] == 100_000 and A.group_lines(alerts).count() == 100_000
+    text = changes._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in text and "_day" in text.split("Window", 1)[1]

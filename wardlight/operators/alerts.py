@@ -2,7 +2,7 @@
 
 A rule turns metrics into condition rows (series, tick, value, firing) on a
 fixed grid; ``sustained`` turns those into alerts with a start and an end; and
-``alert_groups`` turns alerts into the messages of their groups.
+``group_changes`` and ``group_lines`` turn alerts into the messages of their groups.
 """
 
 from __future__ import annotations
@@ -346,9 +346,56 @@ def alert_text(alerts: DataFrame, place: str = "MONITORING") -> DataFrame:
     return alerts.withColumn("text", F.concat_ws("\n", *[line(*spec) for spec in TEXT_LINES[place]]))
 
 
+GROUP = ("alertname", "severity")
+
+
+def group_changes(alerts: DataFrame, place: str = "MONITORING") -> DataFrame:
+    """One row per (alertname, severity) and moment at which an alert of the group fires or resolves.
+
+    ``fired`` and ``resolved`` tell how many do so then, ``firing`` how many
+    fire from then on; receiver and title are the group's. A sweep over the
+    changes: every alert is a step up and, once it has ended, a step down, and
+    the running count is taken within a day on top of the totals of the days
+    before, so a group with very many alerts is spread over its days.
+    """
+    told = routed(alerts, place).select(*GROUP, "receiver", "title", "fires_at", "resolved_at")
+    up, down = F.struct(F.col("fires_at").alias("at"), F.lit(1).alias("step")), F.struct(F.col("resolved_at").alias("at"), F.lit(-1).alias("step"))
+    steps = told.select(*GROUP, "receiver", "title", F.inline(F.array(up, down))).filter(F.col("at").isNotNull())
+    changes = steps.groupBy(*GROUP, "receiver", "title", "at").agg(
+        F.count_if(F.col("step") > 0).alias("fired"), F.count_if(F.col("step") < 0).alias("resolved")
+    ).withColumn("_day", F.to_date("at"))
+    grown = F.col("fired") - F.col("resolved")
+    before = Window.partitionBy(*GROUP).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = changes.groupBy(*GROUP, "_day").agg(F.sum(grown).alias("_sum")).select(
+        *GROUP, "_day", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    until = Window.partitionBy(*GROUP, "_day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return changes.join(days, [*GROUP, "_day"]).withColumn("firing", F.col("_base") + F.sum(grown).over(until)).select(
+        *GROUP, "at", "receiver", "title", "fired", "resolved", "firing")
+
+
+def group_lines(alerts: DataFrame, place: str = "MONITORING") -> DataFrame:
+    """The text of every alert as a row of its group, with the span in which the group tells it.
+
+    A group's message at a moment holds the lines that ``told_at`` leaves, in
+    the order of (text, since). Nothing is gathered, so a group may have any
+    number of alerts.
+    """
+    return alert_text(routed(alerts, place), place).select(*GROUP, "receiver", "title", "since", "fires_at", "resolved_at", "text")
+
+
+def told_at(lines: DataFrame, moment, recent: str | int = "5m") -> DataFrame:
+    """The lines that fire at a moment or have resolved less than ``recent`` before, and which of both."""
+    at = times.moment(moment)
+    gone = F.col("resolved_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(times.seconds_of(recent)).cast("decimal(18,6)"))
+    return lines.filter((F.col("fires_at") <= at) & (F.col("resolved_at").isNull() | (at < gone))).withColumn(
+        "status", F.when(F.col("resolved_at") <= at, F.lit("resolved")).otherwise(F.lit("firing")))
+
+
 def alert_groups(alerts: DataFrame, instants: Column, recent: str | int = "5m", place: str = "MONITORING") -> DataFrame:
     """One row per (alertname, severity, evaluation instant) with something to tell.
 
+    For a few given moments and groups of a modest size; ``group_changes`` and
+    ``group_lines`` tell every change of groups of any size.
     ``instants`` is an array of the moments at which groups are looked at. A
     group tells its alerts that fire then and those that resolved less than
     ``recent`` before; the row has both counts, receiver, title and the lines

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wardlight.operators import alerts as A
@@ -256,44 +258,66 @@ q AS (SELECT k, tick, {_bucket_quantile(0.95)} AS p FROM rolled),
 
 
 def all_alerts(d: Data):
-    """Alerts of two severities over the whole call table, one shape."""
-    slo = A.alert_SLOBreach(d.calls, target=0.8, window=_SIX, **GRID)
-    tokens = A.alert_HighTokenUsage(d.calls, threshold=0.0013, window=_SIX, **GRID)
-    return slo.unionByName(tokens)
+    """Alerts of both severities over the whole call and sample tables, one shape."""
+    rows = [
+        A.alert_SLOBreach(d.calls, target=0.8, window=_SIX, **GRID).withColumn("instance", F.col("instance").cast("string")),
+        A.alert_HighTokenUsage(d.calls, threshold=0.0013, window=_SIX, **GRID).withColumn("instance", F.col("instance").cast("string")),
+        A.alert_PodCrashLooping(_samples(d), threshold=3, window=_SIX, **GRID).drop("series", "container"),
+        A.alert_HighCPUUsage(_samples(d), threshold=0.97, window=_SIX, **GRID).drop("series", "job"),
+    ]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+
+
+_COMMON = "alertname, severity, since, fires_at, resolved_at, summary, description"
+
+
+def _part(name: str, **labels: str) -> str:
+    sql = next(p for p in ALERT_PLANS if p.name == name).sql
+    shown = ", ".join(f"CAST({labels.get(n, 'NULL')} AS STRING) AS {n}" for n in ("instance", "namespace", "pod"))
+    return f"SELECT {_COMMON}, {shown} FROM ({sql})"
+
+
+_BOTH = " UNION ALL ".join((
+    _part("alert_SLOBreach", instance="instance"), _part("alert_HighTokenUsage", instance="instance"),
+    _part("alert_PodCrashLooping", namespace="namespace", pod="pod"), _part("alert_HighCPUUsage", namespace="namespace", instance="instance"),
+))
+
+
+def _line(label: str, value: str, mark: str = "") -> str:
+    """A line of an alert's text that is left out when the alert has no such label."""
+    return f"CASE WHEN coalesce({value}, '') <> '' THEN chr(10) || '*{label}:* {mark}' || {value} || '{mark}' ELSE '' END"
+
+
+_LINES = f"""'*Alert:* ' || alertname || chr(10) || '*Namespace:* ' || coalesce(namespace, '') || chr(10) || '*Severity:* ' || severity || chr(10)
+  || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description || {_line('Instance', 'instance', '`')} || {_line('Pod', 'pod', '`')}"""
+_DEFAULT_LINES = f"""'*Alert:* ' || alertname || chr(10) || '*Severity:* ' || severity || chr(10) || '*Summary:* ' || summary || chr(10)
+  || '*Description:* ' || description || {_line('Instance', 'instance')} || {_line('Pod', 'pod')} || {_line('Namespace', 'namespace')}"""
 
 
-_BOTH = " UNION ALL ".join(
-    "(" + next(p for p in ALERT_PLANS if p.name == name).sql + ")" for name in ("alert_SLOBreach", "alert_HighTokenUsage"))
+def _routing(place: str) -> str:
+    return f"""CASE severity WHEN 'critical' THEN 'slack-critical' ELSE 'slack-alerts' END AS receiver,
+  CASE severity WHEN 'critical' THEN ':rotating_light: CRITICAL' ELSE ':warning:' END || ' [{place}] ' || alertname AS title"""
 
-# the days on which groups are looked at
-_DAYS = ("2024-01-01", "2024-03-31")
 
+def groups_sql(place: str) -> str:
+    """Every change of every group: how many alerts fire or resolve then, and how many fire from then on."""
+    return f"""WITH alerts AS ({_BOTH}),
+moments AS (SELECT alertname, severity, fires_at AS at FROM alerts UNION SELECT alertname, severity, resolved_at FROM alerts WHERE resolved_at IS NOT NULL)
+SELECT m.alertname, m.severity, m.at, {_routing(place).replace('severity', 'm.severity').replace('alertname', 'm.alertname')},
+  count(*) FILTER (a.fires_at = m.at) AS fired, count(*) FILTER (a.resolved_at = m.at) AS resolved,
+  count(*) FILTER (a.fires_at <= m.at AND (a.resolved_at IS NULL OR a.resolved_at > m.at)) AS firing
+FROM moments m JOIN alerts a ON a.alertname = m.alertname AND a.severity = m.severity GROUP BY m.alertname, m.severity, m.at"""
 
-def _instants():
-    return F.sequence(F.lit(_DAYS[0]).cast("timestamp_ntz"), F.lit(_DAYS[1]).cast("timestamp_ntz"), F.expr("INTERVAL 1 DAY"))
 
+def lines_sql(place: str, lines: str) -> str:
+    return f"WITH alerts AS ({_BOTH}) SELECT alertname, severity, {_routing(place)}, since, fires_at, resolved_at, {lines} AS text FROM alerts"
 
-def groups_sql(alerts: str, place: str, lines: str) -> str:
-    return f"""WITH alerts AS ({alerts}), lines AS (SELECT *, {lines} AS line FROM alerts),
-days AS (SELECT unnest(generate_series(TIMESTAMP '{_DAYS[0]}', TIMESTAMP '{_DAYS[1]}', INTERVAL 1 DAY)) AS evaluated_at)
-SELECT alertname, severity, evaluated_at,
-  CASE severity WHEN 'critical' THEN 'slack-critical' ELSE 'slack-alerts' END AS receiver,
-  CASE severity WHEN 'critical' THEN ':rotating_light: CRITICAL' ELSE ':warning:' END || ' [{place}] ' || alertname AS title,
-  count(*) FILTER (resolved_at IS NULL OR evaluated_at < resolved_at) AS firing,
-  count(*) FILTER (resolved_at <= evaluated_at) AS resolved,
-  string_agg(line, chr(10) || chr(10) ORDER BY line, since) AS text
-FROM lines, days WHERE fires_at <= evaluated_at AND (resolved_at IS NULL OR evaluated_at < resolved_at + INTERVAL 1 DAY)
-GROUP BY alertname, severity, evaluated_at"""
 
+def text_sql(lines: str) -> str:
+    return f"WITH alerts AS ({_BOTH}) SELECT alertname, instance, namespace, pod, since, {lines} AS text FROM alerts"
 
-_LINES = """'*Alert:* ' || alertname || chr(10) || '*Namespace:* ' || chr(10) || '*Severity:* ' || severity || chr(10)
-  || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description || chr(10) || '*Instance:* `' || instance || '`'"""
-_DEFAULT_LINES = """'*Alert:* ' || alertname || chr(10) || '*Severity:* ' || severity || chr(10)
-  || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description || chr(10) || '*Instance:* ' || instance"""
 
-_TEXT = f"""WITH alerts AS ({_BOTH}) SELECT alertname, instance, since, '*Alert:* ' || alertname || chr(10) || '*Namespace:* '
-  || chr(10) || '*Severity:* ' || severity || chr(10) || '*Summary:* ' || summary || chr(10) || '*Description:* ' || description
-  || chr(10) || '*Instance:* `' || instance || '`' AS text FROM alerts"""
+_TEXT_COLUMNS = ("alertname", "instance", "namespace", "pod", "since", "text")
 
 
 def _conditions(d: Data):
@@ -426,10 +450,10 @@ SELECT bucket_start, round(traffic_z, 6) AS traffic_z, round(tokens_z, 6) AS tok
   coalesce(traffic_z < -2, false) AS traffic_drop, coalesce(tokens_z > 2, false) AS token_spike, coalesce(latency_z > 2, false) AS latency_anomaly,
   coalesce(traffic_z < -2, false) OR coalesce(tokens_z > 2, false) OR coalesce(latency_z > 2, false) AS anomalous FROM z"""),
     *ALERT_PLANS,
-    Plan("alert_groups", lambda d: A.alert_groups(all_alerts(d), _instants(), "1 day"), groups_sql(_BOTH, "MONITORING", _LINES)),
-    Plan("alert_groups_default", lambda d: A.alert_groups(all_alerts(d), _instants(), "1 day", "DEFAULT"),
-         groups_sql(_BOTH, "DEFAULT", _DEFAULT_LINES)),
-    Plan("alert_text_default", lambda d: A.alert_text(all_alerts(d), "DEFAULT").select("alertname", "instance", "since", "text"),
-         f"WITH alerts AS ({_BOTH}) SELECT alertname, instance, since, {_DEFAULT_LINES} AS text FROM alerts"),
-    Plan("alert_text", lambda d: A.alert_text(all_alerts(d)).select("alertname", "instance", "since", "text"), _TEXT),
+    Plan("alert_groups", lambda d: A.group_changes(all_alerts(d)), groups_sql("MONITORING")),
+    Plan("alert_groups_default", lambda d: A.group_changes(all_alerts(d), "DEFAULT"), groups_sql("DEFAULT")),
+    Plan("alert_group_lines", lambda d: A.group_lines(all_alerts(d)), lines_sql("MONITORING", _LINES)),
+    Plan("alert_group_lines_default", lambda d: A.group_lines(all_alerts(d), "DEFAULT"), lines_sql("DEFAULT", _DEFAULT_LINES)),
+    Plan("alert_text_default", lambda d: A.alert_text(all_alerts(d), "DEFAULT").select(*_TEXT_COLUMNS), text_sql(_DEFAULT_LINES)),
+    Plan("alert_text", lambda d: A.alert_text(all_alerts(d)).select(*_TEXT_COLUMNS), text_sql(_LINES)),
 ]
