@@ -149,3 +149,86 @@ def test_metric_stream_is_readable(spark, tmp_path):
     df.write.parquet(str(tmp_path / "m"))
     assert readers.read_metrics(spark, str(tmp_path / "m")).first()["labels"] == {"a": "b"}
     assert readers.read_metrics(spark, str(tmp_path / "m"), stream=True).isStreaming
+
+
+def gauge_rows(spark, seed=2, n=900):
+    """Samples of three series that go up and down, pause, and stop."""
+    rng = random.Random(seed)
+    found = []
+    for s in ("a", "b", "c"):
+        t, v = 0, 0.7
+        for _ in range(n // 3):
+            t += rng.choice([5, 15, 15, 30, 400 if s == "b" else 20])
+            v = min(1.0, max(0.0, v + rng.choice([-0.1, 0.1, 0.0])))
+            found.append((s, t, round(v, 3)))
+            if s == "c" and t > 2000:
+                break
+    return spark.createDataFrame(found, "series string, s long, value double").select(
+        "series", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("s").cast("decimal(18,6)"))).alias("ts"), "value")
+
+
+@pytest.mark.parametrize("n_files", [1, 7])
+def test_gauge_alerts_from_a_stream_equal_batch(spark, tmp_path, n_files):
+    samples = gauge_rows(spark)
+    files(samples, tmp_path / "samples", "ts", n_files)
+    root, marks = tmp_path / "alerts", tmp_path / "marks"
+
+    def run():
+        signals.stream_gauge_alerts(
+            stream(spark, tmp_path / "samples", samples.schema), ["series"], lambda v: v < 0.6, str(root), str(marks),
+            step=15, lookback="2 minutes", hold="1m", delay="1 minute").awaitTermination()
+        return rows(signals.read_alerts(spark, str(root), [samples.schema["series"]]))
+
+    got = run()
+    final = read_batches(spark, f"{root}/slices", M.slices(samples, ["series"], 15, value=F.max("value")).schema).drop("batch_id")
+    # what has left the stream is what the batch form sees
+    whole = M.slices(samples, ["series"], 15, value=F.max_by("value", F.struct("ts", "value")))
+    assert rows(final) == rows(whole.join(final.agg(F.max("tick").alias("_e")), F.col("tick") <= F.col("_e")).drop("_e"))
+    ticks = M.dense(final, ["series"], 15, "2 minutes")
+    want = rows(A.sustained(A.judged(ticks, F.col("value"), lambda v: v < 0.6), "1m", ["series"], 15).drop("value"))
+    assert got == want and len(want) > 5
+    forget_last_commit(marks)
+    assert run() == want
+
+
+def test_state_holds_a_window_and_no_more(spark, tmp_path):
+    calls = fixture(spark, SF_DIR, "calls")
+    files(calls, tmp_path / "calls", "ts", 5)
+    root = tmp_path / "alerts"
+    signals.stream_alerts(
+        stream(spark, tmp_path / "calls", calls.schema), ["instance"], {"total": F.count(F.lit(1))}, lambda r: r["total"] > 3,
+        str(root), str(tmp_path / "marks"), step=3600, window="6 hours", hold="2h").awaitTermination()
+    kept = spark.read.parquet(f"{root}/state")
+    assert kept.agg(F.max(F.size("recent"))).first()[0] <= 6 and kept.count() > 0
+
+
+@pytest.mark.parametrize("n_files", [1, 8])
+def test_increase_from_a_stream_equals_batch(spark, tmp_path, n_files):
+    """Counters that start over within a slice, between slices and between batches; some samples come out of order."""
+    rng = random.Random(9)
+    found = []
+    for s in ("a", "b"):
+        v = 0
+        for t in range(0, 6000, 5):
+            v = 0 if rng.random() < 0.02 else v + rng.randrange(4)
+            if rng.random() < 0.9:
+                found.append((s, t, float(v)))
+    samples = spark.createDataFrame(found, "series string, s long, value double").select(
+        "series", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("s").cast("decimal(18,6)"))).alias("ts"), "value", "s")
+    # neighbours change files, at most as late as the watermark allows
+    shuffled = samples.withColumn("_at", F.col("s") + F.hash("s", "series") % 60)
+    files(shuffled, tmp_path / "samples", "_at", n_files)
+    path, marks = tmp_path / "grown", tmp_path / "marks"
+
+    def run():
+        source = stream(spark, tmp_path / "samples", shuffled.schema)
+        signals.stream_increase(source, ["series"], str(path), str(marks), step=15, delay="5 minutes").awaitTermination()
+        return signals.read_increase(spark, str(path), [samples.schema["series"]], "2 minutes", 15)
+
+    got = run()
+    last = read_batches(spark, f"{path}/slices", M.counter_slices(samples, ["series"], 15).schema).agg(F.max("tick")).first()[0]
+    grown = M.counter_slices(samples, ["series"], 15).filter(F.col("tick") <= last)
+    want = rows(M.rolling(grown, ["series"], 15, "2 minutes", ["growth"]).withColumnRenamed("growth", "increase"))
+    assert rows(got) == want and len(want) > 600
+    forget_last_commit(marks)
+    assert rows(run()) == want

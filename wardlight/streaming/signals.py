@@ -74,12 +74,14 @@ def read_totals(spark: SparkSession, path: str, by: Sequence[str], schema: T.Str
         *[F.sum(name).cast(schema[name].dataType).alias(name) for name in sums])
 
 
-def _state_schema(series: list[T.StructField]) -> T.StructType:
+def _state_schema(series: list[T.StructField], values: list[T.StructField]) -> T.StructType:
+    recent = T.ArrayType(T.StructType([T.StructField("tick", T.LongType()), *values]))
     return T.StructType([
         *series,
         T.StructField("last_tick", T.LongType()),
         T.StructField("since", T.LongType()),
         T.StructField("fired", T.BooleanType()),
+        T.StructField("recent", recent),
     ])
 
 
@@ -92,19 +94,24 @@ def _event_schema(series: list[T.StructField]) -> T.StructType:
     ])
 
 
+def _carried_on(rows: DataFrame, by, step, window, cols, end) -> DataFrame:
+    """A gauge at each grid second: its last value until it is as old as the window."""
+    return M.dense(rows, by, step, window, end).select(*by, "tick", *cols)
+
+
 def alert_step(
-    fresh: DataFrame, earlier: DataFrame, state: DataFrame, by: Sequence[str], step: str | int,
-    window: str | int, hold: str | int, firing: Callable[[DataFrame], Column], cols: Sequence[str],
+    fresh: DataFrame, state: DataFrame, by: Sequence[str], step: str | int, window: str | int, hold: str | int,
+    firing: Callable[[DataFrame], Column], cols: Sequence[str], gauge: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, new state, runs) of one batch of final slices.
 
     The runs feed both others; the caller may keep them between the two writes.
 
-    ``earlier`` are the slices of former batches, ``state`` has per series its
-    last tick, the start of a run that was still going, and whether that run
-    has fired. The slices of the trailing window are put in front of the new
-    ones, the sums are taken on the dense grid, and the open run of a series
-    takes part as a row at its last tick.
+    ``state`` has per series its last tick, the start of a run that was still
+    going, whether that run has fired, and the slices of its trailing window;
+    of a gauge, the last one. Those are put in front of the new slices, sums or
+    values are taken on the dense grid, and the open run of a series takes part
+    as a row at its last tick. A series' row is bounded by its window.
     """
     width, span, need = map(times.seconds_of, (step, window, hold))
     by = list(by)
@@ -112,15 +119,15 @@ def alert_step(
     # a series that has stopped is looked at as long as a run of it is open
     touched = fresh.select(*by).union(state.filter(F.col("since").isNotNull()).select(*by)).distinct()
     known = touched.join(state, by, "left")
-    recent = earlier.join(known.select(*by, "last_tick"), by).filter(
-        F.col("tick") > F.col("last_tick") - F.lit(span)
-    ).select(*by, "tick", *cols)
-    rolled = M.rolling(recent.unionByName(fresh.select(*by, "tick", *cols)), by, step, window, cols, end)
+    earlier = known.select(*by, F.inline("recent")).select(*by, "tick", *cols)
+    now = earlier.unionByName(fresh.select(*by, "tick", *cols))
+    rolled = (_carried_on if gauge else M.rolling)(now, by, step, window, cols, end)
     judged = rolled.withColumn("firing", F.coalesce(firing(rolled), F.lit(False)))
-    new = judged.join(known, by).filter(
+    slim = known.drop("recent")
+    new = judged.join(slim, by).filter(
         F.col("last_tick").isNull() | (F.col("tick") > F.col("last_tick"))
     ).select(*by, "tick", "firing", F.lit(None).cast("long").alias("_since"), F.lit(False).alias("_fired"))
-    carried = known.filter(F.col("since").isNotNull()).select(
+    carried = slim.filter(F.col("since").isNotNull()).select(
         *by, F.col("last_tick").alias("tick"), F.lit(True).alias("firing"),
         F.col("since").alias("_since"), F.col("fired").alias("_fired"),
     )
@@ -143,11 +150,15 @@ def alert_step(
         *by, "since", F.lit("firing").alias("kind"), (F.col("since") + F.lit(need)).alias("at"))
     ends = runs.filter(F.col("fires") & ~F.col("open")).select(
         *by, "since", F.lit("resolved").alias("kind"), (F.col("until") + F.lit(width)).alias("at"))
-    reached = touched.withColumn("last_tick", end)
     going = runs.filter(F.col("open")).select(*by, "since", F.col("fires").alias("fired"))
-    moved = reached.join(going, by, "left").select(
-        *by, "last_tick", "since", F.coalesce("fired", F.lit(False)).alias("fired"))
-    resting = state.join(touched, by, "left_anti").select(*by, "last_tick", "since", "fired")
+    cell = F.struct("tick", *cols)
+    if gauge:
+        held = now.groupBy(*by).agg(F.array(F.max_by(cell, "tick")).alias("recent"))
+    else:
+        held = now.filter(F.col("tick") > end - F.lit(span)).groupBy(*by).agg(F.collect_list(cell).alias("recent"))
+    moved = touched.withColumn("last_tick", end).join(going, by, "left").join(held, by, "left").select(
+        *by, "last_tick", "since", F.coalesce("fired", F.lit(False)).alias("fired"), "recent")
+    resting = state.join(touched, by, "left_anti").select(*by, "last_tick", "since", "fired", "recent")
     return starts.unionByName(ends), resting.unionByName(moved), runs
 
 
@@ -155,36 +166,31 @@ def stream_alerts(
     events: DataFrame, by: Sequence[str], sums: dict[str, Column],
     firing: Callable[[DataFrame], Column], root: str, checkpoint: str,
     step: str | int = 15, window: str | int = "5 minutes", hold: str | int = "2 minutes",
-    delay: str = DELAY, trigger: dict | None = None,
+    delay: str = DELAY, trigger: dict | None = None, gauge: bool = False,
 ) -> StreamingQuery:
     """Alert on a sliding condition that must hold for a while.
 
     Slices leave the stream once the watermark has passed them and are never
     revised. Each batch writes its slices, its events and the state of every
-    series below ``root``; ``read_alerts`` pairs the events.
+    series below ``root`` and reads the state of the batch before; ``read_alerts``
+    pairs the events. With ``gauge`` the aggregates are last values, which stay
+    in force until ``window`` has passed, instead of sums over it.
     """
     spark = events.sparkSession
     rows = sliced(events, by, step, sums, delay)
     schema = rows.schema
     series = [schema[n] for n in by]
+    kept = _state_schema(series, [schema[n] for n in sums])
 
     def handle(fresh: DataFrame, batch_id: int) -> None:
         write_batch(fresh, f"{root}/slices", batch_id)
-        written = read_batches(spark, f"{root}/slices", schema)
-        now = written.filter(F.col("batch_id") == batch_id)
+        now = spark.read.schema(schema).parquet(f"{root}/slices/batch_id={batch_id}")
+        state = read_batches(spark, f"{root}/state", kept).filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
         if now.isEmpty():  # the end of the evaluation has not moved
             write_batch(spark.createDataFrame([], _event_schema(series)), f"{root}/events", batch_id)
-            write_batch(read_batches(spark, f"{root}/state", _state_schema(series)).filter(
-                F.col("batch_id") == batch_id - 1).drop("batch_id"), f"{root}/state", batch_id)
+            write_batch(state, f"{root}/state", batch_id)
             return
-        state = read_batches(spark, f"{root}/state", _state_schema(series)).filter(
-            F.col("batch_id") == batch_id - 1)
-        # the oldest tick any series of this batch still needs: lets the scan skip row groups
-        going = state.filter(F.col("since").isNotNull()).select(*by).union(now.select(*by)).distinct()
-        floor = state.join(going, list(by), "left_semi").agg(F.min("last_tick")).first()[0]
-        horizon = -(2**62) if floor is None else floor - times.seconds_of(window)
-        earlier = written.filter((F.col("batch_id") < batch_id) & (F.col("tick") > F.lit(horizon)))
-        told, moved, runs = alert_step(now, earlier, state, by, step, window, hold, firing, list(sums))
+        told, moved, runs = alert_step(now, state, by, step, window, hold, firing, list(sums), gauge)
         runs.persist()
         write_batch(told, f"{root}/events", batch_id)
         write_batch(moved, f"{root}/state", batch_id)
@@ -193,6 +199,73 @@ def stream_alerts(
     return each_batch(rows, handle, checkpoint, "append", trigger)
 
 
+def stream_gauge_alerts(
+    samples: DataFrame, by: Sequence[str], firing: Callable[[Column], Column], root: str, checkpoint: str,
+    col: str = "value", step: str | int = 15, lookback: str | int = M.LOOKBACK, hold: str | int = "2 minutes",
+    delay: str = DELAY, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Alert on a gauge whose last known value breaks a limit for a while; a value expires after ``lookback``."""
+    last = {"value": F.max_by(F.col(col), F.struct("ts", col))}
+    return stream_alerts(
+        samples, by, last, lambda r: firing(r["value"]), root, checkpoint, step, lookback, hold, delay, trigger, gauge=True)
+
+
+# Fixed by the arithmetic: what a counter has grown by from one value to the next; after a reset the new value counts.
+def _grown(now: Column, before: Column) -> Column:
+    return F.when(now >= before, now - before).when(now < before, now).otherwise(F.lit(0.0))
+
+
+def stream_increase(
+    samples: DataFrame, by: Sequence[str], path: str, checkpoint: str, step: str | int = 15, delay: str = DELAY,
+    col: str = "value", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Growth of counters per (series, tick), the same as the batch ``metrics.counter_slices``.
+
+    A slice leaves the stream once the watermark has passed it, with its first
+    and last value and the growth between them; the growth since the slice
+    before is taken against the last value of the series, which every batch
+    carries on (folder ``state``). A reset counts from zero, within a slice,
+    between slices and between batches alike. Samples that come later than
+    ``delay`` are dropped. Batches write ``slices`` below ``path``;
+    ``read_increase`` sums them over a window.
+    """
+    spark = samples.sparkSession
+    by = list(by)
+    # the samples of one series in one grid second, in time order
+    inside = F.array_sort(F.collect_list(F.struct(F.col("ts").alias("ts"), F.col(col).cast("double").alias("value"))))
+    rows = sliced(samples, by, step, {"_all": inside}, delay)
+    series = [rows.schema[n] for n in by]
+    kept = T.StructType([*series, T.StructField("last", T.DoubleType())])
+
+    def handle(fresh: DataFrame, batch_id: int) -> None:
+        cells = F.col("_all")
+        steps = F.transform(F.sequence(F.lit(2), F.greatest(F.size(cells), F.lit(2))), lambda i: _grown(
+            F.get(cells, i - 1)["value"], F.get(cells, i - 2)["value"]))
+        parts = fresh.select(
+            *by, "tick", F.aggregate(steps, F.lit(0.0), lambda x, y: x + y).alias("_inner"),
+            F.get(cells, F.lit(0))["value"].alias("_first"), F.element_at(cells, -1)["value"].alias("_last")).persist()
+        state = read_batches(spark, f"{path}/state", kept).filter(F.col("batch_id") == batch_id - 1).drop("batch_id")
+        order = M.series_order(by)
+        before = F.coalesce(F.lag("_last").over(order), F.col("last"))
+        grown = parts.join(state, by, "left").select(*by, "tick", (F.col("_inner") + _grown(F.col("_first"), before)).alias("growth"))
+        write_batch(grown, f"{path}/slices", batch_id)
+        newest = parts.groupBy(*by).agg(F.max_by("_last", "tick").alias("last"))
+        write_batch(state.join(newest, by, "left_anti").unionByName(newest), f"{path}/state", batch_id)
+        parts.unpersist()
+
+    return each_batch(rows, handle, checkpoint, "append", trigger)
+
+
+def read_increase(
+    spark: SparkSession, path: str, series: list[T.StructField], window: str | int = "15 minutes", step: str | int = 15
+) -> DataFrame:
+    """(series, tick, increase) over a sliding window, up to the last slice that has left the stream."""
+    by = [f.name for f in series]
+    schema = T.StructType([*series, T.StructField("tick", T.LongType()), T.StructField("growth", T.DoubleType())])
+    grown = read_batches(spark, f"{path}/slices", schema).drop("batch_id")
+    return M.rolling(grown, by, step, window, ["growth"]).withColumnRenamed("growth", "increase")
+
+
 def read_alerts(spark: SparkSession, root: str, series: list[T.StructField]) -> DataFrame:
     """One row per fired run: since, fires_at and, once it ended, resolved_at."""
     told = read_batches(spark, f"{root}/events", _event_schema(series))
