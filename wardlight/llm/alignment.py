@@ -38,9 +38,9 @@ PIECE = 256
 # Characters of documents that a task aligns together; a longer text is alone.
 BATCH_CHARS = 2_000_000
 # Bytes of stretches and their ids that a task remembers.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 96 << 20
 # What a remembered stretch takes beside its characters and ids.
-_ENTRY_BYTES = 300
+_ENTRY_BYTES = 200
 # Stretches that are tokenized in one go.
 TOGETHER = 2000
 # Pairs of ids whose counts are sent to all tasks; with more, the counts are joined by a shuffle.
@@ -124,9 +124,9 @@ class Tokenizers:
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         self.spelling = Spelling(max(len(self.a_bytes), len(self.b_bytes)))
-        # stretch: ids of A, ids of B, both as bytes; none where they spell other bytes than the text
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        # stretch: as 32-bit numbers how many ids of A there are, those, and the ids of B; nothing where they spell other bytes than the text
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remembered, self.held = remembered, 0
 
     def learn(self, stretches: set[str]) -> None:
@@ -145,14 +145,14 @@ class Tokenizers:
                 new.difference_update(some)
         for own in new:
             if not self._tokenized([own]):
-                self._keep(own, None)
+                self._keep(own, b"")
 
     def _tokenized(self, some: list[str]) -> bool:
         """Tokenize stretches as one text and keep the ids of each; False if tokens do not spell the text or cross its cuts."""
         text = " ".join(some)
         raw = (" " + text).encode()
         ends = np.cumsum([1 + len(x.encode()) for x in some])
-        parts = []
+        counts, parts = [], []
         for ids, spelled, sizes in (
             (self.a.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, self.a_sizes),
             (self.b.encode(text), self.b_bytes, self.b_sizes),
@@ -164,17 +164,17 @@ class Tokenizers:
             at = np.searchsorted(stops, ends)
             if not np.array_equal(stops[at], ends):
                 return False
+            counts.append(np.diff(at, prepend=-1))
             whole, cuts = flat.tobytes(), [0, *(4 * (at + 1)).tolist()]
             parts.append([whole[s:e] for s, e in zip(cuts, cuts[1:])])
-        for own, a, b in zip(some, *parts):
-            self._keep(own, (a, b))
+        heads = counts[0].astype("<i4").tobytes()
+        for n, (own, a, b) in enumerate(zip(some, *parts)):
+            self._keep(own, heads[4 * n:4 * n + 4] + a + b)
         return True
 
-    def _keep(self, own: str, found: tuple[bytes, bytes] | None) -> None:
+    def _keep(self, own: str, found: bytes) -> None:
         self.known[own] = found
-        self.held += 2 * len(own) + _ENTRY_BYTES
-        if found is not None:
-            self.held += len(found[0]) + len(found[1])
+        self.held += 2 * len(own) + len(found) + _ENTRY_BYTES
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts one after another: ids of A and of B, and how many of each every text has.
@@ -188,20 +188,21 @@ class Tokenizers:
         found = [self.known[own] for own in distinct]
         at = np.array([n for parts in cut for n in map(place.__getitem__, parts)], np.int64)
         text = np.repeat(np.arange(len(texts)), [len(parts) for parts in cut])
-        bad = np.array([x is None for x in found], bool)
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        bad = sizes == 0
         if bad.any():
             refused = np.zeros(len(texts), bool)
             refused[text[bad[at]]] = True
             at, text = at[~refused[text]], text[~refused[text]]
+        flat = np.frombuffer(b"".join(found), "<i4")
+        first = np.cumsum(sizes) - sizes
+        n_a = np.zeros(len(sizes), np.int64)
+        n_a[~bad] = flat[first[~bad]]
         out = []
-        for side in (0, 1):
-            own = [x[side] if x else b"" for x in found]
-            flat = np.frombuffer(b"".join(own), "<i4")
-            sizes = np.array([len(x) // 4 for x in own], np.int64)
-            first = np.cumsum(sizes) - sizes
-            n = sizes[at]
+        for start, n in ((first + 1, n_a), (first + 1 + n_a, sizes - 1 - n_a)):
+            n = n[at]
             # the tokens of every stretch, stretch by stretch
-            take = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            take = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out.append((flat[take].astype(np.int64), np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)))
         return out[0][0], out[1][0], out[0][1], out[1][1]
 
