@@ -291,6 +291,56 @@ def test_whole_items_are_found(spark):
     assert wanted and wanted <= got and len({i for i, _ in got - wanted}) <= 2
 
 
+def aligned_items(words, items):
+    """Of short items against one text: item -> (equal words, -first word), every alignment tried."""
+    found = {}
+    for item, own in items.items():
+        need = len(own) if len(own) < 8 else len(own) - 1
+        for offset in range(1 - len(own), len(words)):
+            pairs = [(k, words[offset + k] == w) for k, w in enumerate(own) if 0 <= offset + k < len(words)]
+            equal = sum(same for _, same in pairs)
+            if own and equal >= need:
+                found[item] = max(found.get(item, (0, 0)), (equal, -(offset + pairs[0][0])))
+    return found
+
+
+@pytest.mark.parametrize("letters, seed", [(3, 1), (8, 2), (40, 3)])
+def test_short_items_equal_brute_force(spark, letters, seed):
+    rng = random.Random(seed)
+
+    def text(n):
+        return [f"w{rng.randrange(letters)}" for _ in range(n)]
+
+    items = {i: text(rng.randrange(1, 13)) for i in range(60)}
+    docs = {}
+    for i in range(80):
+        words = text(rng.randrange(0, 60))
+        for _ in range(rng.randrange(4)):
+            own = list(items[rng.randrange(60)])
+            own[rng.randrange(len(own))] = rng.choice(["other", own[0]])
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own
+        docs[i] = words
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_equal, -r.first_word) for r in decontaminate.find_overlaps(frame, bench).collect()}
+    wanted = {(i, j): v for i, w in docs.items() for j, v in aligned_items(w, items).items()}
+    assert got == wanted and len(wanted) > 10
+    kept = {r.doc_id for r in decontaminate.without_benchmark(frame, bench).collect()}
+    assert kept == set(docs) - {i for i, j in wanted if len(items[j]) >= decontaminate.SHORTEST}
+
+
+def test_one_word_changed_in_a_short_item(spark):
+    item = [f"w{k}" for k in range(10)]
+    around = [f"x{k}" for k in range(100)]
+    docs = [(k, " ".join(around + [*item[:k], "other", *item[k + 1:]] + around)) for k in range(10)]
+    docs += [(10, " ".join(around + [*item[:3], "other", *item[4:6], "other", *item[7:]] + around)), (11, " ".join(around + item[:6] + around))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:6]))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.last_word, r.n_equal) for r in
+                 decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert got == sorted([(k, 7, 100, 109, 9) for k in range(10)] + [(k, 8, 100, 105, 6) for k in (6, 7, 8, 9, 11)])
+
+
 def test_urls_equal_plain(spark):
     pages = pd.read_parquet(f"{FOLDER}/pages.parquet")
     got = {r.page_id: (r.host, r.path, r.rule) for r in rows(spark, "op9_url_filter")}
