@@ -171,3 +171,19 @@ def test_skip_seen_and_lookup(spark):
     got = {r["requested_id"]: r for r in views.get_incident(stored, new).collect()}
     assert got["b"]["status"] == "processed" and got["b"]["severity"] == "LOW"
     assert got["a"]["status"] == "Not processed" and got["a"]["incident_id"] is None
+
+
+def test_feedback_meets_the_report_in_force(spark):
+    """Several reports and much feedback for one incident, in any order of rows."""
+    rng = random.Random(8)
+    reports = [(rng.choice("aaab"), rng.choice(["LOW", "HIGH", None]), T0 + timedelta(hours=rng.randrange(200))) for _ in range(60)]
+    given = [(rng.choice("aaabc"), n, rng.choice(["LOW", "HIGH"]), T0 + timedelta(hours=rng.randrange(200))) for n in range(150)]
+    given += [("a", 900, "LOW", None), (None, 901, "LOW", T0)]
+    feedback = spark.createDataFrame(given, "incident_id string, n int, human_severity string, reviewed_at timestamp_ntz")
+    table = spark.createDataFrame([*reports, ("a", "LOW", None), (None, "LOW", T0)], "incident_id string, severity string, reported_at timestamp_ntz")
+    got = {r["n"]: (r["original_severity"], r["agrees"]) for r in store.feedback_in_force(feedback, table).collect()}
+    for key, n, label, when in given:
+        known = [(at, s is not None, s or "") for k, s, at in reports if k == key and when is not None and at <= when]
+        want = (max(known)[2] or None) if known else None
+        assert got[n] == (want, None if want is None else want == label), n
+    assert len(got) == len(given) and store.feedback_in_force(feedback, table.limit(0)).filter("original_severity IS NOT NULL").count() == 0

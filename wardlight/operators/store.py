@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight import schemas
@@ -127,7 +127,8 @@ def feedback_vs_report(feedback: DataFrame, reports: DataFrame) -> DataFrame:
     """Fill original_severity from the report and say whether the human agreed.
 
     ``reports`` holds one row per incident_id. A left join: adaptive execution
-    splits a hot incident on the feedback side.
+    splits a hot incident on the feedback side. Where an incident has several
+    reports in the course of time, see ``feedback_in_force``.
     """
     labels = reports.select("incident_id", F.col("severity").alias("_label"))
     return feedback.drop("original_severity").join(labels, "incident_id", "left").select(
@@ -136,3 +137,33 @@ def feedback_vs_report(feedback: DataFrame, reports: DataFrame) -> DataFrame:
         "human_severity",
         (F.col("_label") == F.col("human_severity")).alias("agrees"),
     )
+
+
+def feedback_in_force(feedback: DataFrame, reports: DataFrame) -> DataFrame:
+    """Feedback against the report that was in force when it was given.
+
+    ``feedback`` has ``reviewed_at``, ``reports`` is (incident_id, severity,
+    reported_at) with any number of rows for an incident. The report in force is
+    the last one up to that time; of several at one time, the greatest severity
+    as text. Feedback given before any report has no original severity. All
+    feedback rows stay, those without an id or a time without a report.
+
+    Both kinds of rows meet as one sequence per incident and day, which carries
+    the last report on; the reports of earlier days come from one row per
+    incident and day. So an incident with very many rows is spread over its days.
+    """
+    own = [c for c in feedback.columns if c != "original_severity"]
+    marks = reports.filter(F.col("reported_at").isNotNull() & F.col("incident_id").isNotNull()).select(
+        "incident_id", F.col("reported_at").alias("_at"), F.struct(F.col("severity").alias("label")).alias("_report"))
+    asked = feedback.select(*own, F.col("reviewed_at").alias("_at"), F.lit(None).cast(marks.schema["_report"].dataType).alias("_report"))
+    rows = asked.withColumn("_asked", F.lit(1)).unionByName(marks.withColumn("_asked", F.lit(0)), allowMissingColumns=True)
+    rows = rows.withColumn("_day", F.to_date("_at"))
+    days = rows.groupBy("incident_id", "_day").agg(
+        F.max_by("_report", F.when(F.col("_report").isNotNull(), F.struct("_at", "_report"))).alias("_last"))
+    earlier = Window.partitionBy("incident_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("incident_id", "_day", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("incident_id", "_day").orderBy("_at", "_asked", "_report").rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumn("_now", F.last("_report", ignorenulls=True).over(inside)).join(before, ["incident_id", "_day"], "left")
+    label = F.coalesce("_now", "_before")["label"]
+    return told.filter(F.col("_asked") == 1).select(
+        *own, label.alias("original_severity"), (label == F.col("human_severity")).alias("agrees"))

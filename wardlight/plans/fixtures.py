@@ -125,6 +125,15 @@ FROM @orders""",
   CASE o_orderkey % 5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS human_severity,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'seen by ' || o_orderstatus END AS comment
 FROM @orders""",
+    # reports in the course of time, a second one for every other incident, and feedback before, between, after and at once with them
+    "timed_reports": f"""SELECT CAST(o_orderkey AS STRING) AS incident_id, {_LABEL} AS severity, o_orderdate + INTERVAL '1' DAY AS reported_at FROM @orders
+UNION ALL
+SELECT CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN 'LOW' ELSE NULL END, o_orderdate + INTERVAL '3' DAY FROM @orders WHERE o_orderkey % 2 = 0
+UNION ALL
+SELECT CAST(o_orderkey AS STRING), 'CRITICAL', o_orderdate + INTERVAL '27' HOUR FROM @orders WHERE o_orderkey % 5 = 0""",
+    "timed_feedback": """SELECT CAST(o_orderkey AS STRING) AS incident_id,
+  CASE o_orderkey % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'LOW' END AS human_severity,
+  o_orderdate + (o_orderkey % 5) * INTERVAL '1' DAY AS reviewed_at FROM @orders""",
     # web-server log lines: padded, mixed case levels, without client, other shapes
     "log_lines": """SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'garbage line'
   ELSE CASE WHEN event_id % 9 = 0 THEN '  ' ELSE '' END || '[' || CAST(ts AS STRING) || '] ['
@@ -147,6 +156,7 @@ FROM @events""",
     "calls": """SELECT event_id, ts, user_id % 3 AS instance, value / 25 AS duration_s,
   100 + event_id % 400 AS prompt_tokens, 20 + event_id % 80 AS completion_tokens,
   CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+  CASE WHEN event_type = 'error' THEN event_id % 3 ELSE 0 END AS retries,
   CAST(event_id % 101 AS DOUBLE) / 100 AS confidence,
   CASE event_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS severity
 FROM @events""",

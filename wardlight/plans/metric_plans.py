@@ -397,7 +397,7 @@ p AS (SELECT n, n / sum(n) OVER () AS p FROM c)
 SELECT CAST(sum(n) AS BIGINT) AS incidents, round(-sum(p * ln(p)), {_ROUND}) AS entropy FROM p"""),
     Plan("token_cost_totals", lambda d: _rounded(M.token_cost_totals(d.calls), "cost_usd"),
          f"""SELECT CAST(sum(prompt_tokens) AS BIGINT) AS input_tokens, CAST(sum(completion_tokens) AS BIGINT) AS output_tokens,
-  count(*) AS calls, count(*) FILTER (status >= 500) AS errors, CAST(0 AS BIGINT) AS retries, round({_COST}, {_ROUND}) AS cost_usd FROM fx_calls"""),
+  count(*) AS calls, count(*) FILTER (status >= 500) AS errors, CAST(sum(retries) AS BIGINT) AS retries, round({_COST}, {_ROUND}) AS cost_usd FROM fx_calls"""),
     Plan("cost_rollup",
          lambda d: _rounded(M.cost_rollup(d.calls, ["instance"]), "cost_usd", "cost_per_request", "cost_per_second", "cost_per_day"),
          f"""WITH s AS (SELECT instance, count(*) AS calls, {_COST} AS c, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS seconds

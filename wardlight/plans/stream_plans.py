@@ -137,6 +137,50 @@ _FINAL_ALERTS = f"""WITH {MP.shares_sql('instance', _PASSED)},
 SELECT k AS instance, {MP.span_sql(MP._HOLD)} FROM runs"""
 
 
+_HELD = {"step": MP.HOUR, "hold": "2h"}
+
+
+def _gauge_alerts(samples, by: list[str], limit, col: str = "value"):
+    """Run an alert over the last values of a stream; by ``by`` the series."""
+    spark = samples.sparkSession
+    root, marks = work_folder(spark, "alerts"), work_folder(spark, "marks")
+    signals.stream_gauge_alerts(samples, by, limit, root, marks, col=col, lookback="1 day", **_HELD).awaitTermination()
+    return signals.read_alerts(spark, root, [samples.schema[n] for n in by])
+
+
+def _low_confidence(d: Data):
+    calls = _stream(d, "calls").withColumn("label", F.col("severity"))
+    return _gauge_alerts(calls, ["instance", "label"], lambda v: v < 0.8, "confidence")
+
+
+def _high_memory(d: Data):
+    return _gauge_alerts(A.samples_of(_stream(d, "metrics"), A.MEMORY_BYTES), ["series"], lambda v: v > 430_000_000)
+
+
+def _increases(d: Data):
+    path, marks = work_folder(d.spark, "grown"), work_folder(d.spark, "marks")
+    samples = A.samples_of(_stream(d, "metrics"), A.RESTARTS)
+    signals.stream_increase(samples, ["series"], path, marks, step=MP.HOUR).awaitTermination()
+    rows = signals.read_increase(d.spark, path, [samples.schema["series"]], MP._SIX, MP.HOUR)
+    return MP._rounded(rows, "increase")
+
+
+def _passed(name: str) -> str:
+    """The rows of a table whose slice the watermark has passed, as a table ``done``."""
+    return f"done AS (SELECT * FROM {name} WHERE ({MP.tick_sql()}) * 1000000 <= (SELECT max(epoch_us(ts)) - 600000001 FROM {name}))"
+
+
+_FINAL_CONFIDENCE = f"""WITH {_passed('fx_calls')}, {MP.gauge_sql('done', "instance || '/' || severity", 'confidence', MP.HOUR, 24 * MP.HOUR)},
+{MP.runs_sql('rolled', 'v', 'value < 0.8::DOUBLE', MP._HOLD)}
+SELECT CAST(split_part(k, '/', 1) AS BIGINT) AS instance, split_part(k, '/', 2) AS label, {MP.span_sql(MP._HOLD)} FROM runs"""
+_FINAL_MEMORY = f"""WITH {MP._named('process_resident_memory_bytes')}, {_passed('samples')},
+{MP.gauge_sql('done', 'series', 'value', MP.HOUR, 24 * MP.HOUR)},
+{MP.runs_sql('rolled', 'v', 'value > 430000000', MP._HOLD)} SELECT k AS series, {MP.span_sql(MP._HOLD)} FROM runs"""
+_FINAL_INCREASE = f"""WITH {MP._named('kube_pod_container_status_restarts_total')}, {_passed('samples')},
+{MP.counter_sql('done', 'series')}, {MP.rolling_sql('grown', 'series', ['growth'], MP.HOUR, MP._SIX)}
+SELECT k AS series, tick, growth AS increase FROM rolled"""
+
+
 def _sql(name: str) -> str:
     plans = {p.name: p.sql for p in (*MP.PLANS, *TP.PLANS)}
     return plans[name]
@@ -153,4 +197,7 @@ PLANS = [
     Plan("stream_latency_histogram", _running_histogram, _sql("latency_histogram")),
     Plan("stream_latest_confidence", _running_confidence, _sql("latest_confidence")),
     Plan("stream_alerts", _alerts, _FINAL_ALERTS),
+    Plan("stream_low_confidence_alerts", _low_confidence, _FINAL_CONFIDENCE),
+    Plan("stream_high_memory_alerts", _high_memory, _FINAL_MEMORY),
+    Plan("stream_increase", _increases, _FINAL_INCREASE),
 ]

@@ -372,6 +372,10 @@ FROM fx_incidents"""),
     Plan("feedback_vs_report", lambda d: _as_text(store.feedback_vs_report(d.feedback, _reports(d)), "agrees"),
          f"""WITH {_REPORT} SELECT f.incident_id, r.severity AS original_severity, f.human_severity,
   CAST(r.severity = f.human_severity AS STRING) AS agrees FROM fx_feedback f LEFT JOIN reports r ON r.incident_id = f.incident_id"""),
+    Plan("feedback_in_force", lambda d: _as_text(store.feedback_in_force(d.timed_feedback, d.timed_reports), "agrees"),
+         """SELECT f.incident_id, f.human_severity, f.reviewed_at, r.severity AS original_severity,
+  CAST(r.severity = f.human_severity AS STRING) AS agrees
+FROM fx_timed_feedback f ASOF LEFT JOIN fx_timed_reports r ON f.incident_id = r.incident_id AND f.reviewed_at >= r.reported_at"""),
     Plan("apply_reviews",
          lambda d: reviews.apply_reviews(d.incidents, d.reviews).select(
              "incident_id", "severity", "human_reviewed", "needs_review", "reviewer_notes", "reviewed_by",
