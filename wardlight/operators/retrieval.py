@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlight.functions import text as X
+from wardlight.operators.common import evaluated
 
 # The search functions travel to the executors as code, so that the package
 # does not have to be installed there.
@@ -22,6 +25,9 @@ CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 100
 CONTEXT_TEXTS = 2
 
+# Where texts are cut, in the order of preference; the empty one is between any two characters.
+SEPARATORS = ("\n\n", "\n", " ", "")
+
 # Query vectors that may travel to every task; more go through blocks.
 INLINE_QUERIES = 2048
 INLINE_BYTES = 64 * 1024 * 1024
@@ -61,6 +67,87 @@ def chunk_documents(
     )
 
 
+def _atoms(text: Column, separators: Sequence[str], size: int) -> Column:
+    """The pieces that chunks are made of, in order, as (piece, wall).
+
+    A text is cut before each separator; pieces that are still too long are cut
+    at the next one. Those stand between two empty pieces with ``wall``, since
+    pieces of one cut are not merged with those of another.
+    """
+    sep, rest = separators[0], separators[1:]
+    if sep == "":
+        cuts = F.filter(F.split(text, "", -1), lambda x: x != "")
+        return F.transform(cuts, lambda x: F.struct(x.alias("piece"), F.lit(False).alias("wall")))
+    parts = F.transform(F.split(text, re.escape(sep), -1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(sep), x)))
+
+    def inner(x: Column) -> Column:
+        whole = F.array(F.struct(x.alias("piece"), F.lit(False).alias("wall")))
+        wall = F.array(F.struct(F.lit("").alias("piece"), F.lit(True).alias("wall")))
+        long = F.concat(wall, _atoms(x, rest, size) if rest else whole, wall)
+        return F.when(F.length(x) < size, whole).otherwise(long)
+
+    return F.flatten(F.transform(F.filter(parts, lambda x: x != ""), inner))
+
+
+def _merged_spans(atoms: Column, size: int, overlap: int) -> Column:
+    """Chunks as (first, n) spans of pieces: greedy, each carrying on the tail of the one before.
+
+    The state holds the open chunk's first piece and the lengths of its pieces,
+    at most ``size`` of them.
+    """
+    sized = F.transform(atoms, lambda a, i: F.struct(F.length(a["piece"]).alias("len"), a["wall"].alias("wall"), i.alias("i")))
+    start = F.struct(
+        F.array().cast("array<struct<first:int,n:int>>").alias("out"), F.lit(0).alias("first"),
+        F.array().cast("array<int>").alias("lens"), F.lit(0).alias("total"))
+
+    def closed(s: Column) -> Column:
+        span = F.array(F.struct(s["first"].alias("first"), F.size(s["lens"]).alias("n")))
+        return F.when(F.size(s["lens"]) > 0, F.concat(s["out"], span)).otherwise(s["out"])
+
+    def state(out, first, lens, total) -> Column:
+        return F.struct(out.alias("out"), first.alias("first"), lens.alias("lens"), total.alias("total"))
+
+    def step(s: Column, a: Column) -> Column:
+        def drop(left: Column, x: Column) -> Column:
+            go = (left["total"] > overlap) | ((left["total"] + a["len"] > size) & (left["total"] > 0))
+            return F.struct((left["total"] - F.when(go, x).otherwise(0)).alias("total"), (left["k"] + go.cast("int")).alias("k"))
+
+        kept = F.aggregate(s["lens"], F.struct(s["total"].alias("total"), F.lit(0).alias("k")), drop)
+        tail = F.concat(F.slice(s["lens"], kept["k"] + 1, F.size(s["lens"])), F.array(a["len"]))
+        return (
+            F.when(a["wall"], state(closed(s), a["i"] + 1, F.array().cast("array<int>"), F.lit(0)))
+            .when(s["total"] + a["len"] > size, state(closed(s), s["first"] + kept["k"], tail, kept["total"] + a["len"]))
+            .otherwise(state(s["out"], s["first"], F.concat(s["lens"], F.array(a["len"])), s["total"] + a["len"]))
+        )
+
+    return F.aggregate(sized, start, step, closed)
+
+
+def split_documents(
+    docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = SEPARATORS, col: str = "text"
+) -> DataFrame:
+    """Chunks of at most ``size`` characters that end at paragraphs, lines, words, or else anywhere.
+
+    A text is cut before the first of the separators, pieces that are not
+    shorter than ``size`` before the next one, and so on. Neighbouring pieces of
+    one cut are put together while they fit; a new chunk begins with the last
+    pieces of the one before, up to ``overlap`` characters as far as they leave
+    room for the next piece. White space around a chunk goes, and empty chunks
+    do. Null and empty texts have none. Without an empty separator a piece may
+    stay longer than ``size``. Any overlap below the size will do. The texts
+    are cut once and chunks joined from pieces, so the cost grows with the text.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than the size")
+    cut = evaluated(docs.filter(F.length(col) > 0), _atoms=_atoms(F.col(col), list(separators), size))
+    spans = evaluated(cut, _spans=_merged_spans(F.col("_atoms"), size, overlap))
+    pieces = F.transform("_atoms", lambda a: a["piece"])
+    texts = evaluated(spans, _pieces=pieces).select("*", F.filter(
+        F.transform("_spans", lambda p: X.strip(F.array_join(F.slice("_pieces", p["first"] + 1, p["n"]), ""))),
+        lambda x: x != "").alias("_chunks"))
+    return texts.select(*[c for c in docs.columns if c != col], F.posexplode("_chunks").alias("chunk_no", "chunk"))
+
+
 def _nearest(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int):
     """Per query the k nearest rows: distance first, then the smaller id.
 
