@@ -88,6 +88,42 @@ def test_repeated_secrets_are_found(gap):
         assert key not in secret_scan.masked(text.text, spans)
 
 
+def test_parts_of_a_web_token_are_one_secret():
+    novelty = secret_scan.Novelty()
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+    parts = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", *["".join(rng.choices(letters, k=k)) for k in (90, 43)]]
+    whole = ".".join(parts)
+    for text, start in ((f"Authorization: Bearer {whole} ok", 22), (f"session {whole}. Next sentence", 8)):
+        found = secret_scan.all_spans(secret_scan.Text(text.encode(), True), novelty)[1]
+        assert found == [(start, start + len(whole), 3)]
+        assert not any(p in secret_scan.masked(text, found) for p in parts)
+    plain_name = f"the credential is configuration_environment_variable.{parts[1]} here"
+    assert parts[1] not in secret_scan.masked(plain_name, secret_scan.all_spans(secret_scan.Text(plain_name.encode(), True), novelty)[1])
+
+
+def test_a_dump_of_many_keys_takes_linear_time():
+    import time
+
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=32)) for _ in range(8000)]
+    taken = []
+    for n in (2000, 8000):
+        text = "\n".join(f"private key {k} of a user with some filler words around it {' text' * 40}" for k in keys[:n])
+        text += "\n" + " ".join(keys[:n])
+        start = time.process_time()
+        found = secret_scan.all_spans(secret_scan.Text(text.encode(), True), secret_scan.Novelty())[1]
+        taken.append(time.process_time() - start)
+        assert sum(kind == 3 for *_, kind in found) == 2 * n
+    assert taken[1] < 8 * taken[0]
+
+
+def test_a_span_is_covered_by_a_far_start():
+    held = secret_scan.Cover([(0, 100, 0), *[(i, i + 2, 2) for i in range(10, 60, 5)]])
+    assert held.holds((70, 90, 3)) and not held.holds((90, 101, 3)) and not secret_scan.Cover([]).holds((0, 1, 3))
+
+
 def test_archives_equal_plain(spark):
     pages = pd.read_parquet(f"{FOLDER}/pages.parquet")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows(spark, "op3_warc")), key=str)

@@ -6,6 +6,7 @@ by a compressor primed with a dictionary of identifiers; the bytes that it adds
 to its surroundings alone, per character, are its novelty. Names and paths cost
 little; random strings cost nearly their entropy. Other copies of a string are
 blanked out of its surroundings, and every copy of a new string is reported.
+Strings that points join, like the parts of a web token, are one candidate.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -30,8 +33,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
-# A candidate: a run of at least so many characters, so near after a sensitive word.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+# A candidate: a run of at least so many characters, so near after a sensitive word, and long runs that points join to it.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?:\.[A-Za-z0-9+/_=-]{16,})*")
 LEAST_RUN = 20
 RUN = byte_class(r"[A-Za-z0-9+/_=-]") & (np.arange(256) < 128)
 SENSITIVE = re.compile(r"(?ai)(?:key|auth|bearer|credential|private|pass|pwd|secret|token|signature|session)")
@@ -107,26 +110,46 @@ class Novelty:
         return added / len(own)
 
     def spans(self, text: Text) -> list[Span]:
-        """Candidates in a sensitive context that do not compress, and all other places of their values."""
+        """Candidates in a sensitive context with a part that does not compress, and all other places of such parts."""
         new: dict[str, bool] = {}
         found = []
+
+        def told(at: int) -> bool:
+            return SENSITIVE.search(text.text, max(0, at - REACH), at) is not None
+
         for m in text.runs:
-            if SENSITIVE.search(text.text, max(0, m.start() - REACH), m.start()):
-                value = value_of(m[0])
-                if not new.get(value):
-                    new[value] = self.measure(text.text, m.start(), m.end()) >= NOVEL
-                if new[value]:
-                    found.append((m.start(), m.end(), 3))
-        held = [(s, e) for s, e, _ in found]
-        for value in [v for v, is_new in new.items() if is_new]:
-            at = text.text.find(value)
-            while at >= 0:
-                if not _covered((at, at + len(value), 3), held):
-                    found.append((at, at + len(value), 3))
-                at = text.text.find(value, at + len(value))
+            near, start, hit = told(m.start()), m.start(), False
+            for part in m[0].split("."):
+                end = start + len(part)
+                if near or told(start):
+                    value = value_of(part)
+                    if not new.get(value):
+                        new[value] = self.measure(text.text, start, end) >= NOVEL
+                    hit |= new[value]
+                start = end + 1
+            if hit:
+                found.append((m.start(), m.end(), 3))
+        held = Cover(found)
+        found += [s for s in places([v for v, is_new in new.items() if is_new], text.text) if not held.holds(s)]
         return sorted(set(found))
 
 
+def places(values: list[str], text: str) -> Iterator[Span]:
+    """All places of all values in a text, those of one value not overlapping, in one pass."""
+    if not values:
+        return
+    tree = ahocorasick.Automaton()
+    for value in values:
+        tree.add_word(value, value)
+    tree.make_automaton()
+    free: dict[str, int] = {}
+    for last, value in tree.iter(text):
+        start = last + 1 - len(value)
+        if start >= free.get(value, 0):
+            free[value] = last + 1
+            yield start, last + 1, 3
+
+
 def value_of(run: str) -> str:
     """What stands after the last inner equals sign of a run, if it is long enough to be a candidate; else the run."""
     value = run.rstrip("=").rpartition("=")[2]
@@ -137,20 +160,29 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, end, kind in spans)
 
 
+class Cover:
+    """Intervals, of which one may hold a given one."""
+
+    def __init__(self, spans: list[Span]):
+        spans = sorted(spans)
+        self.starts = [s for s, _, _ in spans]
+        self.ends = list(accumulate((e for _, e, _ in spans), max))
+
+    def holds(self, span: Span) -> bool:
+        at = bisect.bisect_right(self.starts, span[0])
+        return at > 0 and self.ends[at - 1] >= span[1]
+
+
 def all_spans(text: Text, novelty: Novelty) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and added ones together. An added span that a base span covers is left out."""
     base = base_spans(text)
-    held = [(s, e) for s, e, _ in base]
-    added = [s for s in novelty.spans(text) if not _covered(s, held)]
+    added = novelty.spans(text)
+    if added:
+        held = Cover(base)
+        added = [s for s in added if not held.holds(s)]
     return base, sorted(base + added, key=lambda s: (s[0], s[2])) if added else base
 
 
-def _covered(span: Span, held: list[tuple[int, int]]) -> bool:
-    """Whether one of the intervals, sorted by start, holds the span."""
-    at = bisect.bisect_right(held, (span[0], 1 << 60))
-    return any(end >= span[1] for _, end in held[max(0, at - len(KINDS)):at])
-
-
 def texts_of(column: pa.Array) -> Iterator[Text]:
     """The texts of a column of bytes; runs that are long enough to matter are found for many texts at once."""
     for begin, stop, data, edges in pieces(column):
@@ -167,7 +199,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Offsets are code points. A null text counts as an empty one: no spans and
     the hash of the empty string. Repeated rows give equal results, an empty
-    table an empty one; other columns are not read.
+    table an empty one; other columns are not read. A very long text is scanned
+    whole, in time that grows with its length.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
