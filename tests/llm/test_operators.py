@@ -300,6 +300,45 @@ def test_usual_spellings(text, label):
     assert {r.label for *_, r in licenses.Detector().detect(text.encode())[1]} == {label}
 
 
+@pytest.mark.parametrize("text", [
+    "published under MIT Press", "released under artistic direction", "licensed under isc rules", "we submit to the limit", "the BSL license",
+])
+def test_other_meanings_are_no_licence(text):
+    assert not licenses.Detector().detect(text.encode())[1]
+
+
+@pytest.mark.parametrize("text, label", [
+    ("MIT-licensed code", "mit"), ("this is GPL code", "gpl"), ("Business Source License 1.1", "business-source-1.1"), ("BSL-1.0", "boost-1.0"),
+    ("released under MIT and others", "mit"), ("released under the Artistic License", "artistic"), ("available under MIT", "mit"),
+])
+def test_further_spellings(text, label):
+    assert {r.label for *_, r in licenses.Detector().detect(text.encode())[1]} == {label}
+
+
+@pytest.mark.parametrize("rule", [r for r in licenses.SENTENCES + licenses.HEADERS if not set("([?.") & set(r[1])], ids=lambda r: r[2])
+def test_each_sentence_is_found_in_a_long_text(rule):
+    label, sentence, keyword = rule
+    around = "some other words of a file " * 60
+    found = licenses.Detector().detect(f"{around} {sentence} {around}".encode())[1]
+    assert label in {r.label for *_, r in found} and keyword in sentence
+
+
+def test_windows_change_nothing():
+    """Rules tried around their keywords find what they find on the whole line."""
+    detector = licenses.Detector()
+    rng = random.Random(6)
+    texts = [t for t, *_ in map(tuple, (x[1:2] for x in licenses.SENTENCES + licenses.HEADERS)) if not set("([?.") & set(t)]
+    texts += ["gplv3", "gpl 2 0 only", "apache license version 2", "mit license", "cc by nc 4 0", "licensed under the isc license", "lgpl v 2 1 or later"]
+    for _ in range(30):
+        line = " ".join(rng.choice(texts + ["word"] * 30 + ["x" * 90] * 5) for _ in range(120))
+        hits = []
+        for rules in detector.rules.values():
+            for rank, rule, pattern in rules:
+                if rule.keyword in line:
+                    hits += [(rule.priority, m.start() - m.end(), rank, m.start(), m.end(), rule) for m in pattern.finditer(line.encode())]
+        assert detector.detect(line.encode())[1] == licenses.uncovered(sorted(hits, key=lambda h: h[:4]))
+
+
 def test_server_versions_are_no_licence():
     assert not licenses.Detector().detect(b"we run apache 2 4 and apache 2 here")[1]
 
