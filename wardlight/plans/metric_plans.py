@@ -356,6 +356,38 @@ def _context(d: Data):
     return R.retrieve_context(_queries(d), chunks)
 
 
+def _cut_sql(name: str, source: str, sep: str) -> str:
+    """Pieces of the rows (doc_id, off, x) of ``source``, cut before a separator, with the place of the row as ``node``."""
+    return f"""{name}_i AS (SELECT doc_id, off AS node, string_split(x, {sep}) AS parts, unnest(generate_series(1, len(string_split(x, {sep})))) AS i FROM {source}),
+{name}_p AS (SELECT doc_id, node, i, CASE WHEN i = 1 THEN '' ELSE {sep} END || parts[i] AS x FROM {name}_i),
+{name} AS (SELECT doc_id, node, x, CAST(node + sum(length(x)) OVER (PARTITION BY doc_id, node ORDER BY i) - length(x) AS BIGINT) AS off FROM {name}_p),
+{name}_long AS (SELECT doc_id, off, x FROM {name} WHERE length(x) >= 1000)"""
+
+
+def _atoms_sql(name: str, level: int) -> str:
+    return f"SELECT doc_id, {level} AS level, node, off, length(x) AS n FROM {name} WHERE x <> '' AND length(x) < 1000"
+
+
+# chunks of 1,000 characters with 100 carried on: from each start the last end in reach, then the first start that leaves room
+_SPLIT_SQL = f"""WITH RECURSIVE whole AS (SELECT doc_id, CAST(0 AS BIGINT) AS off, text AS x FROM documents WHERE length(text) > 0),
+{_cut_sql('paragraphs', 'whole', 'chr(10) || chr(10)')},
+{_cut_sql('rows_of', 'paragraphs_long', 'chr(10)')},
+{_cut_sql('words', 'rows_of_long', "' '")},
+letters AS (SELECT doc_id, off AS node, unnest(range(length(x))) AS k FROM words_long),
+atoms AS ({_atoms_sql('paragraphs', 1)} UNION ALL {_atoms_sql('rows_of', 2)} UNION ALL {_atoms_sql('words', 3)}
+  UNION ALL SELECT doc_id, 4, node, node + k, 1 FROM letters),
+marked AS (SELECT *, coalesce((level, node) <> lag((level, node)) OVER (PARTITION BY doc_id ORDER BY off), true) AS opens FROM atoms),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY off) AS grp FROM marked),
+groups AS (SELECT doc_id, grp, list(off ORDER BY off) AS starts, list(off + n ORDER BY off) AS ends, min(off) AS lo, max(off + n) AS hi
+  FROM numbered GROUP BY doc_id, grp),
+spans AS (SELECT doc_id, grp, starts, ends, hi, lo AS s, list_max(list_filter(ends, lambda x: x <= lo + 1000)) AS e FROM groups
+  UNION ALL SELECT doc_id, grp, starts, ends, hi, b, list_max(list_filter(ends, lambda x: x <= b + 1000)) FROM (SELECT doc_id, grp, starts, ends, hi,
+    list_min(list_filter(starts, lambda x: x >= greatest(e - 100, list_min(list_filter(ends, lambda y: y > e)) - 1000))) AS b FROM spans WHERE e < hi)),
+texts AS (SELECT d.doc_id, grp, s, regexp_replace(substring(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') AS chunk
+  FROM spans JOIN documents d ON d.doc_id = spans.doc_id)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp, s) - 1 AS INT) AS chunk_no, chunk FROM texts WHERE chunk <> ''"""
+
+
 PLANS = [
     # ---- logs ----
     Plan("read_logs", lambda d: L.clean_lines(d.log_lines), "SELECT * FROM fx_log_lines"),
@@ -381,6 +413,7 @@ PLANS = [
          """WITH t AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 100) / 900) AS INT)) AS n FROM documents WHERE length(text) > 0),
 g AS (SELECT doc_id, text, unnest(range(n)) AS i FROM t)
 SELECT doc_id, CAST(i AS INT) AS chunk_no, substring(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS chunk FROM g"""),
+    Plan("split_documents", lambda d: R.split_documents(d.table("documents").select("doc_id", "text")), _SPLIT_SQL),
     Plan("vector_topk", lambda d: _nearest_out(R.vector_topk(_queries(d), _vectors(d))),
          f"WITH {_QUERIES}, {nearest_sql(2)} SELECT query_id, chunk_id, round(d, 6) AS distance, rank FROM near"),
     Plan("retrieve_context", _context,
