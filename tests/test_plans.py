@@ -7,7 +7,7 @@ from wardlight.operators import governance, requests, store, triage, views
 from wardlight.plans.catalog import PLANS
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON = {"vector_topk", "retrieve_context"}
+PYTHON = {"vector_topk", "retrieve_context", "root_cause_prompts", "root_cause_reports", "root_cause_rejects"}
 
 
 def plan_of(df):

@@ -269,8 +269,8 @@ def filter_reportable(reports: DataFrame, feedback: DataFrame | None = None) ->
     return wanted.unionByName(corrected)
 
 
-def alert_payload(reportable: DataFrame) -> DataFrame:
-    """The notification document of each alert as JSON text."""
+def payload(severity: Column, anomaly_type: Column, source_ip: Column, action: Column) -> Column:
+    """The notification document of an alert as JSON text."""
     def markdown(*parts) -> Column:
         return F.struct(F.lit("mrkdwn").alias("type"), F.concat(*parts).alias("text"))
 
@@ -278,23 +278,34 @@ def alert_payload(reportable: DataFrame) -> DataFrame:
         F.lit("header").alias("type"),
         F.struct(
             F.lit("plain_text").alias("type"),
-            F.concat(F.lit("🚨 "), F.upper("severity"), F.lit(" Incident Detected")).alias("text"),
+            F.concat(F.lit("🚨 "), F.upper(severity), F.lit(" Incident Detected")).alias("text"),
             F.lit(True).alias("emoji"),
         ).alias("text"),
     ))
     fields = F.to_json(F.struct(
         F.lit("section").alias("type"),
         F.array(
-            markdown(F.lit("*Type:*\n"), F.col("anomaly_type")),
-            markdown(F.lit("*Source IP:*\n`"), F.col("source_ip"), F.lit("`")),
+            markdown(F.lit("*Type:*\n"), anomaly_type),
+            markdown(F.lit("*Source IP:*\n`"), source_ip, F.lit("`")),
         ).alias("fields"),
     ))
-    action = F.to_json(F.struct(
+    told = F.to_json(F.struct(
         F.lit("section").alias("type"),
-        markdown(F.lit("*Recommended Action:*\n"), F.coalesce("action", F.lit(NO_ACTION))).alias("text"),
+        markdown(F.lit("*Recommended Action:*\n"), F.coalesce(action, F.lit(NO_ACTION))).alias("text"),
     ))
-    document = F.concat(F.lit('{"blocks":['), F.concat_ws(",", header, fields, action), F.lit("]}"))
-    return reportable.select("incident_id", "severity", document.alias("payload"))
+    return F.concat(F.lit('{"blocks":['), F.concat_ws(",", header, fields, told), F.lit("]}"))
+
+
+def report_payload() -> Column:
+    """The notification of a report row, null where its severity asks for none."""
+    columns = (F.col("severity"), F.col("anomaly_type"), F.col("source_ip"), _list_text(F.col("recommended_actions")))
+    return F.when(F.col("severity").isin(*REPORTABLE), payload(*columns))
+
+
+def alert_payload(reportable: DataFrame) -> DataFrame:
+    """The notification document of each alert."""
+    columns = [F.col(c) for c in ("severity", "anomaly_type", "source_ip", "action")]
+    return reportable.select("incident_id", "severity", payload(*columns).alias("payload"))
 
 
 # ---- messages ----

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from wardlight.operators import alerts as A
+from wardlight.operators import analysis as AN
 from wardlight.operators import logs as L
 from wardlight.operators import metrics as M
 from wardlight.operators import retrieval as R
+from wardlight.plans import triage_plans as TP
 from wardlight.plans.base import Data, Plan
 from wardlight.session import work_folder
 from wardlight.sources import readers
@@ -356,6 +358,43 @@ def _context(d: Data):
     return R.retrieve_context(_queries(d), chunks)
 
 
+def _prompts(d: Data):
+    """Log lines of seven sources, each with the vector of the label of its number."""
+    texts = d.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"))
+    vectors = _queries(d).select(F.col("query_id").cast("string").alias("source"), "vector")
+    lines = d.log_lines.select("line", (F.col("event_id") % 7).cast("string").alias("source"))
+    return AN.root_cause_prompts(lines, vectors, _vectors(d).join(texts, "chunk_id"), "source")
+
+
+def _replies(d: Data):
+    return d.reports.withColumn("source", (F.col("incident_id").cast("long") % 9).cast("string"))
+
+
+_JSON_LINE = """'  {' || chr(10) || '    "client_ip": "' || client_ip || '",' || chr(10) || '    "message": "' || message || '",' || chr(10)
+  || '    "count": ' || count || chr(10) || '  }'"""
+_TOLD = f"""{_LOGS}, per AS (SELECT CAST(event_id % 7 AS STRING) AS source, client_ip, message, count(*) AS count, max(severity_score) AS score
+  FROM scored GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY count * score DESC, client_ip, message) AS place FROM per),
+told AS (SELECT source, '[' || chr(10) || string_agg({_JSON_LINE}, ',' || chr(10) ORDER BY place) || chr(10) || ']' AS evidence_text
+  FROM best WHERE place <= 3 GROUP BY source)"""
+_SYSTEM_TEXT = AN.SYSTEM.replace("'", "''")
+_PROMPT_SQL = f"""WITH {_TOLD}, {_QUERIES}, vecs AS (SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+{nearest_sql(2).replace('queries, embeddings', 'queries, vecs')},
+contexts AS (SELECT CAST(query_id AS STRING) AS source, string_agg(text, chr(10) ORDER BY rank) AS context FROM near
+  JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+SELECT t.source, evidence_text, coalesce(context, '') AS context, replace('{_SYSTEM_TEXT}', '{{context}}', coalesce(context, '')) AS system,
+  'Evidence:' || chr(10) || evidence_text AS human FROM told t LEFT JOIN contexts c ON c.source = t.source"""
+_REPLY_SQL = f"""WITH {_TOLD}, {TP._REPORT}
+SELECT r.incident_id, t.source, severity, anomaly_type, source_ip, root_cause, confidence, evidence_text,
+  CASE WHEN severity IN ('High', 'Critical') THEN '{{"blocks":[{{"type":"header","text":{{"type":"plain_text","text":"🚨 '
+  || upper(severity) || ' Incident Detected","emoji":true}}}},{{"type":"section","fields":[{{"type":"mrkdwn","text":"*Type:*\\n'
+  || anomaly_type || '"}},{{"type":"mrkdwn","text":"*Source IP:*\\n`' || source_ip
+  || '`"}}]}},{{"type":"section","text":{{"type":"mrkdwn","text":"*Recommended Action:*\\n[''' || a0 || ''', ''' || a1 || ''']"}}}}]}}' END AS payload
+FROM reports r JOIN told t ON t.source = CAST(CAST(r.incident_id AS BIGINT) % 9 AS STRING)"""
+_REFUSED_SQL = f"""WITH {_TOLD}, {TP._REPORT} SELECT incident_id, CAST(CAST(incident_id AS BIGINT) % 9 AS STRING) AS source, report FROM fx_reports
+WHERE incident_id NOT IN (SELECT incident_id FROM reports) OR CAST(CAST(incident_id AS BIGINT) % 9 AS STRING) NOT IN (SELECT source FROM told)"""
+
+
 def _cut_sql(name: str, source: str, sep: str) -> str:
     """Pieces of the rows (doc_id, off, x) of ``source``, cut before a separator, with the place of the row as ``node``."""
     return f"""{name}_i AS (SELECT doc_id, off AS node, string_split(x, {sep}) AS parts, unnest(generate_series(1, len(string_split(x, {sep})))) AS i FROM {source}),
@@ -413,6 +452,9 @@ PLANS = [
          """WITH t AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 100) / 900) AS INT)) AS n FROM documents WHERE length(text) > 0),
 g AS (SELECT doc_id, text, unnest(range(n)) AS i FROM t)
 SELECT doc_id, CAST(i AS INT) AS chunk_no, substring(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS chunk FROM g"""),
+    Plan("root_cause_prompts", _prompts, _PROMPT_SQL),
+    Plan("root_cause_reports", lambda d: AN.root_cause_reports(_prompts(d), _replies(d), "source")[0].drop("evidence", "recommended_actions"), _REPLY_SQL),
+    Plan("root_cause_rejects", lambda d: AN.root_cause_reports(_prompts(d), _replies(d), "source")[1], _REFUSED_SQL),
     Plan("split_documents", lambda d: R.split_documents(d.table("documents").select("doc_id", "text")), _SPLIT_SQL),
     Plan("vector_topk", lambda d: _nearest_out(R.vector_topk(_queries(d), _vectors(d))),
          f"WITH {_QUERIES}, {nearest_sql(2)} SELECT query_id, chunk_id, round(d, 6) AS distance, rank FROM near"),
