@@ -128,6 +128,29 @@ def availability(calls: DataFrame, bucket: str = "1 hour") -> DataFrame:
     )
 
 
+def usage_over_time(
+    calls: DataFrame, bucket: str = "1 hour", by: Sequence[str] = (), in_price: float = INPUT_PRICE, out_price: float = OUTPUT_PRICE
+) -> DataFrame:
+    """Tokens, calls, errors, retries and cost per bucket."""
+    sums = calls.groupBy(_bucket(bucket).alias("bucket_start"), *by).agg(*_usage(calls))
+    return sums.withColumn("cost_usd", _cost(in_price, out_price))
+
+
+def latency_over_time(
+    calls: DataFrame, bucket: str = "1 hour", by: Sequence[str] = ("kind",), q: float = 0.95, bounds: Sequence[float] = BOUNDS
+) -> DataFrame:
+    """A quantile of the durations per bucket and kind of call, from bucket counts."""
+    return latency_quantile(calls, q, [_bucket(bucket).alias("bucket_start"), *by], bounds)
+
+
+def entropy_over_time(df: DataFrame, bucket: str = "1 hour", col: str = "severity") -> DataFrame:
+    """Entropy of the known labels per bucket; a bucket without any has no row."""
+    n = F.col("incidents")
+    counts = severity_over_time(df, bucket, col).filter(F.col("severity").isin(*SEVERITIES))
+    sums = counts.groupBy("bucket_start").agg(F.sum(n).alias("incidents"), F.sum(n * F.ln(n)).alias("_nln"))
+    return sums.select("bucket_start", "incidents", (F.ln("incidents") - F.col("_nln") / F.col("incidents")).alias("entropy"))
+
+
 # ---- histograms and quantiles ----
 
 def _counts_up_to(col: str, bounds: Sequence[float]) -> list[Column]:

@@ -161,18 +161,24 @@ FROM @events""",
   CASE event_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS severity
 FROM @events""",
     # metric samples with their labels as columns, empty where a series has none: counters that start
-    # over every day beside ones that stand still under the same pod or instance, series that end early, a gauge
+    # over every day beside ones that stand still under the same pod or instance, further made-up series that end early, a gauge
     "metrics": """SELECT ts, 'process_cpu_seconds_total' AS name, 'city' AS namespace, CAST(user_id % 3 AS STRING) AS instance, '' AS pod,
   '' AS container, CASE WHEN event_id % 4 = 0 THEN 'idle' ELSE 'triage' END AS job,
   CASE WHEN event_id % 4 = 0 THEN CAST(7 AS DOUBLE)
     ELSE CAST(EXTRACT(HOUR FROM ts) * 3600 + EXTRACT(MINUTE FROM ts) * 60 AS DOUBLE) END AS value
-FROM @events WHERE user_id % 3 <> 2 OR EXTRACT(DAY FROM ts) <= 20
+FROM @events
+UNION ALL
+SELECT ts, 'process_cpu_seconds_total', 'city', 'gone', '', '', 'triage',
+  CAST(EXTRACT(HOUR FROM ts) * 3600 + EXTRACT(MINUTE FROM ts) * 60 AS DOUBLE) FROM @events WHERE user_id % 3 = 2 AND EXTRACT(DAY FROM ts) <= 20
 UNION ALL
 SELECT ts, 'kube_pod_container_status_restarts_total', 'city', '', 'pod-' || CAST(user_id % 4 AS STRING),
   CASE WHEN event_id % 4 = 0 THEN 'sidecar' ELSE 'app' END, '',
   CASE WHEN event_id % 4 = 0 THEN CAST(5 AS DOUBLE)
     ELSE FLOOR(CAST(EXTRACT(HOUR FROM ts) * 60 + EXTRACT(MINUTE FROM ts) AS DOUBLE) / 90) END
-FROM @events WHERE user_id % 4 <> 3 OR EXTRACT(DAY FROM ts) <= 20
+FROM @events
+UNION ALL
+SELECT ts, 'kube_pod_container_status_restarts_total', 'city', '', 'pod-gone', 'app', '',
+  FLOOR(CAST(EXTRACT(HOUR FROM ts) * 60 + EXTRACT(MINUTE FROM ts) AS DOUBLE) / 90) FROM @events WHERE user_id % 4 = 3 AND EXTRACT(DAY FROM ts) <= 20
 UNION ALL
 SELECT ts, 'process_resident_memory_bytes', 'city', CAST(user_id % 3 AS STRING), '', '', 'triage', 400000000 + ROUND(value * 1000000)
 FROM @events""",

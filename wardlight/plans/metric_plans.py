@@ -121,16 +121,32 @@ def span_sql(hold: int, step: int = HOUR) -> str:
   CASE WHEN NOT still THEN make_timestamp((until + {step}) * 1000000) END AS resolved_at"""
 
 
-def alert_sql(source: str, value: str, test: str, rule: A.Rule, hold: int, labels: dict[str, str], step: int = HOUR) -> str:
+# What the rules must say, spelled out once more for the SQL.
+_SAID = {
+    "HighLLMLatency": ("critical", "LLM  Latency is too high", "P95 latency is {value}s, which is above the 5s threshold for 2 minutes."),
+    "LowClassificationConfidence": ("warning", "Classification confidence dropped below 0.8",
+                                    "AI model classification confidence has dropped below acceptable threshold. Current confidence: {value}."),
+    "HighErrorRate": ("critical", "High Error Rate Detected", "Error rate is {value}%, exceeding the 5% limit."),
+    "PodCrashLooping": ("warning", "Pod is crash looping", "Pod {pod} has restarted more than 3 times in the last 15 minutes."),
+    "HighCPUUsage": ("warning", "CPU Usage is high", "CPU usage is above than 80% for more than 2 minutes"),
+    "HighMemoryUsage": ("warning", "High memory usage", "Memory usage above 500MB on {instance}."),
+    "SLOBreach": ("critical", "SLO Breach", "Availability is less than 99.9% for more than 5 mins"),
+    "HighTokenUsage": ("warning", "High token usage", "Token usage is high for more than 3 mins."),
+    "LLMHighErrorRate": ("critical", "LLM high error rate", "Error rate of LLM is {value}%, exceeding the 10% limit."),
+}
+
+
+def alert_sql(source: str, value: str, test: str, rule: str, hold: int, labels: dict[str, str], step: int = HOUR) -> str:
     """Runs of ``test`` over (k, tick) rows of ``source`` as alert rows."""
-    text = "'" + rule.description.replace("'", "''") + "'"
+    severity, summary, description = _SAID[rule]
+    text = "'" + description.replace("'", "''") + "'"
     for name, expr in labels.items():
         text = f"replace({text}, '{{{name}}}', CAST({expr} AS STRING))"
     text = f"replace({text}, '{{value}}', regexp_replace(CAST(round(CAST(value AS DOUBLE), {_ROUND}) AS STRING), '\\.0$', ''))"
     named = "".join(f"{expr} AS {name}, " for name, expr in labels.items())
     return f"""{runs_sql(source, value, test, hold, step)}
-SELECT '{rule.name}' AS alertname, '{rule.severity}' AS severity, {named}{span_sql(hold, step)},
-  round(CAST(value AS DOUBLE), {_ROUND}) AS value, '{rule.summary}' AS summary, {text} AS description FROM runs"""
+SELECT '{rule}' AS alertname, '{severity}' AS severity, {named}{span_sql(hold, step)},
+  round(CAST(value AS DOUBLE), {_ROUND}) AS value, '{summary}' AS summary, {text} AS description FROM runs"""
 
 
 GRID = {"step": HOUR, "hold": "2h"}
@@ -219,43 +235,43 @@ ALERT_PLANS = [
          f"""WITH {_bucket_slices('instance')},
 {rolling_sql('slices', 'instance', [f'b{i}' for i in range(len(M.BOUNDS) + 1)], HOUR, _SIX)},
 q AS (SELECT k, tick, {_bucket_quantile(0.95)} AS p FROM rolled),
-{alert_sql('q', 'p', 'value > 2.3::DOUBLE', A.RULES['HighLLMLatency'], _HOLD, {'instance': 'k'})}"""),
+{alert_sql('q', 'p', 'value > 2.3::DOUBLE', 'HighLLMLatency', _HOLD, {'instance': 'k'})}"""),
     Plan("alert_LowClassificationConfidence",
          lambda d: _alert_out(A.alert_LowClassificationConfidence(d.calls, lookback="1 day", **GRID)),
          f"""WITH {gauge_sql('fx_calls', "instance || '/' || severity", 'confidence', HOUR, 24 * HOUR)},
-{alert_sql('rolled', 'v', 'value < 0.8::DOUBLE', A.RULES['LowClassificationConfidence'], _HOLD,
+{alert_sql('rolled', 'v', 'value < 0.8::DOUBLE', 'LowClassificationConfidence', _HOLD,
            {'instance': "CAST(split_part(k, '/', 1) AS BIGINT)", 'label': "split_part(k, '/', 2)"})}"""),
     Plan("alert_HighErrorRate",
          lambda d: _alert_out(A.alert_HighErrorRate(d.calls, threshold=0.2, window=_SIX, **GRID)),
-         f"WITH {_SHARES['']}, {alert_sql('shares', 'share', 'value > 0.2::DOUBLE', A.RULES['HighErrorRate'], _HOLD, {})}"),
+         f"WITH {_SHARES['']}, {alert_sql('shares', 'share', 'value > 0.2::DOUBLE', 'HighErrorRate', _HOLD, {})}"),
     Plan("alert_SLOBreach",
          lambda d: _alert_out(A.alert_SLOBreach(d.calls, target=0.8, window=_SIX, **GRID)),
-         f"""WITH {_SHARES['instance']}, {alert_sql('shares', '1 - share', 'value < 0.8::DOUBLE', A.RULES['SLOBreach'], _HOLD,
+         f"""WITH {_SHARES['instance']}, {alert_sql('shares', '1 - share', 'value < 0.8::DOUBLE', 'SLOBreach', _HOLD,
                                                    {'instance': 'k'})}"""),
     Plan("alert_LLMHighErrorRate",
          lambda d: _alert_out(A.alert_LLMHighErrorRate(d.calls, threshold=0.22, window=_SIX, **GRID)),
-         f"""WITH {_SHARES['instance']}, {alert_sql('shares', 'share', 'value > 0.22::DOUBLE', A.RULES['LLMHighErrorRate'], _HOLD,
+         f"""WITH {_SHARES['instance']}, {alert_sql('shares', 'share', 'value > 0.22::DOUBLE', 'LLMHighErrorRate', _HOLD,
                                                    {'instance': 'k'})}"""),
     Plan("alert_HighTokenUsage",
          lambda d: _alert_out(A.alert_HighTokenUsage(d.calls, threshold=0.0013, window=_SIX, **GRID)),
          f"""WITH {_events_sql('count(*)')}, {alert_sql('rolled', f'events / {_SIX}::DOUBLE', 'value > 0.0013::DOUBLE',
-                                                      A.RULES['HighTokenUsage'], _HOLD, {'instance': 'k'})}"""),
+                                                      'HighTokenUsage', _HOLD, {'instance': 'k'})}"""),
     Plan("alert_HighTokenUsage_tokens",
          lambda d: _alert_out(A.alert_HighTokenUsage(d.calls, threshold=0.45, window=_SIX, count_tokens=True, **GRID)),
          f"""WITH {_events_sql('sum(prompt_tokens + completion_tokens)')}, {alert_sql(
-             'rolled', f'events / {_SIX}::DOUBLE', 'value > 0.45::DOUBLE', A.RULES['HighTokenUsage'], _HOLD, {'instance': 'k'})}"""),
+             'rolled', f'events / {_SIX}::DOUBLE', 'value > 0.45::DOUBLE', 'HighTokenUsage', _HOLD, {'instance': 'k'})}"""),
     Plan("alert_PodCrashLooping",
          lambda d: _alert_out(A.alert_PodCrashLooping(_samples(d), threshold=3, window=_SIX, **GRID)),
-         f"WITH {_PODS}, {alert_sql('rolled', 'growth', 'value > 3', A.RULES['PodCrashLooping'], _HOLD, _OF_POD)}"),
+         f"WITH {_PODS}, {alert_sql('rolled', 'growth', 'value > 3', 'PodCrashLooping', _HOLD, _OF_POD)}"),
     Plan("alert_HighCPUUsage",
          lambda d: _alert_out(A.alert_HighCPUUsage(_samples(d), threshold=0.97, window=_SIX, **GRID)),
-         f"""WITH {_CPU}, {alert_sql('rolled', f'growth / {_SIX}::DOUBLE', 'value > 0.97::DOUBLE', A.RULES['HighCPUUsage'], _HOLD,
+         f"""WITH {_CPU}, {alert_sql('rolled', f'growth / {_SIX}::DOUBLE', 'value > 0.97::DOUBLE', 'HighCPUUsage', _HOLD,
                                     _OF_PROCESS)}"""),
     Plan("alert_HighMemoryUsage",
          lambda d: _alert_out(A.alert_HighMemoryUsage(d.metrics, threshold=430_000_000, lookback="1 day", **GRID)),
          f"""WITH {_named('process_resident_memory_bytes')},
 {gauge_sql('samples', 'series', 'value', HOUR, 24 * HOUR)},
-{alert_sql('rolled', 'v', 'value > 430000000', A.RULES['HighMemoryUsage'], _HOLD, _OF_PROCESS)}"""),
+{alert_sql('rolled', 'v', 'value > 430000000', 'HighMemoryUsage', _HOLD, _OF_PROCESS)}"""),
 ]
 
 
@@ -358,6 +374,10 @@ def _context(d: Data):
     return R.retrieve_context(_queries(d), chunks)
 
 
+def _kinds(d: Data):
+    return d.calls.withColumn("kind", F.when(F.col("event_id") % 2 == 0, F.lit("http")).otherwise(F.lit("llm")))
+
+
 def _prompts(d: Data):
     """Log lines of seven sources, each with the vector of the label of its number."""
     texts = d.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk"))
@@ -498,6 +518,21 @@ SELECT q.instance, (SELECT count(*) FROM fx_calls c WHERE c.instance = q.instanc
     Plan("availability", lambda d: _rounded(M.availability(d.calls), "availability"),
          """SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, count(*) AS requests,
   round(count(*) FILTER (status < 500) / count(*), 6) AS availability FROM fx_calls GROUP BY ALL"""),
+    Plan("usage_over_time", lambda d: _rounded(M.usage_over_time(d.calls, by=["instance"]), "cost_usd"),
+         f"""SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, instance, CAST(sum(prompt_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(completion_tokens) AS BIGINT) AS output_tokens, count(*) AS calls, count(*) FILTER (status >= 500) AS errors,
+  CAST(sum(retries) AS BIGINT) AS retries, round({_COST}, {_ROUND}) AS cost_usd FROM fx_calls GROUP BY 1, 2"""),
+    Plan("latency_over_time", lambda d: _rounded(M.latency_over_time(_kinds(d)), "quantile"),
+         f"""WITH k AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, CASE event_id % 2 WHEN 0 THEN 'http' ELSE 'llm' END AS kind, duration_s FROM fx_calls),
+b AS (SELECT unnest([{', '.join(f"{b}::DOUBLE" for b in M.BOUNDS)}, 'Infinity'::DOUBLE]) AS le),
+long AS (SELECT bucket_start, kind, le, count(*) FILTER (duration_s <= le) AS cum FROM k, b GROUP BY ALL),
+{quantile_sql('long', 'bucket_start, kind', 0.95)},
+seen AS (SELECT bucket_start, kind, count(duration_s) AS observations FROM k GROUP BY 1, 2)
+SELECT q.bucket_start, q.kind, observations, round(value, 6) AS quantile FROM quant q JOIN seen s ON s.bucket_start = q.bucket_start AND s.kind = q.kind"""),
+    Plan("entropy_over_time", lambda d: _rounded(M.entropy_over_time(d.calls), "entropy"),
+         f"""WITH c AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket_start, severity, count(*) AS n FROM fx_calls GROUP BY 1, 2),
+p AS (SELECT bucket_start, n, n / sum(n) OVER (PARTITION BY bucket_start) AS p FROM c)
+SELECT bucket_start, CAST(sum(n) AS BIGINT) AS incidents, round(-sum(p * ln(p)), {_ROUND}) AS entropy FROM p GROUP BY 1"""),
     Plan("rate", lambda d: _rounded(M.rate(A.samples_of(_samples(d), A.CPU_SECONDS), _SIX, HOUR, ["series"]), "rate"),
          f"WITH {_CPU} SELECT k AS series, tick, round(growth / {_SIX}::DOUBLE, 6) AS rate FROM rolled"),
     Plan("increase", lambda d: _rounded(M.increase(A.samples_of(_samples(d), A.RESTARTS), _SIX, HOUR, ["series"]), "increase"),
