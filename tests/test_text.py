@@ -142,3 +142,13 @@ def test_runbooks_from_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text(" \n ")
     rows = readers.read_runbooks(spark, str(tmp_path)).collect()
     assert [r["text"] for r in rows] == ["first\nsecond"] and rows[0]["doc_id"].endswith("a.txt")
+
+
+def test_a_text_is_read_to_its_end(spark):
+    texts = ['{"a":1}', ' {"a":1} ', "]", "[", "", "null", "1", '{"a":1}]', '{"a":1},{"a":2}', '{"a":1} trailing', '[{"a":1}', '[]', '{"a":1},', "{}", '"x"',
+             '{"a":"]"}', '{"a":1},"b"', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(F.size(X.json_objects(F.col("t"), "struct<a:string>")).alias("n"), X.single(X.json_objects(F.col("t"), "struct<a:string>")).alias("one"))
+    told = dict(zip(texts, [r["one"] for r in got.collect()]))
+    assert all(told[t] for t in ('{"a":1}', ' {"a":1} ', "{}", '{"a":"]"}'))
+    assert not any(told[t] for t in ("]", "[", "", '{"a":1}]', '{"a":1},{"a":2}', '{"a":1} trailing', '[{"a":1}', '{"a":1},', '{"a":1},"b"', None))

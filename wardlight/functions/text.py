@@ -87,18 +87,20 @@ _AFTER = "after_the_text_4f1c"
 def json_objects(c: Column, schema) -> Column:
     """The JSON objects a text consists of, null when it is not JSON.
 
-    The parser stops after the first value of a text; inside brackets it has
-    to account for all of it. A text that closes the bracket itself would stop
-    it early, so the text must also stand as the value of a field that another
-    field follows. What passes both is a list of values; one object gives one
-    element.
+    The parser stops after the first value of a text, so the text is put in a
+    list before an object that no text is expected to hold: if that comes out
+    as the last one, all of the text was read, and what stands before it are
+    the text's values; one object gives one element.
     """
     kind = schema if isinstance(schema, str) else schema.simpleString()
-    strict = {"allowSingleQuotes": "false"}
-    field = F.concat(F.lit('{"v":'), c, F.lit(f',"{_AFTER}":1}}'))
-    whole = F.from_json(field, f"struct<{_AFTER}:int>", strict)[_AFTER].isNotNull()
-    wrapped = F.concat(F.lit("["), c, F.lit("]"))
-    return F.when(whole, F.from_json(wrapped, f"array<{kind}>", strict))
+    if not kind.startswith("struct<"):
+        raise ValueError(f"not the schema of an object: {kind}")
+    whole = F.concat(F.lit("["), c, F.lit(f',{{"{_AFTER}":1}}]'))
+    parsed = F.from_json(whole, f"array<{kind[:-1]},{_AFTER}:int>>", {"allowSingleQuotes": "false"})
+    # through a list of one, so that the parse is written once
+    return F.element_at(F.transform(F.array(parsed), lambda found: F.when(
+        F.get(found, F.size(found) - 1)[_AFTER] == 1,
+        F.transform(F.slice(found, 1, F.size(found) - 1), lambda o: o.dropFields(_AFTER)))), 1)
 
 
 def single(objects: Column) -> Column:
