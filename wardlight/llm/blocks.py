@@ -8,7 +8,9 @@ bytes of whole texts; a longer text is a piece of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +21,32 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def release_memory() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable, seconds: float = 1.0) -> Callable:
+    """A function over batches that gives free memory back now and then, and at its end.
+
+    Spark uses Python workers again for later stages; what one stage has left
+    free would add to what the next one needs.
+    """
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for batch in run(batches):
+            yield batch
+            if time.monotonic() - last > seconds:
+                release_memory()
+                last = time.monotonic()
+        release_memory()
+
+    return inner
+
+
 def byte_class(text_pattern: str) -> np.ndarray:
     """Which of the 256 bytes a one-character ASCII pattern matches; bytes above 127 match."""
     import re

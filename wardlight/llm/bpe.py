@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.blocks import tidy
+
 # Bytes of tokens and their ids that a task remembers; those that do not come back go first.
 REMEMBERED_BYTES = 32 << 20
 # What a remembered token takes beside its characters and ids.
@@ -310,4 +312,4 @@ def encode_documents(
                 ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
                 begin = stop
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import ALNUM, Powers, Words, constants, mixed, pieces, words_of
+from wardlight.llm.blocks import ALNUM, Powers, Words, constants, mixed, pieces, tidy, words_of
 from wardlight.llm.graph import Shelf
 
 # The masks, one character for each word, 1 where it is hashed.
@@ -182,7 +182,7 @@ def document_stretches(docs: DataFrame, table, solid: tuple[int, ...] = ()) -> D
 
     id_type = docs.schema[docs.columns[0]].dataType.simpleString()
     return docs.mapInArrow(
-        run, f"doc_id {id_type}, start long, key long, words array<long>, seeds array<long>, places array<long>")
+        tidy(run), f"doc_id {id_type}, start long, key long, words array<long>, seeds array<long>, places array<long>")
 
 
 def best_overlap(words: np.ndarray, item: np.ndarray, offset: int, cost: int = COST) -> tuple[int, int, int]:

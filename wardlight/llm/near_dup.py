@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import NOT_SPACE, Powers, constants, mixed, pieces, shingles, words_of
+from wardlight.llm.blocks import NOT_SPACE, Powers, constants, mixed, pieces, shingles, tidy, words_of
 from wardlight.llm.graph import Shelf, components
 
 COORDINATES = 64
@@ -119,7 +119,7 @@ def sketched(docs: DataFrame, words: int, roots: np.ndarray) -> DataFrame:
                     pa.array(keys[:, 1], mask=empty), pa.array(sizes), lists(sketch), lists(nodes),
                 ], ["doc_id", "k0", "k1", "n_shingles", "sketch", "roots"])
 
-    return docs.mapInArrow(run, _SKETCH)
+    return docs.mapInArrow(tidy(run), _SKETCH)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -136,7 +136,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                     [batch.column(0).slice(begin, stop - begin), pa.array(items, pa.list_(pa.int64()))],
                     ["id", "items"])
 
-    return docs.mapInArrow(run, "id long, items array<long>")
+    return docs.mapInArrow(tidy(run), "id long, items array<long>")
 
 
 def _equal_tokens(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import byte_class, pieces, words_of
+from wardlight.llm.blocks import byte_class, pieces, tidy, words_of
 
 # The base kinds in the order of the digest, with the fewest characters that count.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -220,7 +220,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  pa.array(spans, pa.string()), pa.array(n[:, 3])],
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(tidy(run), schema)
 
 
 MASK = "[SECRET]"
@@ -250,4 +250,4 @@ def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 changed.append(masked(text.text, spans) if spans else cell.as_py())
             yield batch.set_column(place, field, pa.array(changed, field.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

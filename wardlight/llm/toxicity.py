@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import ALNUM, Powers, Words, pieces, words_of
+from wardlight.llm.blocks import ALNUM, Powers, Words, pieces, tidy, words_of
 from wardlight.llm.langid import held_out
 
 WINDOW, STRIDE = 32, 24
@@ -327,7 +327,7 @@ def score_toxicity(
 
     return docs.select(
         F.col(id_col), F.col(text_col).cast("binary").alias("text"), held_out(id_col, 5, 0).alias("held_out")
-    ).mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    ).mapInArrow(tidy(run), f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,4 +344,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
