@@ -237,7 +237,11 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with secrets masked in the text; a null text stays null."""
+    """The same rows and columns with secrets masked in the text; a null text stays null.
+
+    Ids are not looked at: rows that repeat are masked alike. A very long text
+    is masked whole. An empty table gives an empty result.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -331,7 +331,13 @@ def score_toxicity(
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, whole rows; scored in place, without a join."""
+    """The documents that are not predicted toxic, whole rows; scored in place, without a join.
+
+    Every row is judged by its own text, so rows that repeat or share an id need
+    not go together, and null ids make no difference. A null or empty text is
+    scored as one empty window, a very long one in all its windows. An empty
+    table gives an empty result.
+    """
     model = fit(*training_sample(docs, labels, id_col, text_col, "toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
