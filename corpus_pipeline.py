@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each written before the next reads it."""
+"""A training corpus from raw documents: five stages, each written before the next reads it.
+
+In every stage rows that repeat stay apart unless they are near duplicates,
+null and empty texts are documents like any other (not toxic, no copies, no
+overlap, no secrets, no tokens), very long texts are read whole, and an empty
+table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network rejects go."""
+    """Documents that the toxicity network rejects go, each by its own text; a null or repeated id changes nothing."""
     return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
@@ -25,7 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item of four words or more go.
+
+    Rows that share an id go together; those with a null id stay unless one of them overlaps.
+    """
     return decontaminate.without_benchmark(docs, _table(spark, sf_dir, "benchmark"))
 
 
@@ -35,7 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left, one row for each row; none for a null or empty text."""
     return bpe.encode_documents(docs, vocabulary_path())
 
 
