@@ -1,6 +1,7 @@
 """Each stage on all that the one before kept, against a plain version."""
 
 import hashlib
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
@@ -8,7 +9,7 @@ import plain
 import pytest
 from tokenizers import Tokenizer
 
-from wardlight.llm import toxicity
+from wardlight.llm import graph, toxicity
 from wardlight.llm.queries import vocabulary_path
 from wardlight.llm.secret_scan import MASK
 
@@ -77,3 +78,35 @@ def test_tokens_are_those_of_the_library(stages):
     for i, r in before.items():
         raw = np.array(whole.encode(r["text"], add_special_tokens=False).ids, "<u4").tobytes()
         assert bytes(after[i]["ids"]) == raw and after[i]["ids_sha256"] == hashlib.sha256(raw).hexdigest()
+
+
+def test_the_driver_gives_a_grown_heap_back():
+    state = {"total": 300, "collected": 0}
+
+    def collect():
+        state["collected"] += 1
+
+    runtime = SimpleNamespace(totalMemory=lambda: state["total"], maxMemory=lambda: 750, gc=collect)
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime))))
+    heap = graph.Heap()
+    heap.tidy(SimpleNamespace(_jvm=jvm))
+    assert state["collected"] == 0
+    state["total"] = 600
+    heap.tidy(SimpleNamespace(_jvm=jvm))
+    assert state["collected"] == 1
+    heap.next = float("inf")  # too soon
+    heap.tidy(SimpleNamespace(_jvm=jvm))
+    assert state["collected"] == 1
+
+
+def test_written_tables_and_training_leave_the_driver_tidy(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(graph, "HEAP", SimpleNamespace(tidy=lambda session: asked.append("heap")))
+    monkeypatch.setattr(toxicity, "release_memory", lambda: asked.append("memory"))
+    shelf = graph.Shelf()
+    assert shelf.settled(spark.range(3)).count() == 3
+    shelf.clear(spark)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).count() == 20
+    assert asked == ["heap", "memory"]

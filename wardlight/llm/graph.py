@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.session import work_folder
 
+# Share of the driver's heap limit from which free heap is given back, and the share of time that may take.
+FULL, TIME = 0.5, 0.1
+
+
+class Heap:
+    """Free heap that the driver's JVM gives back to the system.
+
+    An operator of many small queries leaves plans and broadcast tables behind;
+    the heap grows to its limit before they go, and stays that large beside
+    everything else that the driver holds. Collecting empties it earlier.
+    """
+
+    def __init__(self):
+        self.next = 0.0
+
+    def tidy(self, spark: SparkSession) -> None:
+        """Collect if the heap has grown beyond a share of its limit, and not too often."""
+        now = time.monotonic()
+        if now < self.next:
+            return
+        runtime = spark._jvm.java.lang.Runtime.getRuntime()
+        if runtime.totalMemory() > FULL * runtime.maxMemory():
+            runtime.gc()
+            self.next = time.monotonic() + (time.monotonic() - now) / TIME
+
+
+HEAP = Heap()
+
 
 class Shelf:
     """Tables written to the shared folder in the course of one operator.
@@ -23,6 +53,7 @@ class Shelf:
         folder = work_folder(df.sparkSession, "llm")
         df.write.parquet(folder)
         self.folders.append(folder)
+        HEAP.tidy(df.sparkSession)
         return df.sparkSession.read.schema(df.schema).parquet(folder)
 
     def clear(self, spark) -> None:

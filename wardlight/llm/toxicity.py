@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.blocks import ALNUM, Powers, Words, pieces, tidy, words_of
+from wardlight.llm.blocks import ALNUM, Powers, Words, pieces, release_memory, tidy, words_of
 from wardlight.llm.langid import held_out
 
 WINDOW, STRIDE = 32, 24
@@ -299,6 +299,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts, y, (counts.get(0, 0) / total, counts.get(1, 0) / total)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Network:
+    """A network for these labels; the driver gives the memory of the training back."""
+    model = fit(*training_sample(docs, labels, id_col, text_col, label_col))
+    release_memory()
+    return model
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame | None = None, model: Network | None = None,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -312,7 +319,7 @@ def score_toxicity(
     give equal results, an empty table an empty one; columns other than id and
     text are not read.
     """
-    model = fit(*training_sample(docs, labels, id_col, text_col, label_col)) if model is None else model
+    model = fitted(docs, labels, id_col, text_col, label_col) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -338,7 +345,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     scored as one empty window, a very long one in all its windows. An empty
     table gives an empty result.
     """
-    model = fit(*training_sample(docs, labels, id_col, text_col, "toxic"))
+    model = fitted(docs, labels, id_col, text_col, "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
