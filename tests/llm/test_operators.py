@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -56,6 +58,23 @@ def test_bpe_on_odd_strings():
         assert own.decode(encoded.ids) == decoded
 
 
+def test_bpe_reads_a_text_once_and_cuts_all_tokens_together(monkeypatch):
+    own, read, cut = bpe.Encoder(bpe.Vocabulary.read(vocabulary_path())), [], []
+    tokens, words = own.tokens, own.words
+    monkeypatch.setattr(own, "tokens", lambda text: read.append(text) or tokens(text))
+    monkeypatch.setattr(own, "words", SimpleNamespace(findall=lambda text: cut.append(text) or words.findall(text)))
+    texts = ["it's new", "new WORDS, it's", "", "new"]
+    assert [n for _, _, n in own.encode(texts)] == [3, 5, 0, 1]
+    assert read == texts and len(cut) == 1
+
+
+def test_bpe_cuts_alike_by_an_unusual_pattern():
+    usual = bpe.Vocabulary.read(vocabulary_path())
+    other = replace(usual, pattern=f"(?:{usual.pattern})")
+    texts = ["don't I'LL x's 'T", "ΑΣ ΟΔΟΣ Σ", "a \u0301b e\u0301", "\x1c\x1d a", "日本語12 '", "   ", "<|endoftext|>s 's"]
+    assert list(bpe.Encoder(usual).encode(texts)) == list(bpe.Encoder(other).encode(texts))
+
+
 def test_secrets_equal_plain_patterns(spark, texts):
     got = {r.doc_id: r for r in rows(spark, "op2_secret_scan")}
     for i, text in texts:

@@ -38,6 +38,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 # What Python's own split takes for white space beyond that.
 _NOT_BLANK = "\x1c\x1d\x1e\x1f"
 _NO_RANK = 1 << 60
+# Fixed value: the usual pattern of words. It looks at nothing beside a word and matches no blank.
+USUAL_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 
 
@@ -79,17 +81,20 @@ class Vocabulary:
 
 
 class PairIndex:
-    """The symbols of some words, linked to their neighbours, and every pair's places by rank."""
+    """The symbols of some words, linked to their neighbours, and every pair's places by rank.
+
+    Where a word ends, its links lead to a last place whose symbol is in no pair.
+    """
 
     def __init__(self, rules: Merges, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         n = len(symbols)
-        self.rules, self.symbols = rules, symbols
-        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        self.after[ends - 1] = -1
-        self.before[starts] = -1
+        self.rules, self.symbols = rules, np.append(symbols, rules.none)
+        self.after, self.before = np.arange(1, n + 2), np.arange(-1, n)
+        self.after[ends - 1] = self.after[n] = n
+        self.before[starts] = self.before[n] = n
         self.places: dict[int, list[np.ndarray]] = {}
         self.queue: list[int] = []
-        self.note(np.flatnonzero(self.after >= 0))
+        self.note(np.arange(n))
 
     def note(self, at: np.ndarray) -> int:
         """Enter the pairs that begin at these places; the lowest rank among them."""
@@ -115,15 +120,13 @@ class PairIndex:
         No two of the places may share a symbol.
         """
         left, right, merged = self.rules.rows[rank]
-        at = at[(self.symbols[at] == left) & (self.after[at] >= 0)]
-        at = at[self.symbols[self.after[at]] == right]
         gone = self.after[at]
+        good = (self.symbols[at] == left) & (self.symbols[gone] == right)
+        at, gone = at[good], gone[good]
         next_ = self.after[gone]
         self.symbols[at], self.symbols[gone], self.after[at] = merged, -1, next_
-        inner = next_ >= 0
-        self.before[next_[inner]] = at[inner]
-        earlier = self.before[at]
-        return self.note(np.concatenate([at[inner], earlier[earlier >= 0]]))
+        self.before[next_] = at
+        return self.note(np.concatenate([at, self.before[at]]))
 
     def run(self) -> None:
         """Apply all ranks in ascending order.
@@ -152,9 +155,9 @@ class Merges:
     """Ranks of pairs, looked up many at a time."""
 
     def __init__(self, merges: np.ndarray, n_ids: int):
-        self.merges, self.width = merges, n_ids
+        self.merges, self.none, self.width = merges, n_ids, n_ids + 1
         self.rows = merges.tolist()
-        keys = merges[:, 0] * n_ids + merges[:, 1]
+        keys = merges[:, 0] * self.width + merges[:, 1]
         self.order = np.argsort(keys, kind="stable")
         self.keys = np.append(keys[self.order], 1 << 62)  # a last one that equals no key
         lowest = np.full(n_ids, _NO_RANK)  # the lowest rank that each symbol takes part in
@@ -183,7 +186,8 @@ class Encoder:
         ids = vocabulary.ids
         n_ids = 1 + max([*ids.values(), *vocabulary.special.values()])
         self.rules = Merges(vocabulary.merges, n_ids)
-        self.words = regex.compile(vocabulary.pattern.replace("\\s", SPACE))
+        self.usual = vocabulary.pattern == USUAL_PATTERN
+        self.words = regex.compile(vocabulary.pattern.replace("\\s", SPACE) + ("| " if self.usual else ""))
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) or "(?!)")
         letters = byte_characters()
@@ -215,35 +219,56 @@ class Encoder:
             return [x for x in self.spaces.split(text) if x]
         return text.split()
 
-    def cut(self, token: str) -> list[str]:
-        """The words of a token. Lower-casing goes character by character: a capital sigma has one lower case."""
-        if not token.isascii():
-            token = unicodedata.normalize("NFC", token).replace("Σ", "σ")
-        return self.words.findall(token.lower())
+    def cut(self, tokens: list[str]) -> list[str]:
+        """The words of all tokens in order, a blank after those of each token.
+
+        Tokens hold no blanks, so joined by them they are normalized and cut in
+        one pass, unless the pattern could see a neighbour. Lower-casing goes
+        character by character: a capital sigma has one lower case.
+        """
+        joined = " ".join([*tokens, ""])
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")
+        joined = joined.lower()
+        if self.usual:
+            return self.words.findall(joined)
+        return [w for token in joined.split(" ")[:-1] for w in (*self.words.findall(token), " ")]
 
     def learn(self, tokens: set[str]) -> None:
         """Have all the tokens in the current generation; those not remembered are encoded together."""
         if self.held > self.remembered // 2:
             self.raw, self.older, self.held = {}, self.raw, 0
         new = tokens.difference(self.raw)
-        for token in new.intersection(self.older):
-            self._keep(token, self.older[token])
-            new.discard(token)
-        cut = {t: self.cut(t) for t in new if t not in self.special}
-        words = list({w for parts in cut.values() for w in parts})
-        merged = dict(zip(words, self._merged(words)))
-        for token, parts in cut.items():
-            self._keep(token, b"".join([merged[w] for w in parts]))
-        for token in new.intersection(self.special):
-            self._keep(token, np.array([self.special[token]], "<u4").tobytes())
-
-    def _keep(self, token: str, raw: bytes) -> None:
-        self.raw[token] = raw
-        self.held += len(token) + len(raw) + _ENTRY_BYTES
-
-    def _merged(self, words: list[str]) -> list[bytes]:
-        if not words:
+        back = list(new.intersection(self.older))
+        self._keep(back, [self.older[t] for t in back])
+        marks = list(new.intersection(self.special).difference(back))
+        self._keep(marks, [np.array([self.special[t]], "<u4").tobytes() for t in marks])
+        rest = list(new.difference(back, marks))
+        self._keep(rest, self._encoded(rest))
+
+    def _keep(self, tokens: list[str], raw: list[bytes]) -> None:
+        self.raw.update(zip(tokens, raw))
+        self.held += sum(map(len, tokens)) + sum(map(len, raw)) + _ENTRY_BYTES * len(tokens)
+
+    def _encoded(self, tokens: list[str]) -> list[bytes]:
+        """The ids of each token: those of its words, each distinct word merged once."""
+        if not tokens:
             return []
+        numbers: dict[str, int] = {" ": 0}
+        which = np.array([numbers.setdefault(w, len(numbers)) for w in self.cut(tokens)])
+        ids, ends = self._merged(list(numbers)[1:])
+        # the blank has no ids, so that it only ends its token
+        ends = np.r_[0, ends]
+        sizes = np.diff(ends, prepend=0)[which]
+        to = np.cumsum(sizes)
+        raw = ids[np.repeat(ends[which] - to, sizes) + np.arange(to[-1])].astype("<u4").tobytes()
+        stops = (4 * to[which == 0]).tolist()
+        return [raw[s:e] for s, e in zip([0, *stops], stops)]
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and where those of each end."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         spelled = [w.encode() for w in words]
         ends = np.cumsum([len(x) for x in spelled])
         starts = np.r_[0, ends[:-1]]
@@ -252,19 +277,17 @@ class Encoder:
         symbols[ends - 1] = self.last[flat[ends - 1]]
         index = PairIndex(self.rules, symbols, starts, ends)
         index.run()
+        symbols = index.symbols[:-1]
         left = symbols >= 0
-        to = (4 * np.cumsum(left)[ends - 1]).tolist()
-        raw = symbols[left].astype("<u4").tobytes()
-        return [raw[s:e] for s, e in zip([0, *to], to)]
+        return symbols[left], np.cumsum(left)[ends - 1]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str, int]]:
         """Of each text: its ids as little-endian 32-bit numbers, the decoded text, the number of ids."""
-        distinct: set[str] = set()
-        for text in texts:
-            distinct.update(self.tokens(text))
-        self.learn(distinct)
-        for text in texts:
-            raw = b"".join(map(self.raw.__getitem__, self.tokens(text)))
+        tokens = [self.tokens(text) for text in texts]
+        self.learn(set().union(*tokens))
+        tokens.reverse()
+        while tokens:
+            raw = b"".join(map(self.raw.__getitem__, tokens.pop()))
             yield raw, self.decode(np.frombuffer(raw, "<u4").tolist()), len(raw) // 4
 
     def decode(self, ids: Iterable[int]) -> str:
